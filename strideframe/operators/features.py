@@ -93,16 +93,21 @@ def one_hot(df: DataFrame, col: str, fit: DataFrame | None = None) -> DataFrame:
     scalar subquery.
     """
     fit = fit if fit is not None else df
-    vocab = fit.select(F.array_sort(F.collect_set(F.col(col).cast("string")))).scalar()
+    vocab_name = f"_vocab_{col}"
+    # The vocabulary subquery is bound to a column first: Spark does not
+    # allow a subquery inside the lambda of ``transform``.
+    with_vocab = df.withColumn(
+        vocab_name, fit.select(F.array_sort(F.collect_set(F.col(col).cast("string")))).scalar())
+    vocab = F.col(vocab_name)
     v = F.col(col).cast("string")
     pos = F.array_position(vocab, v)
-    return df.withColumns({
+    return with_vocab.withColumns({
         f"{col}_slot": F.when(pos > 0, pos - 1).cast("int"),
         f"{col}_width": F.size(vocab).cast("int"),
         f"{col}_onehot": F.array_join(
             F.transform(vocab, lambda c: F.when(c == v, F.lit(1)).otherwise(F.lit(0)).cast("string")),
             ","),
-    })
+    }).drop(vocab_name)
 
 
 def feature_stages(numeric: list[str] | None = None, categorical: list[str] | None = None,
