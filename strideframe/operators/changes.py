@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import rules as R
+from ..session import checkpoint
 from .records import LOG_VIEW_COLUMNS, ChangeResult, log_view, principal_outcome
+from .sizing import maybe_broadcast
 
 NUMBER_TYPE = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 INT_TEXT = r"^[+-]?[0-9]+$"
@@ -124,20 +126,30 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     an id already stored, or taken by an earlier accepted create, is a
     ``conflict`` (ids are never reused).  With ``users`` given, the owner of
     every request must be an existing, active user first.
+
+    Plan: the parsed requests are checkpointed and counted.  When their ids
+    fit the broadcast budget, the log table is only *filtered* - a broadcast
+    semi-join picks the touched logs, a broadcast anti-join keeps the rest -
+    and all per-log work runs on the touched slice, so the table is never
+    shuffled.  Beyond the budget the same joins run as shuffle joins on ``id``.
     """
     ch = changes.select("seq", "op", "id", "user_id", "body")
     if users is not None:
         ch = principal_outcome(ch, users)
     else:
         ch = ch.withColumn("auth", F.lit(None).cast("string"))
+    ch = checkpoint(parse_patch(parse_create(ch)))
+    ids = ch.select("id").distinct()
+    ids_side = maybe_broadcast(ids, ch.count())
 
     stored = log_view(logs)
-    stored_ids = stored.select("id")
+    hit_stored = stored.join(ids_side, "id", "left_semi")
+    untouched = stored.join(ids_side, "id", "left_anti")
 
     # ---- creates ------------------------------------------------------
-    cr = R.validate(parse_create(ch.filter(F.col("op") == "create")), R.log_rules())
+    cr = R.validate(ch.filter(F.col("op") == "create"), R.log_rules())
     cr_ok = cr.filter(F.col("auth").isNull() & (F.size("errors") == 0))
-    cand = cr_ok.join(stored_ids, "id", "left_anti")
+    cand = cr_ok.join(hit_stored.select("id"), "id", "left_anti")
     winners = cand.groupBy("id").agg(
         F.min("seq").alias("born"),
         F.min_by(F.struct(
@@ -149,7 +161,7 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
         "id", F.col("w.owner").alias("user_id"), "w.workout_date", "w.duration_min",
         "w.intensity", "w.workout_type", "w.calories_burned",
         now.alias("created_at"), now.alias("updated_at"), "born")
-    entity = stored.withColumn("born", F.lit(None).cast("long")).unionByName(born)
+    entity = hit_stored.withColumn("born", F.lit(None).cast("long")).unionByName(born)
 
     create_out = cr.join(winners.select("id", "born"), "id", "left").select(
         "seq", "op", "id", "user_id",
@@ -158,12 +170,11 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
         .when(F.col("seq") == F.col("born"), F.lit(S.CREATED))
         .otherwise(F.lit(S.CONFLICT)).alias("outcome"))
 
-    # ---- patches and deletes against the entities ------------------------
-    pd_ = parse_patch(ch.filter(F.col("op").isin("patch", "delete")))
+    # ---- patches and deletes against the touched logs ---------------------
+    pd_ = ch.filter(F.col("op").isin("patch", "delete"))
     base = entity.select(
         "id", F.col("user_id").alias("owner"), "born",
         *[F.col(f).alias(f"b_{f}") for f in S.PATCHABLE_FIELDS])
-    # entity RIGHT JOIN requests: the request side may be broadcast.
     j = base.join(pd_, "id", "right")
     is_patch = F.col("op") == "patch"
     invalid = is_patch & _patch_invalid()
@@ -194,19 +205,20 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
         folds.append(F.max_by(F.when(sent, F.col(f"v_{f}")), F.when(sent, F.col("seq"))).alias(f"n_{f}"))
         changed.append(F.max(sent & ~F.col(f"v_{f}").eqNullSafe(F.col(f"b_{f}"))).alias(f"c_{f}"))
     fold = accepted.groupBy("id").agg(*folds, *changed)
-    touched = (dead.join(fold, "id", "full"))
+    touched = dead.join(fold, "id", "full")
 
-    table = entity.join(touched, "id", "left").filter(F.col("dead").isNull())
+    rewritten = entity.join(touched, "id", "left").filter(F.col("dead").isNull())
     any_changed = F.lit(False)
     for f in S.PATCHABLE_FIELDS:
         any_changed = any_changed | F.coalesce(F.col(f"c_{f}"), F.lit(False))
-    table = table.select(
+    rewritten = rewritten.select(
         "id", "user_id", "workout_date",
         *[F.coalesce(F.col(f"n_{f}"), F.col(f)).alias(f) for f in S.PATCHABLE_FIELDS],
         "calories_burned", "created_at",
         F.when(any_changed, now).otherwise(F.col("updated_at")).alias("updated_at"),
     ).select(*LOG_VIEW_COLUMNS)
 
+    table = untouched.unionByName(rewritten)
     outcomes = create_out.unionByName(pd_out)
     return ChangeResult(table, outcomes)
 

@@ -251,3 +251,18 @@ def test_same_delete_twice_and_patch_after_delete(spark):
     out = {r["seq"]: r["outcome"] for r in res.outcomes.collect()}
     assert out == {1: S.OK, 2: S.DELETED, 3: S.NOT_FOUND, 4: S.NOT_FOUND}
     assert res.table.filter("id = 3").count() == 0
+
+
+def test_apply_changes_without_broadcast_budget(spark):
+    """Over the broadcast budget the engine runs shuffle joins; same result."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(11)
+        changes = _random_changes(rng, 60)
+        exp_out, exp_tab = brute_force(changes, _logs_rows(), USERS)
+        got_out, got_tab = _run(spark, changes, True)
+        assert got_out == exp_out
+        assert got_tab == exp_tab
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
