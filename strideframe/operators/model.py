@@ -12,6 +12,7 @@ from .. import schemas as S
 from ..functions.columns import ordinal, result_line
 from . import features as FE
 from .quality import scoring_domain
+from ..session import checkpoint
 from .ranking import running_totals
 
 # Classes above this count are refused rather than pivoted (a classifier
@@ -46,14 +47,23 @@ def train(df: DataFrame, max_depth: int = 5, max_bins: int = 32, seed: int = 42,
 
     numeric = list(numeric if numeric is not None else S.NUMERIC_FEATURES)
     categorical = list(categorical if categorical is not None else S.CATEGORICAL_FEATURES)
+    from pyspark import StorageLevel
+
     lab = _label_indexer(df, label)
-    labeled = lab.transform(FE.prepare_numeric(df, numeric))
+    # Every stage fit and each tree level is a pass over the input: keep the
+    # prepared rows (memory, spilling to disk; recomputed from lineage if an
+    # executor is lost) instead of re-running the join per pass.
+    labeled = lab.transform(FE.prepare_numeric(df, numeric)).persist(StorageLevel.MEMORY_AND_DISK)
     tree = DecisionTreeClassifier(featuresCol="features", labelCol="_label",
                                   predictionCol="_prediction", probabilityCol="_probability",
                                   rawPredictionCol="_raw", impurity="gini",
                                   maxDepth=max_depth, maxBins=max_bins, seed=seed)
     pipe = Pipeline(stages=FE.feature_stages(numeric, categorical) + [tree])
-    return TrainedModel(pipe.fit(labeled), list(lab.labels))
+    try:
+        fitted = pipe.fit(labeled)
+    finally:
+        labeled.unpersist()
+    return TrainedModel(fitted, list(lab.labels))
 
 
 def predict(model: TrainedModel, df: DataFrame, numeric: list[str] | None = None,
@@ -114,24 +124,32 @@ def best_split(df: DataFrame, numeric: list[str] | None = None,
     numeric = list(numeric if numeric is not None else S.NUMERIC_FEATURES)
     categorical = list(categorical if categorical is not None else S.CATEGORICAL_FEATURES)
     labelled = df.filter(F.col(label).isNotNull())
-    classes = [r[0] for r in labelled.select(label).distinct().orderBy(label).limit(MAX_CLASSES + 1).collect()]
+
+    # One pass over the rows: counts per (feature, value, class) for every
+    # feature at once, materialised (its size is the number of distinct
+    # values, not of rows) and read by every step below.
+    parts = [labelled.select(F.lit(c).alias("feature"), F.col(c).cast("double").alias("num"),
+                             F.lit(None).cast("string").alias("cat"), label) for c in numeric]
+    parts += [labelled.select(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("num"),
+                              F.col(c).cast("string").alias("cat"), label) for c in categorical]
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    counts = checkpoint(stacked.groupBy("feature", "num", "cat", label)
+                        .agg(F.count(F.lit(1)).alias("n")))
+    classes = [r[0] for r in counts.select(label).distinct().orderBy(label)
+               .limit(MAX_CLASSES + 1).collect()]
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
     cnames = [f"_n{i}" for i in range(len(classes))]
-
-    def class_counts(grouped):
-        return grouped.pivot(label, classes).agg(F.count(F.lit(1))).na.fill(0, subset=None)
+    wide = (counts.groupBy("feature", "num", "cat").pivot(label, classes).agg(F.sum("n"))
+            .select("feature", "num", "cat",
+                    *[F.coalesce(F.col(f"`{k}`"), F.lit(0)).cast("long").alias(c)
+                      for k, c in zip(classes, cnames)]))
 
     # numeric features ----------------------------------------------------
-    num_rows = None
-    for c in numeric:
-        part = labelled.select(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), label)
-        num_rows = part if num_rows is None else num_rows.unionByName(part)
-    num_rows = num_rows.filter(F.col("value").isNotNull())
-    per_value = class_counts(num_rows.groupBy("feature", "value"))
-    per_value = per_value.select("feature", "value", *[F.col(f"`{k}`").cast("long").alias(n)
-                                                       for k, n in zip(classes, cnames)],
-                                 F.lit(1).alias("_one"))
+    per_value = (wide.filter(F.col("feature").isin(*numeric) & F.col("num").isNotNull())
+                 .select("feature", F.col("num").alias("value"), *cnames, F.lit(1).alias("_one")))
     cum = running_totals(per_value, ["feature"], ["value"], cnames + ["_one"],
                          [f"_c{n}" for n in cnames] + ["_rank"])
     totals = per_value.groupBy("feature").agg(*[F.sum(n).alias(f"_t{n}") for n in cnames])
@@ -144,12 +162,8 @@ def best_split(df: DataFrame, numeric: list[str] | None = None,
 
     # categorical indicators ----------------------------------------------
     if categorical:
-        cat_rows = None
-        for c in categorical:
-            part = labelled.select(F.lit(c).alias("_col"), F.col(c).cast("string").alias("value"), label)
-            cat_rows = part if cat_rows is None else cat_rows.unionByName(part)
-        per_cat = class_counts(cat_rows.groupBy("_col", "value")).select(
-            "_col", "value", *[F.col(f"`{k}`").cast("long").alias(n) for k, n in zip(classes, cnames)])
+        per_cat = wide.filter(F.col("feature").isin(*categorical)).select(
+            F.col("feature").alias("_col"), F.col("cat").alias("value"), *cnames)
         col_tot = per_cat.groupBy("_col").agg(*[F.sum(n).alias(f"_t{n}") for n in cnames])
         cat_cand = (per_cat.filter(F.col("value").isNotNull())
                     .join(F.broadcast(col_tot), "_col")      # one row per categorical column

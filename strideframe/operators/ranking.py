@@ -76,14 +76,25 @@ def _local_scan(group: list[str], values: list[str], outs: list[str]):
     return scan
 
 
+# Inputs of at most this many rows take a plain window: no group can be
+# larger than the whole input, so one group per task stays bounded.
+SMALL_INPUT_ROWS = 500_000
+
+
 def running_totals(df: DataFrame, group: list[str], order: list[Column | str],
                    values: list[str], outs: list[str] | None = None,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None,
+                   small_input_rows: int | None = SMALL_INPUT_ROWS) -> DataFrame:
     """Add inclusive running sums of ``values`` per ``group`` in ``order``.
 
     ``values`` must be numeric column names (nulls count as 0); ``outs`` are
     the output names (default ``cum_<value>``).  Output types are long for
-    integral inputs, double otherwise.
+    integral inputs, double otherwise.  Group keys must not be null.
+
+    The input is counted first; when it holds at most ``small_input_rows``
+    rows the sums come from a window (bounded by that count), otherwise from
+    the range-partitioned scan below.  ``small_input_rows=None`` always takes
+    the distributed path.
     """
     group = _names(group)
     outs = outs or [f"cum_{v}" for v in values]
@@ -92,6 +103,16 @@ def running_totals(df: DataFrame, group: list[str], order: list[Column | str],
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     sort_cols = [F.col(g) for g in group] + order_cols
 
+    if small_input_rows is not None and num_partitions is None and df.count() <= small_input_rows:
+        w = Window.partitionBy(*group).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+        sums = []
+        for v, o in zip(values, outs):
+            dt = df.schema[v].dataType
+            integral = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+            sums.append(F.sum(F.coalesce(F.col(v), F.lit(0))).over(w)
+                        .cast("long" if integral else "double").alias(o))
+        return df.select(*df.columns, *sums)
+
     ranged = checkpoint(
         df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
         .withColumn(PID, F.spark_partition_id())
