@@ -133,14 +133,14 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     and all per-log work runs on the touched slice, so the table is never
     shuffled.  Beyond the budget the same joins run as shuffle joins on ``id``.
     """
-    ch = changes.select("seq", "op", "id", "user_id", "body")
+    ch = checkpoint(parse_patch(parse_create(changes.select("seq", "op", "id", "user_id", "body"))))
+    n = ch.count()
     if users is not None:
-        ch = principal_outcome(ch, users)
+        ch = principal_outcome(ch, users, request_rows=n)
     else:
         ch = ch.withColumn("auth", F.lit(None).cast("string"))
-    ch = checkpoint(parse_patch(parse_create(ch)))
     ids = ch.select("id").distinct()
-    ids_side = maybe_broadcast(ids, ch.count())
+    ids_side = maybe_broadcast(ids, n)
 
     stored = log_view(logs)
     hit_stored = stored.join(ids_side, "id", "left_semi")

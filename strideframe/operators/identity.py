@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import rules as R
 from ..functions.columns import normalize_email
+from ..session import checkpoint
 from .records import PUBLIC_USER_COLUMNS, ChangeResult, principal_outcome, public_users
+from .sizing import semi_filter
 
 
 def resolve_principals(requests: DataFrame, users: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def resolve_logins(attempts: DataFrame, users: DataFrame) -> DataFrame:
     The e-mail is compared exactly as sent.
     """
     u = users.select("email", F.col("id").alias("user_id"))
-    j = u.join(attempts, "email", "right")
+    j = u.join(attempts, "email", "right")   # AQE broadcasts the users side when it is small
     outcome = (F.when(F.col("user_id").isNull(), F.lit(S.BAD_CREDENTIALS))
                .when(~F.coalesce(F.col("password_ok"), F.lit(False)), F.lit(S.BAD_CREDENTIALS))
                .otherwise(F.lit(S.OK)))
@@ -56,10 +58,10 @@ def accept_new_users(batch: DataFrame, users: DataFrame) -> DataFrame:
     is a grouped ``min`` (partially aggregated), so one popular e-mail is not
     one task.
     """
-    b = batch.withColumn("email", normalize_email("email"))
-    b = R.validate(b, R.user_rules())
+    b = checkpoint(R.validate(batch.withColumn("email", normalize_email("email")), R.user_rules()))
     valid = b.filter(F.size("errors") == 0)
-    fresh = valid.join(users.select("email"), "email", "left_anti")
+    stored = semi_filter(users.select("email"), b, ["email"], b.count())
+    fresh = valid.join(stored, "email", "left_anti")
     first = fresh.groupBy("email").agg(F.min("seq").alias("_first"))
     j = b.join(first, "email", "left")
     outcome = (F.when(F.size("errors") > 0, F.lit(S.INVALID))

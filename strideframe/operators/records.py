@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import rules as R
+from ..session import checkpoint
 from .ranking import running_totals
+from .sizing import semi_filter
 
 PUBLIC_USER_COLUMNS = ["id", "email", "is_active", "age", "goal", "equipment", "created_at"]
 LOG_VIEW_COLUMNS = ["id", "user_id", "workout_date", "duration_min", "intensity",
@@ -46,14 +48,15 @@ def users_by_email(users: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(public_users(users), "email", "inner")
 
 
-def logs_for_owner(logs: DataFrame, requests: DataFrame) -> DataFrame:
+def logs_for_owner(logs: DataFrame, requests: DataFrame, request_rows: int | None = None) -> DataFrame:
     """F-3: row-level security.  ``requests`` has ``request_id, id, user_id``.
 
     A log that is absent and a log owned by someone else give the same
-    outcome ``not_found``.  Written as ``logs RIGHT JOIN requests`` so the
-    request side may be broadcast when it is the small one.
+    outcome ``not_found``.  With ``request_rows`` (a count of ``requests``)
+    under the broadcast budget the log table is narrowed to the requested
+    ids by a broadcast semi-join before the join.
     """
-    found = log_view(logs).withColumn("_hit", F.lit(True))
+    found = semi_filter(log_view(logs), requests, ["id"], request_rows).withColumn("_hit", F.lit(True))
     out = found.join(requests, ["id", "user_id"], "right")
     return out.select(
         "request_id", "id", "user_id",
@@ -111,13 +114,16 @@ class ChangeResult(NamedTuple):
     outcomes: DataFrame
 
 
-def principal_outcome(requests: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
+def principal_outcome(requests: DataFrame, users: DataFrame, key: str = "user_id",
+                      request_rows: int | None = None) -> DataFrame:
     """J-2 core: add ``auth`` = unauthorized / inactive / null (authorised).
 
     Order of the checks: no id (bad token) -> unauthorized; no user ->
-    unauthorized; inactive -> inactive.
+    unauthorized; inactive -> inactive.  With ``request_rows`` under the
+    broadcast budget, users are first narrowed to the requesting ids.
     """
     u = users.select(F.col("id").alias(key), F.col("is_active").alias("_active"))
+    u = semi_filter(u, requests, [key], request_rows)
     j = u.join(requests, key, "right")
     auth = (F.when(F.col(key).isNull(), F.lit(S.UNAUTHORIZED))
             .when(F.col("_active").isNull(), F.lit(S.UNAUTHORIZED))
@@ -139,7 +145,8 @@ def create_logs(batch: DataFrame, logs: DataFrame, users: DataFrame, now: Column
     two logs, as in the reference.  New ids are ``max(id) + 1 + seq - min(seq)``
     over the batch: unique, gaps allowed, no single-task numbering.
     """
-    checked = R.validate(principal_outcome(batch, users), R.log_rules())
+    batch = checkpoint(batch)
+    checked = R.validate(principal_outcome(batch, users, request_rows=batch.count()), R.log_rules())
     outcome = (F.when(F.col("auth").isNotNull(), F.col("auth"))
                .when(F.size("errors") > 0, F.lit(S.INVALID))
                .otherwise(F.lit(S.CREATED)))

@@ -57,3 +57,22 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``broadcast(df)`` when ``rows`` of it fit the budget, else ``df``."""
     return F.broadcast(df) if fits_broadcast(df, rows) else df
+
+
+def semi_filter(big: DataFrame, keys_df: DataFrame, on: list[str], rows: int | None = None) -> DataFrame:
+    """Narrow ``big`` to rows whose ``on`` keys occur in ``keys_df``.
+
+    When ``rows`` (a count of ``keys_df``; counted here when not given)
+    proves the keys fit the broadcast budget, this is a broadcast semi-join:
+    the big side is filtered where it is read, never shuffled.  Otherwise, and
+    for a streaming key side, ``big`` is returned as is; the join that follows
+    matches the keys (as a shuffle join, or a stream-static join) anyway.
+    """
+    if keys_df.isStreaming:
+        return big
+    if rows is None:
+        rows = keys_df.count()
+    keys = keys_df.select(*on).distinct()
+    if fits_broadcast(keys, rows):
+        return big.join(F.broadcast(keys), on, "left_semi")
+    return big
