@@ -107,6 +107,35 @@ def tree_scores(train_df: DataFrame, max_depth: int = 5) -> DataFrame:
     return predict(model, df)
 
 
+def split_accuracy(train_df: DataFrame, max_depth: int = 5) -> DataFrame:
+    """A-1 + M-6: held-out accuracy for a per-log split and a per-owner split.
+
+    ``goal`` is a user attribute, so a per-log split puts one user's logs on
+    both sides and can inflate accuracy; the per-owner split cannot.  Each
+    row also carries Spark's ``MulticlassClassificationEvaluator`` accuracy as
+    a cross-check of the plain average.
+    """
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import StringIndexer
+
+    spark = train_df.sparkSession
+    rows = []
+    base = FE.with_ordinal(train_df)
+    for key in ("id", "user_id"):
+        df = FE.split(base, key=key)
+        model = train(df.filter(F.col("part") == "train"), max_depth=max_depth)
+        test = predict(model, df.filter(F.col("part") == "test"))
+        acc = accuracy(test).first()["accuracy"]
+        idx = StringIndexer(inputCol=S.LABEL, outputCol="_l", stringOrderType="alphabetAsc",
+                            handleInvalid="keep").fit(test)
+        pred_idx = F.array_position(F.array(*[F.lit(x) for x in idx.labels]), F.col("predicted_goal")) - 1
+        ev = MulticlassClassificationEvaluator(labelCol="_l", predictionCol="_p", metricName="accuracy")
+        acc_ml = ev.evaluate(idx.transform(test).withColumn("_p", pred_idx.cast("double")))
+        n_test = test.count()
+        rows.append((key, n_test, float(acc) if acc is not None else None, float(acc_ml)))
+    return spark.createDataFrame(rows, "split_key string, n_test long, accuracy double, accuracy_ml double")
+
+
 def best_split(df: DataFrame, numeric: list[str] | None = None,
                categorical: list[str] | None = None, label: str = S.LABEL) -> DataFrame:
     """A-5: the best Gini split of the root, per feature and overall.

@@ -191,6 +191,10 @@ def q_tree_scores(spark, d):
     return MO.tree_scores(FX.training(spark, d)).select("id", "user_id", "part", "goal", "predicted_goal")
 
 
+def q_model_accuracy(spark, d):
+    return MO.split_accuracy(FX.training(spark, d))
+
+
 def q_score_requests(spark, d):
     t = FE.with_ordinal(FE.split(FX.training(spark, d), "user_id"))
     model = MO.train(t.filter(F.col("part") == "train"))
@@ -253,6 +257,7 @@ QUERIES: dict[str, QueryFn] = {
     "best_split": q_best_split,
     "user_weekly_stats": q_user_weekly_stats,
     "tree_scores": q_tree_scores,
+    "model_accuracy": q_model_accuracy,
     "score_requests": q_score_requests,
     "stream_intake": q_stream_intake,
     "stream_scores": q_stream_scores,

@@ -114,3 +114,21 @@ def test_no_unpartitioned_window(spark):
     for df in plans:
         p = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in p, p
+
+
+def test_stream_changes_replay_writes_no_new_version(spark):
+    from strideframe.operators import changes as CH
+
+    base = JB.scratch_dir(spark, "test-changes")
+    table_base, ckpt = os.path.join(base, "logs"), os.path.join(base, "ckpt")
+    TB.write_snapshot(FX.logs(spark, SF_SMALL).select(*S.LOG_COLUMNS), table_base, 0)
+    now = F.lit(FX.FIXTURE_NOW).cast("timestamp_ntz")
+    users = FX.users(spark, SF_SMALL)
+    chg = FX.changes_from(FX.logs_from_events(JB.events_stream(spark, SF_SMALL)))
+    JB.stream_changes(chg, table_base, ckpt, now, users).awaitTermination()
+    latest = TB.latest_snapshot(spark, table_base)
+    batch = CH.apply_changes(FX.changes(spark, SF_SMALL), FX.logs(spark, SF_SMALL), now, users).table
+    assert sorted(map(tuple, TB.read_logs(spark, latest).collect())) == sorted(map(tuple, batch.collect()))
+    chg2 = FX.changes_from(FX.logs_from_events(JB.events_stream(spark, SF_SMALL)))
+    JB.stream_changes(chg2, table_base, ckpt, now, users).awaitTermination()
+    assert TB.latest_snapshot(spark, table_base) == latest

@@ -29,7 +29,7 @@ def test_every_query_has_a_callable():
     q = E.queries()
     assert set(SQL) <= set(q)
     rows_only = set(q) - set(SQL)
-    assert rows_only == {"tree_scores", "score_requests", "stream_scores"}
+    assert rows_only == {"tree_scores", "score_requests", "stream_scores", "model_accuracy"}
 
 
 def test_entry_runs(spark):
