@@ -176,3 +176,22 @@ def test_tables_are_versioned_not_overwritten(spark):
     except Exception:
         raised = True
     assert raised
+
+
+def test_history_distributed_path_equals_window_path(spark):
+    from strideframe.operators import records as RC
+    from strideframe.sources import fixtures as FX
+    from conftest import SF_SMALL
+
+    logs = FX.logs(spark, SF_SMALL)
+    a = {r["id"]: r["rank"] for r in RC.history(logs).collect()}
+    b = {r["id"]: r["rank"] for r in RC.history(logs, small_input_rows=None).collect()}
+    assert a == b and len(a) == logs.count()
+
+
+def test_scale_settings():
+    from strideframe.session import scale_settings
+
+    s = scale_settings(100 * (1 << 40), cores=8000)
+    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_settings(1000, cores=8)["spark.sql.shuffle.partitions"]) == 16
