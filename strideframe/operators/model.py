@@ -116,23 +116,24 @@ def split_accuracy(train_df: DataFrame, max_depth: int = 5) -> DataFrame:
     a cross-check of the plain average.
     """
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import StringIndexer
 
     spark = train_df.sparkSession
     rows = []
     base = FE.with_ordinal(train_df)
+    ev = MulticlassClassificationEvaluator(labelCol="_l", predictionCol="_p", metricName="accuracy")
     for key in ("id", "user_id"):
         df = FE.split(base, key=key)
         model = train(df.filter(F.col("part") == "train"), max_depth=max_depth)
         test = predict(model, df.filter(F.col("part") == "test"))
-        acc = accuracy(test).first()["accuracy"]
-        idx = StringIndexer(inputCol=S.LABEL, outputCol="_l", stringOrderType="alphabetAsc",
-                            handleInvalid="keep").fit(test)
-        pred_idx = F.array_position(F.array(*[F.lit(x) for x in idx.labels]), F.col("predicted_goal")) - 1
-        ev = MulticlassClassificationEvaluator(labelCol="_l", predictionCol="_p", metricName="accuracy")
-        acc_ml = ev.evaluate(idx.transform(test).withColumn("_p", pred_idx.cast("double")))
-        n_test = test.count()
-        rows.append((key, n_test, float(acc) if acc is not None else None, float(acc_ml)))
+        stats = test.agg(F.count(F.lit(1)).alias("n"),
+                         F.avg((F.col("predicted_goal") == F.col(S.LABEL)).cast("double")).alias("acc")).first()
+        # class index by the model's own label order (-1: a class unseen in training)
+        labels = F.array(*[F.lit(x) for x in model.labels])
+        indexed = test.select((F.array_position(labels, F.col(S.LABEL)) - 1).cast("double").alias("_l"),
+                              (F.array_position(labels, F.col("predicted_goal")) - 1).cast("double").alias("_p"))
+        acc_ml = ev.evaluate(indexed)
+        rows.append((key, int(stats["n"]), None if stats["acc"] is None else float(stats["acc"]),
+                     float(acc_ml)))
     return spark.createDataFrame(rows, "split_key string, n_test long, accuracy double, accuracy_ml double")
 
 
