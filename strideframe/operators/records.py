@@ -16,7 +16,7 @@ from .. import schemas as S
 from ..functions import rules as R
 from ..session import checkpoint
 from .ranking import SMALL_INPUT_ROWS, running_totals
-from .sizing import semi_filter
+from .sizing import keyed_join, semi_filter
 
 PUBLIC_USER_COLUMNS = ["id", "email", "is_active", "age", "goal", "equipment", "created_at"]
 LOG_VIEW_COLUMNS = ["id", "user_id", "workout_date", "duration_min", "intensity",
@@ -66,8 +66,12 @@ def logs_for_owner(logs: DataFrame, requests: DataFrame, request_rows: int | Non
 
 
 def owner_logs(logs: DataFrame, owners: DataFrame) -> DataFrame:
-    """F-4: all logs of the given owners (``owners.user_id``); empty is fine."""
-    return logs.join(owners.select("user_id").distinct(), "user_id", "left_semi")
+    """F-4: all logs of the given owners (``owners.user_id``); empty is fine.
+
+    The owner keys are broadcast when their count fits the budget, so the log
+    table is filtered where it is read.
+    """
+    return keyed_join(logs, owners, ["user_id"], "left_semi")
 
 
 def active_users(users: DataFrame) -> DataFrame:
@@ -104,9 +108,9 @@ def orphans(logs: DataFrame, users: DataFrame) -> DataFrame:
 
 def delete_users(ids: DataFrame, users: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """D-5: remove users and, by cascade, their logs.  ``ids.id`` names users."""
-    gone = ids.select("id").distinct()
-    kept_users = users.join(gone, "id", "left_anti")
-    kept_logs = logs.join(gone.withColumnRenamed("id", "user_id"), "user_id", "left_anti")
+    gone = ids.select("id")
+    kept_users = keyed_join(users, gone, ["id"], "left_anti")
+    kept_logs = keyed_join(logs, gone.withColumnRenamed("id", "user_id"), ["user_id"], "left_anti")
     return kept_users, kept_logs
 
 

@@ -76,3 +76,17 @@ def semi_filter(big: DataFrame, keys_df: DataFrame, on: list[str], rows: int | N
     if fits_broadcast(keys, rows):
         return big.join(F.broadcast(keys), on, "left_semi")
     return big
+
+
+def keyed_join(big: DataFrame, keys_df: DataFrame, on: list[str], how: str,
+               rows: int | None = None) -> DataFrame:
+    """``big`` semi- or anti-joined with the distinct ``on`` keys of ``keys_df``.
+
+    Broadcast when the counted keys fit the budget (the big side is filtered
+    where it is read), a shuffle join otherwise.
+    """
+    assert how in ("left_semi", "left_anti")
+    keys = keys_df.select(*on).distinct()
+    if not keys_df.isStreaming:
+        keys = maybe_broadcast(keys, keys_df.count() if rows is None else rows)
+    return big.join(keys, on, how)
