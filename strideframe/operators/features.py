@@ -56,13 +56,18 @@ def standardize(df: DataFrame, cols: list[str], fit: DataFrame | None = None,
     """A-2: ``(x - mean) / stddev_pop`` with mean and deviation from ``fit``.
 
     A zero (or undefined) deviation divides by 1; null stays null.  The
-    statistics are scalar subqueries: one aggregate job, no join.
+    statistics are one scalar subquery: one aggregate job, no join.
     """
     fit = fit if fit is not None else df
+    # All statistics in one aggregate; every reference below is the same
+    # scalar subquery, which Spark computes once.
+    stats = fit.select(F.struct(*[
+        e for c in cols for e in (F.avg(F.col(c).cast("double")).alias(f"m_{c}"),
+                                  F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}"))
+    ]).alias("s")).scalar()
     out = df
     for c in cols:
-        mean = fit.select(F.avg(F.col(c).cast("double"))).scalar()
-        sd = fit.select(F.stddev_pop(F.col(c).cast("double"))).scalar()
+        mean, sd = stats.getField(f"m_{c}"), stats.getField(f"s_{c}")
         denom = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
         out = out.withColumn(c + suffix, (F.col(c).cast("double") - mean) / denom)
     return out
