@@ -10,7 +10,7 @@ from .. import schemas as S
 from ..functions import rules as R
 from ..functions.columns import normalize_email
 from ..session import checkpoint
-from .records import PUBLIC_USER_COLUMNS, ChangeResult, principal_outcome, public_users
+from .records import PUBLIC_USER_COLUMNS, ChangeResult, public_users
 from .sizing import semi_filter
 
 

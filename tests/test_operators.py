@@ -195,3 +195,25 @@ def test_scale_settings():
     s = scale_settings(100 * (1 << 40), cores=8000)
     assert int(s["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_settings(1000, cores=8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_broadcast_budget_and_checked_joins(spark):
+    from strideframe.operators import sizing as SZ
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for raw, want in (("10485760b", 10485760), ("20MB", 20 << 20), ("1g", 1 << 30), ("-1", -1)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", raw)
+            assert SZ.broadcast_budget(spark) == want
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1kb")
+        keys = spark.range(0, 100).withColumnRenamed("id", "k")
+        big = spark.range(0, 1000).withColumnRenamed("id", "k")
+        assert SZ.fits_broadcast(keys, 10) and not SZ.fits_broadcast(keys, 100)
+        # over the budget: the anti / semi joins still run (as shuffles) and agree
+        for budget in ("1kb", "10MB"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", budget)
+            assert SZ.keyed_join(big, keys, ["k"], "left_semi").count() == 100
+            assert SZ.keyed_join(big, keys, ["k"], "left_anti").count() == 900
+            assert SZ.semi_filter(big, keys, ["k"]).join(keys, "k").count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
