@@ -10,6 +10,7 @@ definition, so they are the only sides broadcast without a runtime check.
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,28 @@ FIXTURE_EPOCH = "2024-01-01 00:00:00"
 FIXTURE_NOW = "2025-01-01 00:00:00"
 
 
+def per_session(builder):
+    """Define a view once per (session, folder) and reuse the DataFrame.
+
+    The driver's tables are read-only, so a resolved plan (file listing,
+    schema) stays valid for the session; no data is cached.
+    """
+    @functools.wraps(builder)
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views = spark.__dict__.setdefault("_strideframe_views", {})
+        key = (builder.__name__, os.path.abspath(sf_dir))
+        if key not in views:
+            views[key] = builder(spark, sf_dir)
+        return views[key]
+    return wrapper
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    views = spark.__dict__.setdefault("_strideframe_views", {})
+    key = ("table:" + name, os.path.abspath(sf_dir))
+    if key not in views:
+        views[key] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return views[key]
 
 
 def _case(col: str, mapping: dict, default=None):
@@ -57,6 +78,7 @@ def _case(col: str, mapping: dict, default=None):
     return expr.otherwise(F.lit(default))
 
 
+@per_session
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """users = customer ⋈ nation ⋈ region."""
     region = table(spark, sf_dir, "region")
@@ -84,6 +106,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """logs = events, one log per event."""
     return logs_from_events(table(spark, sf_dir, "events"))
@@ -106,6 +129,7 @@ def logs_from_events(ev: DataFrame) -> DataFrame:
     )
 
 
+@per_session
 def new_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create requests: every event re-submitted as a request body.
 
@@ -130,6 +154,7 @@ def new_logs_from(lg: DataFrame) -> DataFrame:
     )
 
 
+@per_session
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patch requests: logs with ``id % 10 = 0``.
 
@@ -154,6 +179,7 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delete requests: logs with ``id % 17 = 0``; wrong owner when ``id % 34 = 0``."""
     lg = logs(spark, sf_dir).filter(F.col("id") % 17 == 0)
@@ -164,6 +190,7 @@ def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixed, ordered change list over the log table.
 
@@ -221,6 +248,7 @@ def changes_from(logs_df: DataFrame) -> DataFrame:
     return out
 
 
+@per_session
 def new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registration requests.
 
@@ -242,6 +270,7 @@ def new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.unionByName(fresh)
 
 
+@per_session
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token issues: the sign-up events."""
     ev = table(spark, sf_dir, "events")
@@ -249,6 +278,7 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", F.col("ts").alias("issued_at"))
 
 
+@per_session
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authenticated requests: every other event; a bad token (null user) every 25th."""
     ev = table(spark, sf_dir, "events")
@@ -260,6 +290,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Login attempts: one per customer; unknown e-mail every 11th, bad password every 3rd."""
     u = users(spark, sf_dir)
@@ -270,6 +301,7 @@ def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """training = logs ⋈ users (the feature table of the goal model)."""
     from ..operators.features import training_frame
@@ -277,6 +309,7 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_frame(logs(spark, sf_dir), users(spark, sf_dir))
 
 
+@per_session
 def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_requests_from(logs(spark, sf_dir), users(spark, sf_dir))
 
