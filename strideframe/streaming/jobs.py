@@ -114,7 +114,9 @@ def stream_changes(changes: DataFrame, table_base: str, checkpoint: str, now,
         current = TB.latest_snapshot(spark, table_base)
         logs = TB.read_logs(spark, current)
         result = CH.apply_changes(batch, logs, now, users)
-        result.table.sortWithinPartitions("user_id", "id").write.mode("overwrite").parquet(target)
+        # Untouched rows keep the order they were read in (the snapshot's
+        # clustering); only the small rewritten slice is new.
+        result.table.write.mode("overwrite").parquet(target)
         result.outcomes.write.mode("overwrite").parquet(
             os.path.join(table_base, "_outcomes", f"batch={batch_id}"))
 
@@ -127,7 +129,8 @@ def run_changes_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the log table as version 0, run T-3 over the events file, return the newest version."""
     base = scratch_dir(spark, "changes")
     table_base = os.path.join(base, "logs")
-    TB.write_snapshot(FX.logs(spark, sf_dir).select(*S.LOG_COLUMNS), table_base, 0)
+    TB.write_snapshot(FX.logs(spark, sf_dir).select(*S.LOG_COLUMNS), table_base, 0,
+                      cluster_by=["user_id", "id"])
     chg = FX.changes_from(FX.logs_from_events(events_stream(spark, sf_dir)))
     q = stream_changes(chg, table_base, os.path.join(base, "ckpt"),
                        F.lit(FX.FIXTURE_NOW).cast("timestamp_ntz"), FX.users(spark, sf_dir))

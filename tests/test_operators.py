@@ -166,7 +166,7 @@ def test_tables_are_versioned_not_overwritten(spark):
     assert TB.ensure_table(spark, p, S.LOGS) is True
     assert TB.ensure_table(spark, p, S.LOGS) is False
     df = spark.createDataFrame([(1, 1, dt.date(2024, 1, 1), 5, "low", "yoga", None, T0, T0)], S.LOGS)
-    v1 = TB.write_snapshot(df, os.path.join(base, "t"), 1, sort_within=["user_id", "id"])
+    v1 = TB.write_snapshot(df, os.path.join(base, "t"), 1, cluster_by=["user_id", "id"])
     v2 = TB.write_snapshot(df.union(df), os.path.join(base, "t"), 2)
     assert TB.latest_snapshot(spark, os.path.join(base, "t")) == v2
     assert TB.read_logs(spark, v1).count() == 1
