@@ -147,7 +147,9 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     untouched = stored.join(ids_side, "id", "left_anti")
 
     # ---- creates ------------------------------------------------------
-    cr = R.validate(ch.filter(F.col("op") == "create"), R.log_rules())
+    # A create names its log: a missing id is a broken rule like any other.
+    cr = R.validate(ch.filter(F.col("op") == "create"),
+                    R.log_rules() + [("id_present", F.col("id").isNotNull())])
     cr_ok = cr.filter(F.col("auth").isNull() & (F.size("errors") == 0))
     cand = cr_ok.join(hit_stored.select("id"), "id", "left_anti")
     winners = cand.groupBy("id").agg(

@@ -174,7 +174,8 @@ def _apply_sql(changes_cte: str, with_auth: bool) -> tuple[str, str]:
 
     ctes = f"""
 ch AS (SELECT c.*, {auth} AS auth FROM {changes_cte} c {join_users}),
-cr AS (SELECT *, {_log_errors('c_date', 'c_duration', 'c_intensity', 'c_type', 'c_calories')} AS errs
+cr AS (SELECT *, concat_ws(',', NULLIF({_log_errors('c_date', 'c_duration', 'c_intensity', 'c_type', 'c_calories')}, ''),
+                          CASE WHEN id IS NULL THEN 'id_present' END) AS errs
        FROM ch WHERE op = 'create'),
 cand AS (SELECT * FROM cr WHERE auth IS NULL AND errs = ''
          AND NOT EXISTS (SELECT 1 FROM logs l WHERE l.id = cr.id)),

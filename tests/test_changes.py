@@ -54,7 +54,7 @@ def _random_changes(rng, n):
         uid = rng.choice([1, 2, 3, 4, None, 1, 2])
         if op == "create":
             body = json.dumps(rng.choice(CREATE_BODIES))
-            cid = rng.choice([-1, -2, -3, 3, 6])
+            cid = rng.choice([-1, -2, -3, 3, 6, None])
         elif op == "patch":
             body = rng.choice(PATCH_BODIES)
             cid = rng.choice([-1, -2, 1, 2, 3, 4, 5, 7])
@@ -118,7 +118,7 @@ def brute_force(changes, logs_rows, users):
             continue
         if op == "create":
             b = json.loads(body)
-            if _create_errors(b):
+            if _create_errors(b) or cid is None:
                 outcomes[seq] = S.INVALID
             elif cid in ever:
                 outcomes[seq] = S.CONFLICT
