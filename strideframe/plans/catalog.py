@@ -85,7 +85,8 @@ def q_validate_logs(spark, d):
 
 
 def q_orphan_logs(spark, d):
-    users = FX.users(spark, d).filter(F.col("id") % 7 != 0)
+    # the users table without its inactive accounts, as if they were removed
+    users = RC.active_users(FX.users(spark, d))
     return RC.orphans(RC.log_view(FX.logs(spark, d)), users).select("id", "user_id", "workout_date")
 
 
@@ -138,7 +139,7 @@ def q_delete_logs_table(spark, d):
 
 
 def q_cascade_delete(spark, d):
-    ids = FX.users(spark, d).filter(F.col("id") % 7 == 0).select("id")
+    ids = FX.users(spark, d).filter(~F.col("is_active")).select("id")
     kept_users, kept_logs = RC.delete_users(ids, FX.users(spark, d), FX.logs(spark, d))
     return kept_logs.select("id", "user_id")
 

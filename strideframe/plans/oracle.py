@@ -51,10 +51,10 @@ SELECT id AS seq, id, CASE WHEN id % 30 = 0 THEN user_id + 1 ELSE user_id END AS
        '{"duration_min": ' || CAST(duration_min + 1 AS VARCHAR)
        || CASE WHEN id % 50 = 10 THEN ', "intensity": null' WHEN id % 20 = 0 THEN ', "intensity": "high"' ELSE '' END
        || CASE WHEN id % 70 = 0 THEN ', "equipment_used": "mat"' ELSE '' END || '}' AS body
-FROM logs WHERE id % 10 = 0"""
+FROM logs"""
 _VIEWS["deletes"] = """
-SELECT id AS seq, id, CASE WHEN id % 34 = 0 THEN user_id + 1 ELSE user_id END AS user_id
-FROM logs WHERE id % 17 = 0"""
+SELECT id AS seq, id, CASE WHEN id % 3 = 0 THEN user_id + 1 ELSE user_id END AS user_id
+FROM logs"""
 # Creates carry typed fields (c_*) instead of a JSON body.
 _NO_CREATE = ("NULL::VARCHAR AS c_date, NULL::INTEGER AS c_duration, NULL::VARCHAR AS c_intensity, "
               "NULL::VARCHAR AS c_type, NULL::DOUBLE AS c_calories")
@@ -63,34 +63,36 @@ _CREATE = ("strftime(workout_date, '%Y-%m-%d') AS c_date, duration_min + 1 AS c_
 _VIEWS["changes"] = f"""
 SELECT id * 8 AS seq, 'patch' AS op, id, user_id,
        '{{"duration_min": ' || CAST(duration_min + 5 AS VARCHAR) || ', "workout_type": "yoga"}}' AS body, {_NO_CREATE}
-FROM logs WHERE id % 5 = 0
+FROM logs
 UNION ALL
 SELECT id * 8 + 1, 'delete', id, CASE WHEN id % 45 = 0 THEN user_id + 1 ELSE user_id END, NULL, {_NO_CREATE}
-FROM logs WHERE id % 5 = 0 AND id % 15 = 0
+FROM logs WHERE id % 15 = 0
 UNION ALL
 SELECT id * 8 + 2, 'patch', id, user_id,
        CASE WHEN id % 25 = 0 THEN '{{"intensity": null}}'
             ELSE '{{"intensity": "low", "workout_type": "running"}}' END, {_NO_CREATE}
-FROM logs WHERE id % 5 = 0
+FROM logs
 UNION ALL
-SELECT id * 8 + 3, 'create', -id, user_id, NULL, {_CREATE} FROM logs WHERE id % 5 = 0 AND id % 20 = 0
+SELECT id * 8 + 3, 'create', -id, user_id, NULL, {_CREATE} FROM logs WHERE id % 20 = 0
 UNION ALL
-SELECT id * 8 + 4, 'create', id, user_id, NULL, {_CREATE} FROM logs WHERE id % 5 = 0 AND id % 60 = 0
+SELECT id * 8 + 4, 'create', id, user_id, NULL, {_CREATE} FROM logs WHERE id % 60 = 0
 UNION ALL
 SELECT id * 8 + 5, 'patch', -id, user_id, '{{"duration_min": ' || CAST(duration_min + 9 AS VARCHAR) || '}}',
        {_NO_CREATE}
-FROM logs WHERE id % 5 = 0 AND id % 20 = 0
+FROM logs WHERE id % 20 = 0
 UNION ALL
-SELECT id * 8 + 6, 'delete', -id, user_id, NULL, {_NO_CREATE} FROM logs WHERE id % 5 = 0 AND id % 40 = 0
+SELECT id * 8 + 6, 'delete', -id, user_id, NULL, {_NO_CREATE} FROM logs WHERE id % 40 = 0
 UNION ALL
 SELECT id * 8 + 7, 'patch', -id, user_id, '{{"intensity": "high"}}', {_NO_CREATE}
-FROM logs WHERE id % 5 = 0 AND id % 40 = 0"""
+FROM logs WHERE id % 40 = 0"""
 _VIEWS["new_users"] = """
-SELECT id AS seq, email, age, goal, equipment FROM users WHERE id % 25 = 0
-UNION ALL
-SELECT 1000000000000 + id AS seq, 'new.' || CAST(id % 97 AS VARCHAR) || '@EXAMPLE.com' AS email,
-       CASE WHEN id % 7 = 3 THEN 17 ELSE age END AS age, goal, equipment
-FROM users WHERE id % 5 = 1"""
+SELECT id AS seq,
+       CASE WHEN id % 25 = 0 THEN email
+            WHEN id % 5 = 1 THEN 'new.' || CAST(id % 97 AS VARCHAR) || '@EXAMPLE.com'
+            ELSE 'member.' || CAST(id AS VARCHAR) || '@Example.Org' END AS email,
+       CASE WHEN id % 25 <> 0 AND id % 5 = 1 AND id % 7 = 3 THEN 17 ELSE age END AS age,
+       goal, equipment
+FROM users"""
 _VIEWS["issues"] = "SELECT user_id, ts AS issued_at FROM events WHERE event_type = 'signup'"
 _VIEWS["requests"] = """
 SELECT event_id AS request_id, CASE WHEN event_id % 25 = 0 THEN NULL ELSE user_id END AS user_id, ts
@@ -329,7 +331,7 @@ SELECT seq, errs = '' AS valid, errs AS errors FROM (SELECT seq, {_log_errors()}
 
 ORACLE["orphan_logs"] = with_views("users", "logs") + """
 SELECT id, user_id, workout_date FROM logs l
-WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id % 7 <> 0 AND u.id = l.user_id)"""
+WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.is_active AND u.id = l.user_id)"""
 
 _OK = "(r.user_id IS NOT NULL AND u.id IS NOT NULL AND u.is_active)"
 ORACLE["resolve_principals"] = with_views("users", "requests") + f"""
@@ -410,7 +412,7 @@ ORACLE["outcome_counts"] = (_apply_query(["users", "logs", "changes"], "SELECT *
                             + "SELECT op, outcome, CAST(count(*) AS BIGINT) AS n FROM outcomes GROUP BY op, outcome")
 
 ORACLE["cascade_delete"] = with_views("users", "logs") + """
-SELECT id, user_id FROM logs l WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id % 7 = 0 AND u.id = l.user_id)"""
+SELECT id, user_id FROM logs l WHERE NOT EXISTS (SELECT 1 FROM users u WHERE NOT u.is_active AND u.id = l.user_id)"""
 
 _BUCKET = "(('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8))::BIGINT % 100)"
 ORACLE["md5_split"] = with_views("training") + f"""

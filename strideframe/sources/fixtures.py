@@ -156,14 +156,14 @@ def new_logs_from(lg: DataFrame) -> DataFrame:
 
 @per_session
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patch requests: logs with ``id % 10 = 0``.
+    """Patch requests: one per log.
 
     Wrong owner when ``id % 30 = 0``; ``duration_min + 1`` always sent;
     intensity ``high`` when ``id % 20 = 0``; explicit null intensity when
     ``id % 50 = 10`` (wins over ``high``); an ignored ``equipment_used`` key
     when ``id % 70 = 0``.
     """
-    lg = logs(spark, sf_dir).filter(F.col("id") % 10 == 0)
+    lg = logs(spark, sf_dir)
     i = F.col("id")
     intensity_part = (F.when(i % 50 == 10, F.lit(', "intensity": null'))
                       .when(i % 20 == 0, F.lit(', "intensity": "high"'))
@@ -181,12 +181,12 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @per_session
 def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delete requests: logs with ``id % 17 = 0``; wrong owner when ``id % 34 = 0``."""
-    lg = logs(spark, sf_dir).filter(F.col("id") % 17 == 0)
+    """Delete requests: one per log; wrong owner when ``id % 3 = 0``."""
+    lg = logs(spark, sf_dir)
     i = F.col("id")
     return lg.select(
         i.alias("seq"), i.alias("id"),
-        F.when(i % 34 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(i % 3 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
     )
 
 
@@ -194,8 +194,7 @@ def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixed, ordered change list over the log table.
 
-    For every log with ``id % 5 = 0`` the list holds, in order
-    (``seq = 8 id + k``):
+    Every log gets requests; in order (``seq = 8 id + k``):
 
     * k=0 patch: duration + 5, type ``yoga``;
     * k=1 delete when ``id % 15 = 0`` (wrong owner when ``id % 45 = 0``);
@@ -212,7 +211,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changes_from(logs_df: DataFrame) -> DataFrame:
     """The change list of a log frame (batch or stream)."""
-    lg = logs_df.filter(F.col("id") % 5 == 0)
+    lg = logs_df
     i = F.col("id")
     uid = F.col("user_id")
     none = F.lit(None).cast("string")
@@ -250,24 +249,21 @@ def changes_from(logs_df: DataFrame) -> DataFrame:
 
 @per_session
 def new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registration requests.
+    """Registration requests: one per customer, ``seq`` = key.
 
-    (a) every customer with ``c_custkey % 25 = 0`` registers again with its
-    own e-mail (conflict); (b) every customer with ``c_custkey % 5 = 1``
-    registers as ``new.<c_custkey % 97>@EXAMPLE.com`` (several requests per
-    e-mail, domain upper case), age 17 when ``c_custkey % 7 = 3``.
-    ``seq`` orders (a) before (b), by key.
+    * ``id % 25 = 0``: the customer's own e-mail again (conflict);
+    * ``id % 5 = 1``: ``new.<id % 97>@EXAMPLE.com`` (several requests per
+      e-mail, upper-case domain; the first valid one wins), age 17 when
+      ``id % 7 = 3``;
+    * otherwise ``member.<id>@Example.Org`` (new; the domain is lower-cased).
     """
     u = users(spark, sf_dir)
-    again = u.filter(F.col("id") % 25 == 0).select(
-        F.col("id").alias("seq"), "email", "age", "goal", "equipment")
-    fresh = u.filter(F.col("id") % 5 == 1).select(
-        (F.lit(10 ** 12).cast("long") + F.col("id")).alias("seq"),
-        F.concat(F.lit("new."), (F.col("id") % 97).cast("string"), F.lit("@EXAMPLE.com")).alias("email"),
-        F.when(F.col("id") % 7 == 3, F.lit(17)).otherwise(F.col("age")).alias("age"),
-        "goal", "equipment",
-    )
-    return again.unionByName(fresh)
+    i = F.col("id")
+    email = (F.when(i % 25 == 0, F.col("email"))
+             .when(i % 5 == 1, F.concat(F.lit("new."), (i % 97).cast("string"), F.lit("@EXAMPLE.com")))
+             .otherwise(F.concat(F.lit("member."), i.cast("string"), F.lit("@Example.Org"))))
+    age = F.when((i % 25 != 0) & (i % 5 == 1) & (i % 7 == 3), F.lit(17)).otherwise(F.col("age"))
+    return u.select(i.alias("seq"), email.alias("email"), age.alias("age"), "goal", "equipment")
 
 
 @per_session
