@@ -38,13 +38,14 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             .option("maxFilesPerTrigger", 1).parquet(sf_dir))
 
 
-def intake(requests: DataFrame, users: DataFrame) -> DataFrame:
+def intake(requests: DataFrame, users: DataFrame, request_rows: int | None = None) -> DataFrame:
     """T-1 core: create requests -> outcome accepted / invalid / auth outcome.
 
-    A stream-static join (static users on the left of a right join, which
-    Structured Streaming supports without state).
+    On a micro-batch (``request_rows`` counted) the users table is first
+    narrowed to the batch's user ids by a size-checked broadcast semi-join,
+    so a batch never shuffles or joins the whole users table.
     """
-    checked = R.validate(principal_outcome(requests, users), R.log_rules())
+    checked = R.validate(principal_outcome(requests, users, request_rows=request_rows), R.log_rules())
     outcome = (F.when(F.col("auth").isNotNull(), F.col("auth"))
                .when(F.size("errors") > 0, F.lit(S.INVALID))
                .otherwise(F.lit("accepted")))
@@ -53,21 +54,26 @@ def intake(requests: DataFrame, users: DataFrame) -> DataFrame:
 
 def stream_logs(requests: DataFrame, users: DataFrame, out_dir: str, checkpoint: str,
                 available_now: bool = True):
-    """T-1: split a request stream into accepted rows and per-request outcomes."""
-    decided = intake(requests, users)
+    """T-1: split a request stream into accepted rows and per-request outcomes.
 
+    Each micro-batch is decided as a batch (``foreachBatch``): counted, users
+    narrowed to its ids, outcomes and accepted rows written under the batch
+    id (a replayed batch overwrites its own folders).
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        batch.select("seq", "user_id", "outcome", "errors").write.mode("overwrite").parquet(
+        decided = intake(batch, users, request_rows=batch.count()).persist()
+        decided.select("seq", "user_id", "outcome", "errors").write.mode("overwrite").parquet(
             os.path.join(out_dir, "outcomes", f"batch={batch_id}"))
-        batch.filter(F.col("outcome") == "accepted").select(
+        decided.filter(F.col("outcome") == "accepted").select(
             "seq", "user_id",
             F.try_to_date(F.col("workout_date"), "yyyy-MM-dd").alias("workout_date"),
             "duration_min", "intensity", "workout_type", "calories_burned",
         ).write.mode("overwrite").parquet(os.path.join(out_dir, "accepted", f"batch={batch_id}"))
+        decided.unpersist()
         batch.unpersist()
 
-    w = decided.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = requests.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
