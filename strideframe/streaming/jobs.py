@@ -108,23 +108,28 @@ def run_scores_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_changes(changes: DataFrame, table_base: str, checkpoint: str, now,
                    users: DataFrame | None = None, available_now: bool = True):
-    """T-3: apply each micro-batch of changes to the newest snapshot and write
-    the next version (``v = batchId + 1``).  A replayed batch whose version is
-    complete is skipped; a partial one is rewritten."""
+    """T-3: apply each micro-batch of changes to the snapshot it builds on and
+    write the next version.
+
+    Batch ``b`` reads version ``b`` and writes version ``b + 1``.  Outcomes
+    are written first, the table last; a replayed batch whose table is
+    complete (``_SUCCESS``) is skipped, since its outcomes exist too.  A
+    partial table is rewritten from version ``b``, so a retry never reads its
+    own half-written output.
+    """
     spark = changes.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         target = os.path.join(table_base, f"v={batch_id + 1:06d}")
         if TB._path_exists(spark, os.path.join(target, "_SUCCESS")):
             return
-        current = TB.latest_snapshot(spark, table_base)
-        logs = TB.read_logs(spark, current)
+        logs = TB.read_logs(spark, os.path.join(table_base, f"v={batch_id:06d}"))
         result = CH.apply_changes(batch, logs, now, users)
+        result.outcomes.write.mode("overwrite").parquet(
+            os.path.join(table_base, "_outcomes", f"batch={batch_id}"))
         # Untouched rows keep the order they were read in (the snapshot's
         # clustering); only the small rewritten slice is new.
         result.table.write.mode("overwrite").parquet(target)
-        result.outcomes.write.mode("overwrite").parquet(
-            os.path.join(table_base, "_outcomes", f"batch={batch_id}"))
 
     w = changes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
