@@ -110,6 +110,17 @@ def q_training_frame(spark, d):
     return FX.training(spark, d)
 
 
+def q_training_csv(spark, d):
+    """S-1: the feature table written as CSV (scratch folder) and read back."""
+    from ..session import scratch_dir
+    from ..sources import tables as TB
+
+    path = scratch_dir(spark, "training-csv")
+    FX.training(spark, d).select("workout_type", "equipment", "intensity", "duration_min",
+                                 "calories_burned", "goal").write.option("header", True).csv(path)
+    return TB.read_training(spark, path)
+
+
 def q_live_requests(spark, d):
     return ID.live_requests(FX.requests(spark, d), FX.issues(spark, d))
 
@@ -240,6 +251,7 @@ QUERIES: dict[str, QueryFn] = {
     "register_users": q_register_users,
     "register_users_table": q_register_users_table,
     "training_frame": q_training_frame,
+    "training_csv": q_training_csv,
     "live_requests": q_live_requests,
     "create_logs": q_create_logs,
     "create_logs_table": q_create_logs_table,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,6 +88,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint location (never machine-local
+    on a cluster)."""
+    base = ensure_checkpoint_dir(spark)
+    return os.path.join(base, "strideframe-scratch", f"{name}-{uuid.uuid4().hex}")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (survives executor loss) and cut lineage."""
     ensure_checkpoint_dir(df.sparkSession)

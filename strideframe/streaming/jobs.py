@@ -9,7 +9,6 @@ that batch's folder), so a replay after a failure does not duplicate rows.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +19,11 @@ from ..operators import changes as CH
 from ..operators import features as FE
 from ..operators import model as MO
 from ..operators.records import principal_outcome
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 from ..sources import fixtures as FX
 from ..sources import tables as TB
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "strideframe-streams", f"{name}-{uuid.uuid4().hex}")
-
-
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as a file stream (schema from the table, not inferred)."""
     schema = FX.table(spark, sf_dir, "events").schema

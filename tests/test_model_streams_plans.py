@@ -12,6 +12,7 @@ from strideframe.operators import model as MO
 from strideframe.operators import records as RC
 from strideframe.sources import fixtures as FX
 from strideframe.sources import tables as TB
+from strideframe.session import scratch_dir
 from strideframe.streaming import jobs as JB
 
 
@@ -67,7 +68,7 @@ def test_model_round_trip(spark, trained, tmp_path):
 
 
 def test_stream_intake_equals_batch_and_replay_adds_nothing(spark):
-    base = JB.scratch_dir(spark, "test-intake")
+    base = scratch_dir(spark, "test-intake")
     out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
     users = FX.users(spark, SF_SMALL)
     reqs = FX.new_logs_from(FX.logs_from_events(JB.events_stream(spark, SF_SMALL)))
@@ -119,7 +120,7 @@ def test_no_unpartitioned_window(spark):
 def test_stream_changes_replay_writes_no_new_version(spark):
     from strideframe.operators import changes as CH
 
-    base = JB.scratch_dir(spark, "test-changes")
+    base = scratch_dir(spark, "test-changes")
     table_base, ckpt = os.path.join(base, "logs"), os.path.join(base, "ckpt")
     TB.write_snapshot(FX.logs(spark, SF_SMALL).select(*S.LOG_COLUMNS), table_base, 0)
     now = F.lit(FX.FIXTURE_NOW).cast("timestamp_ntz")

@@ -158,6 +158,12 @@ def test_training_csv_null_tokens(spark):
     assert rows[1]["equipment"] is None and rows[1]["intensity"] is None
     assert rows[1]["duration_min"] is None and rows[1]["calories_burned"] is None
     assert rows[2]["equipment"] is None and rows[2]["goal"] is None
+    raised = False
+    try:
+        TB.read_training(spark, os.path.join(folder, "absent.csv"))
+    except Exception:
+        raised = True
+    assert raised
 
 
 def test_tables_are_versioned_not_overwritten(spark):
