@@ -133,3 +133,24 @@ def test_stream_changes_replay_writes_no_new_version(spark):
     chg2 = FX.changes_from(FX.logs_from_events(JB.events_stream(spark, SF_SMALL)))
     JB.stream_changes(chg2, table_base, ckpt, now, users).awaitTermination()
     assert TB.latest_snapshot(spark, table_base) == latest
+
+
+def test_change_engine_filters_the_log_table_without_shuffling_it(spark):
+    from strideframe.operators import changes as CH
+
+    now = F.lit(FX.FIXTURE_NOW).cast("timestamp_ntz")
+    table = CH.apply_changes(FX.changes(spark, SF_SMALL), FX.logs(spark, SF_SMALL), now,
+                             FX.users(spark, SF_SMALL)).table
+    table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    # untouched rows: broadcast anti-join straight over the events scan
+    lines = plan.split("\n")
+    anti = [i for i, l in enumerate(lines) if "BroadcastHashJoin" in l and "LeftAnti" in l]
+    assert anti, plan
+    # no exchange sits between that anti-join and its scan
+    i = anti[0]
+    j = i + 1
+    while j < len(lines) and "FileScan" not in lines[j]:
+        assert "Exchange" not in lines[j], plan
+        j += 1
+    assert "events" in lines[j] or "parquet" in lines[j]
