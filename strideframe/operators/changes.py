@@ -140,14 +140,14 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     parsed = changes.select("seq", "op", "id", "user_id", "body",
                             F.try_parse_json(F.col("body")).alias("_v"))
     parsed = parsed.withColumn("_v", F.when(op.isin("create", "patch"), F.col("_v")))
-    ch = checkpoint(parse_patch(parse_create(parsed, variant="_v"), variant="_v"))
-    n = ch.count()
+    requests = checkpoint(parse_patch(parse_create(parsed, variant="_v"), variant="_v"))
+    n = requests.count()
+    # the ids the batch touches come straight from the requests
+    ids_side = maybe_broadcast(requests.select("id").distinct(), n)
     if users is not None:
-        ch = principal_outcome(ch, users, request_rows=n)
+        ch = principal_outcome(requests, users, request_rows=n)
     else:
-        ch = ch.withColumn("auth", F.lit(None).cast("string"))
-    ids = ch.select("id").distinct()
-    ids_side = maybe_broadcast(ids, n)
+        ch = requests.withColumn("auth", F.lit(None).cast("string"))
 
     stored = log_view(logs)
     hit_stored = stored.join(ids_side, "id", "left_semi")
