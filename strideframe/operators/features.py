@@ -80,10 +80,9 @@ def vocabulary(df: DataFrame, cols: list[str]) -> DataFrame:
     count per feature, so a feature with very many values is not one task.
     Null is not a category.
     """
-    stacked = None
-    for c in cols:
-        part = df.select(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
-        stacked = part if stacked is None else stacked.unionByName(part)
+    # one pass: every row emits one (feature, value) pair per column
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols])))
     distinct = stacked.filter(F.col("value").isNotNull()).distinct().withColumn("_one", F.lit(1))
     ranked = running_totals(distinct, ["feature"], ["value"], ["_one"], ["_cum"])
     return ranked.select("feature", "value", (F.col("_cum") - 1).alias("index"))

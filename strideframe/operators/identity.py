@@ -109,13 +109,15 @@ def live_requests(requests: DataFrame, issues: DataFrame,
            .withColumn("_b", F.floor(F.col("_s") / ttl_seconds)))
     per_bucket = iss.groupBy("user_id", "_b").agg(
         F.min("issued_at").alias("_first_issue"), F.max("_s").alias("_last_s"))
-    # The same rows keyed by the *next* bucket hold "latest issue before".
-    cur = per_bucket.select("user_id", "_b", "_first_issue",
-                            F.lit(None).cast("long").alias("_prev_last_s"))
-    prev = per_bucket.select("user_id", (F.col("_b") + 1).alias("_b"),
-                             F.lit(None).cast(per_bucket.schema["_first_issue"].dataType).alias("_first_issue"),
-                             F.col("_last_s").alias("_prev_last_s"))
-    lookup = cur.unionByName(prev).groupBy("user_id", "_b").agg(
+    # Each bucket row also speaks for the *next* bucket ("latest issue
+    # before"); one pass emits both, then one row per (user, bucket).
+    ts_type = per_bucket.schema["_first_issue"].dataType
+    both = per_bucket.select("user_id", F.inline(F.array(
+        F.struct(F.col("_b").alias("_b"), F.col("_first_issue").alias("_first_issue"),
+                 F.lit(None).cast("long").alias("_prev_last_s")),
+        F.struct((F.col("_b") + 1).alias("_b"), F.lit(None).cast(ts_type).alias("_first_issue"),
+                 F.col("_last_s").alias("_prev_last_s")))))
+    lookup = both.groupBy("user_id", "_b").agg(
         F.min("_first_issue").alias("_first_issue"), F.max("_prev_last_s").alias("_prev_last_s"))
     req = requests.withColumn("_s", secs("ts")).withColumn("_b", F.floor(F.col("_s") / ttl_seconds))
     j = lookup.join(req, ["user_id", "_b"], "right")

@@ -91,9 +91,10 @@ def score(requests: DataFrame, model: TrainedModel | None) -> DataFrame:
     if model is None:
         raise RuntimeError("ML model is not loaded: train or load a model before scoring")
     checked = scoring_domain(requests).withColumn("intensity_numeric", ordinal("intensity"))
-    good = predict(model, checked.filter("accepted"))
-    bad = checked.filter(~F.col("accepted")).withColumn("predicted_goal", F.lit(None).cast("string"))
-    both = good.unionByName(bad)
+    # One pass: every request goes through the pipeline (unseen and null
+    # values encode safely), rejected ones keep no prediction.
+    both = predict(model, checked).withColumn(
+        "predicted_goal", F.when(F.col("accepted"), F.col("predicted_goal")))
     return both.withColumn(
         "result", F.when(F.col("accepted"),
                          result_line("workout_type", "equipment", "predicted_goal"))).drop(
@@ -158,13 +159,11 @@ def best_split(df: DataFrame, numeric: list[str] | None = None,
     # One pass over the rows: counts per (feature, value, class) for every
     # feature at once, materialised (its size is the number of distinct
     # values, not of rows) and read by every step below.
-    parts = [labelled.select(F.lit(c).alias("feature"), F.col(c).cast("double").alias("num"),
-                             F.lit(None).cast("string").alias("cat"), label) for c in numeric]
-    parts += [labelled.select(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("num"),
-                              F.col(c).cast("string").alias("cat"), label) for c in categorical]
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("num"),
+                      F.lit(None).cast("string").alias("cat")) for c in numeric]
+    pairs += [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("num"),
+                       F.col(c).cast("string").alias("cat")) for c in categorical]
+    stacked = labelled.select(label, F.inline(F.array(*pairs)))
     counts = checkpoint(stacked.groupBy("feature", "num", "cat", label)
                         .agg(F.count(F.lit(1)).alias("n")))
     classes = [r[0] for r in counts.select(label).distinct().orderBy(label)

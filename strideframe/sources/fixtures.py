@@ -210,41 +210,38 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes_from(logs_df: DataFrame) -> DataFrame:
-    """The change list of a log frame (batch or stream)."""
-    lg = logs_df
+    """The change list of a log frame (batch or stream), in one pass: every
+    log emits its requests as an array of structs."""
     i = F.col("id")
     uid = F.col("user_id")
     none = F.lit(None).cast("string")
 
-    def rows(df, k, op, id_col, user_col, body):
-        return df.select((i * 8 + k).alias("seq"), F.lit(op).alias("op"), id_col.alias("id"),
-                         user_col.alias("user_id"), body.alias("body"))
+    def req(k, op, id_col, user_col, body, when=None):
+        r = F.struct((i * 8 + k).alias("seq"), F.lit(op).alias("op"), id_col.alias("id"),
+                     user_col.alias("user_id"), body.cast("string").alias("body"))
+        return r if when is None else F.when(when, r)
 
     create_body = F.to_json(F.struct(
         F.date_format("workout_date", "yyyy-MM-dd").alias("workout_date"),
         (F.col("duration_min") + 1).alias("duration_min"),
         F.col("intensity"), F.col("workout_type"), F.col("calories_burned")))
-    parts = [
-        rows(lg, 0, "patch", i, uid,
-             F.concat(F.lit('{"duration_min": '), (F.col("duration_min") + 5).cast("string"),
-                      F.lit(', "workout_type": "yoga"}'))),
-        rows(lg.filter(i % 15 == 0), 1, "delete", i,
-             F.when(i % 45 == 0, uid + 1).otherwise(uid), none),
-        rows(lg, 2, "patch", i, uid,
-             F.when(i % 25 == 0, F.lit('{"intensity": null}'))
-             .otherwise(F.lit('{"intensity": "low", "workout_type": "running"}'))),
-        rows(lg.filter(i % 20 == 0), 3, "create", -i, uid, create_body),
-        rows(lg.filter(i % 60 == 0), 4, "create", i, uid, create_body),
-        rows(lg.filter(i % 20 == 0), 5, "patch", -i, uid,
-             F.concat(F.lit('{"duration_min": '), (F.col("duration_min") + 9).cast("string"),
-                      F.lit("}"))),
-        rows(lg.filter(i % 40 == 0), 6, "delete", -i, uid, none),
-        rows(lg.filter(i % 40 == 0), 7, "patch", -i, uid, F.lit('{"intensity": "high"}')),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    reqs = F.array(
+        req(0, "patch", i, uid,
+            F.concat(F.lit('{"duration_min": '), (F.col("duration_min") + 5).cast("string"),
+                     F.lit(', "workout_type": "yoga"}'))),
+        req(1, "delete", i, F.when(i % 45 == 0, uid + 1).otherwise(uid), none, i % 15 == 0),
+        req(2, "patch", i, uid,
+            F.when(i % 25 == 0, F.lit('{"intensity": null}'))
+            .otherwise(F.lit('{"intensity": "low", "workout_type": "running"}'))),
+        req(3, "create", -i, uid, create_body, i % 20 == 0),
+        req(4, "create", i, uid, create_body, i % 60 == 0),
+        req(5, "patch", -i, uid,
+            F.concat(F.lit('{"duration_min": '), (F.col("duration_min") + 9).cast("string"), F.lit("}")),
+            i % 20 == 0),
+        req(6, "delete", -i, uid, none, i % 40 == 0),
+        req(7, "patch", -i, uid, F.lit('{"intensity": "high"}'), i % 40 == 0),
+    )
+    return logs_df.select(F.inline(F.filter(reqs, lambda r: r.isNotNull())))
 
 
 @per_session
