@@ -137,8 +137,14 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     # patches and deletes read patch fields.  The parsed requests are
     # checkpointed: every branch below reads them, and the count is exact.
     op = F.col("op")
-    parsed = changes.select("seq", "op", "id", "user_id", "body",
-                            F.try_parse_json(F.col("body")).alias("_v"))
+    src = changes.select("seq", "op", "id", "user_id", "body")
+    par = src.sparkSession.sparkContext.defaultParallelism
+    if not src.isStreaming and src.rdd.getNumPartitions() < par:
+        # a batch read from few files: spread the parsing over the cluster
+        # (round robin: no key, so one hot id cannot skew it)
+        src = src.repartition(par)
+    parsed = src.select("seq", "op", "id", "user_id", "body",
+                        F.try_parse_json(F.col("body")).alias("_v"))
     parsed = parsed.withColumn("_v", F.when(op.isin("create", "patch"), F.col("_v")))
     requests = checkpoint(parse_patch(parse_create(parsed, variant="_v"), variant="_v"))
     n = requests.count()
