@@ -119,13 +119,15 @@ def parse_create(df: DataFrame, body: str = "body", variant: str | None = None)
 
 
 def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
-                  users: DataFrame | None = None) -> ChangeResult:
+                  users: DataFrame | None = None, materialize: bool = False) -> ChangeResult:
     """D-7: apply an ordered list of creates, patches and deletes in one pass.
 
     ``changes``: ``seq, op, id, user_id, body``.  A create carries its own id;
     an id already stored, or taken by an earlier accepted create, is a
     ``conflict`` (ids are never reused).  With ``users`` given, the owner of
-    every request must be an existing, active user first.
+    every request must be an existing, active user first.  ``materialize``
+    checkpoints the per-request decisions, for callers that write both the
+    outcomes and the table (each would otherwise recompute them).
 
     Plan: the parsed requests are checkpointed and counted.  When their ids
     fit the broadcast budget, the log table is only *filtered* - a broadcast
@@ -209,6 +211,9 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
                .when(constraint.isNotNull(), constraint)
                .otherwise(F.lit(S.OK)))
     j = j.withColumn("outcome", outcome)
+    if materialize:
+        j = checkpoint(j)
+        dead = j.filter(F.col("dead").isNotNull()).select("id", "dead").distinct()
     pd_out = j.select("seq", "op", "id", "user_id", "outcome")
 
     # ---- fold accepted patches per log ---------------------------------

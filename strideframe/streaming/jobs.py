@@ -117,7 +117,7 @@ def stream_changes(changes: DataFrame, table_base: str, checkpoint: str, now,
         if TB._path_exists(spark, os.path.join(target, "_SUCCESS")):
             return
         logs = TB.read_logs(spark, os.path.join(table_base, f"v={batch_id:06d}"))
-        result = CH.apply_changes(batch, logs, now, users)
+        result = CH.apply_changes(batch, logs, now, users, materialize=True)
         result.outcomes.write.mode("overwrite").parquet(
             os.path.join(table_base, "_outcomes", f"batch={batch_id}"))
         # Untouched rows keep the order they were read in (the snapshot's

@@ -176,22 +176,23 @@ def brute_force(changes, logs_rows, users):
     return outcomes, table
 
 
-def _run(spark, changes, with_users):
+def _run(spark, changes, with_users, materialize=False):
     logs = spark.createDataFrame(_logs_rows(), S.LOGS)
     ch = spark.createDataFrame(changes, S.CHANGES)
     users = _users_df(spark) if with_users else None
-    res = CH.apply_changes(ch, logs, F.lit(NOW).cast("timestamp_ntz"), users)
+    res = CH.apply_changes(ch, logs, F.lit(NOW).cast("timestamp_ntz"), users, materialize=materialize)
     got_out = {r["seq"]: r["outcome"] for r in res.outcomes.collect()}
     got_tab = {r["id"]: r.asDict() for r in res.table.collect()}
     return got_out, got_tab
 
 
-@pytest.mark.parametrize("seed,with_users", [(1, True), (2, False), (3, True), (4, True)])
-def test_apply_changes_equals_one_by_one(spark, seed, with_users):
+@pytest.mark.parametrize("seed,with_users,materialize",
+                         [(1, True, False), (2, False, False), (3, True, True), (4, True, False)])
+def test_apply_changes_equals_one_by_one(spark, seed, with_users, materialize):
     rng = random.Random(seed)
     changes = _random_changes(rng, 60)
     exp_out, exp_tab = brute_force(changes, _logs_rows(), USERS if with_users else None)
-    got_out, got_tab = _run(spark, changes, with_users)
+    got_out, got_tab = _run(spark, changes, with_users, materialize)
     assert got_out == exp_out
     assert got_tab == exp_tab
 
