@@ -23,6 +23,7 @@ def resolve_principals(requests: DataFrame, users: DataFrame) -> DataFrame:
     u = public_users(users).select(F.col("id").alias("user_id"),
                                    *[F.col(c).alias(f"user_{c}") for c in PUBLIC_USER_COLUMNS
                                      if c != "id"])
+    u = semi_filter(u, requests, ["user_id"])   # counted: narrow users when the batch is small
     j = u.join(requests, "user_id", "right")
     outcome = (F.when(F.col("user_id").isNull(), F.lit(S.UNAUTHORIZED))
                .when(F.col("user_is_active").isNull(), F.lit(S.UNAUTHORIZED))
@@ -40,8 +41,8 @@ def resolve_logins(attempts: DataFrame, users: DataFrame) -> DataFrame:
     inactive users may still log in (the login path does not check it).
     The e-mail is compared exactly as sent.
     """
-    u = users.select("email", F.col("id").alias("user_id"))
-    j = u.join(attempts, "email", "right")   # AQE broadcasts the users side when it is small
+    u = semi_filter(users.select("email", F.col("id").alias("user_id")), attempts, ["email"])
+    j = u.join(attempts, "email", "right")
     outcome = (F.when(F.col("user_id").isNull(), F.lit(S.BAD_CREDENTIALS))
                .when(~F.coalesce(F.col("password_ok"), F.lit(False)), F.lit(S.BAD_CREDENTIALS))
                .otherwise(F.lit(S.OK)))

@@ -40,12 +40,12 @@ def users_by_id(users: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame
     so rows never multiply.
     """
     u = public_users(users).withColumnRenamed("id", key) if key != "id" else public_users(users)
-    return keys.join(u, key, "inner")
+    return keys.join(semi_filter(u, keys, [key]), key, "inner")
 
 
 def users_by_email(users: DataFrame, keys: DataFrame) -> DataFrame:
     """F-2: exact, case-sensitive e-mail match."""
-    return keys.join(public_users(users), "email", "inner")
+    return keys.join(semi_filter(public_users(users), keys, ["email"]), "email", "inner")
 
 
 def logs_for_owner(logs: DataFrame, requests: DataFrame, request_rows: int | None = None) -> DataFrame:
