@@ -34,6 +34,7 @@ def scoring_domain(df: DataFrame) -> DataFrame:
         "message", F.when(~accepted, F.lit(S.SCORING_DOMAIN_MESSAGE)))
 
 
-def outcome_counts(df: DataFrame, by: str = "outcome") -> DataFrame:
-    """A-4: rows per outcome (partially aggregated)."""
-    return df.groupBy(by).agg(F.count(F.lit(1)).cast("long").alias("n"))
+def outcome_counts(df: DataFrame, by: str | list[str] = "outcome") -> DataFrame:
+    """A-4: rows per outcome, or per (op, outcome) etc. (partially aggregated)."""
+    cols = [by] if isinstance(by, str) else list(by)
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).cast("long").alias("n"))

@@ -165,7 +165,7 @@ def q_apply_changes_table(spark, d):
 
 def q_outcome_counts(spark, d):
     out = CH.apply_changes(FX.changes(spark, d), FX.logs(spark, d), _now(), FX.users(spark, d)).outcomes
-    return out.groupBy("op", "outcome").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    return QA.outcome_counts(out, ["op", "outcome"])
 
 
 def q_md5_split(spark, d):
