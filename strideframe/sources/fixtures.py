@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import os
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,14 @@ FIXTURE_EPOCH = "2024-01-01 00:00:00"
 FIXTURE_NOW = "2025-01-01 00:00:00"
 
 
+# Views defined so far, per live session (entries go with their session).
+_VIEWS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _views(spark: SparkSession) -> dict:
+    return _VIEWS.setdefault(spark, {})
+
+
 def per_session(builder):
     """Define a view once per (session, folder) and reuse the DataFrame.
 
@@ -54,7 +63,7 @@ def per_session(builder):
     """
     @functools.wraps(builder)
     def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views = spark.__dict__.setdefault("_strideframe_views", {})
+        views = _views(spark)
         key = (builder.__name__, os.path.abspath(sf_dir))
         if key not in views:
             views[key] = builder(spark, sf_dir)
@@ -63,7 +72,7 @@ def per_session(builder):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    views = spark.__dict__.setdefault("_strideframe_views", {})
+    views = _views(spark)
     key = ("table:" + name, os.path.abspath(sf_dir))
     if key not in views:
         views[key] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
