@@ -223,3 +223,55 @@ def test_broadcast_budget_and_checked_joins(spark):
             assert SZ.semi_filter(big, keys, ["k"]).join(keys, "k").count() == 100
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_best_split_against_brute_force(spark):
+    from strideframe.operators import model as MO
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        goal = rng.choice(["a", "b", "c"])
+        dur = rng.randint(1, 12) + (5 if goal == "a" else 0)
+        cal = None if i % 37 == 0 else round(rng.random() * 10, 1)
+        rows.append((rng.choice(["run", "yoga", None]), rng.choice(["gym", "none"]), dur, cal,
+                     rng.choice([1, 2, 3, 4]), goal))
+    df = spark.createDataFrame(
+        rows, "workout_type string, equipment string, duration_min int, calories_burned double, "
+              "intensity_numeric int, goal string")
+    got = {r["feature"]: r for r in MO.best_split(df).collect()}
+
+    def gini_split(left, right):
+        def imp(part):
+            n = sum(part.values())
+            return n - sum(v * v for v in part.values()) / n
+        nl, nr = sum(left.values()), sum(right.values())
+        return (imp(left) + imp(right)) / (nl + nr)
+
+    def count(labels):
+        out = {}
+        for g in labels:
+            out[g] = out.get(g, 0) + 1
+        return out
+
+    expected = {}
+    for j, name in ((2, "duration_min"), (3, "calories_burned"), (4, "intensity_numeric")):
+        pts = [(r[j], r[5]) for r in rows if r[j] is not None]
+        vals = sorted({v for v, _ in pts})
+        best = None
+        for a, b in zip(vals, vals[1:]):
+            t = (a + b) / 2
+            imp = gini_split(count(g for v, g in pts if v <= t), count(g for v, g in pts if v > t))
+            key = (round(imp, 9), t)
+            best = key if best is None or key < best else best
+        expected[name] = best
+    for j, col in ((0, "workout_type"), (1, "equipment")):
+        for cat in {r[j] for r in rows if r[j] is not None}:
+            imp = gini_split(count(r[5] for r in rows if r[j] != cat),
+                             count(r[5] for r in rows if r[j] == cat))
+            expected[f"{col}={cat}"] = (round(imp, 9), 0.5)
+    assert set(got) == set(expected)
+    for f, (imp, t) in expected.items():
+        assert abs(got[f]["impurity"] - imp) < 1e-6 and abs(got[f]["threshold"] - t) < 1e-6, f
+    best = min(expected, key=lambda f: (expected[f][0], f))
+    assert [f for f, r in got.items() if r["best"]] == [best]
