@@ -275,3 +275,14 @@ def test_best_split_against_brute_force(spark):
         assert abs(got[f]["impurity"] - imp) < 1e-6 and abs(got[f]["threshold"] - t) < 1e-6, f
     best = min(expected, key=lambda f: (expected[f][0], f))
     assert [f for f, r in got.items() if r["best"]] == [best]
+
+
+def test_one_hot_unseen_and_standardize_zero_deviation(spark):
+    fit = spark.createDataFrame([("yoga", 5.0), ("run", 5.0), ("yoga", 5.0)], "t string, x double")
+    df = spark.createDataFrame([("yoga", 5.0), ("zumba", None), (None, 7.0)], "t string, x double")
+    oh = {r["t"]: r for r in FE.one_hot(df, "t", fit=fit).collect()}
+    assert oh["yoga"]["t_slot"] == 1 and oh["yoga"]["t_width"] == 2 and oh["yoga"]["t_onehot"] == "0,1"
+    assert oh["zumba"]["t_slot"] is None and oh["zumba"]["t_onehot"] == "0,0"
+    assert oh[None]["t_slot"] is None and oh[None]["t_onehot"] == "0,0"
+    sc = {r["t"]: r["x_scaled"] for r in FE.standardize(df, ["x"], fit=fit).collect()}
+    assert sc["yoga"] == 0.0 and sc["zumba"] is None and sc[None] == 2.0   # deviation 0 -> divide by 1
