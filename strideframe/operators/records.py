@@ -84,8 +84,11 @@ def history(logs: DataFrame, owners: DataFrame | None = None, ranked: bool = Tru
     """O-1: each owner's logs newest first, with ``rank`` (1 = newest).
 
     Ties on ``created_at`` are broken by ``id`` descending.  Ranking uses the
-    range-partitioned running count, so one owner with a huge history is
-    spread over many tasks instead of one window partition.
+    running count of ``running_totals``: a window when the input has at most
+    ``small_input_rows`` rows (counted), otherwise range partitions, so one
+    owner with a huge history is spread over many tasks instead of one window
+    partition.  ``ranked=False`` returns the rows in that order (a global
+    sort, range-partitioned the same way) without ranks.
     """
     rows = log_view(owner_logs(logs, owners) if owners is not None else logs)
     if not ranked:
