@@ -135,6 +135,9 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     and all per-log work runs on the touched slice, so the table is never
     shuffled.  Beyond the budget the same joins run as shuffle joins on ``id``.
     """
+    if changes.isStreaming:
+        raise ValueError("apply_changes takes a batch DataFrame; for a stream use "
+                         "strideframe.streaming.jobs.stream_changes (one call per micro-batch)")
     # Each body is parsed once (as VARIANT); creates read create fields,
     # patches and deletes read patch fields.  The parsed requests are
     # checkpointed: every branch below reads them, and the count is exact.
