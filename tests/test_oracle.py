@@ -10,8 +10,10 @@ from oracle_compare import compare, duck
 
 from conftest import SF_SMALL
 
-SQL = E.oracle_sql()
-FAST = [n for n in E.queries() if n in SQL and not n.startswith("stream_")]
+from strideframe.plans import ORACLE, QUERIES
+
+SQL = {k: v for k, v in ORACLE.items() if k in QUERIES}
+FAST = [n for n in QUERIES if n in SQL and not n.startswith("stream_")]
 
 
 @pytest.fixture(scope="module")
@@ -26,9 +28,9 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_a_callable():
-    q = E.queries()
-    assert set(SQL) <= set(q)
-    rows_only = set(q) - set(SQL)
+    assert set(QUERIES) <= set(E.queries())
+    assert set(SQL) <= set(QUERIES)
+    rows_only = set(QUERIES) - set(SQL)
     assert rows_only == {"tree_scores", "score_requests", "stream_scores", "model_accuracy"}
 
 
