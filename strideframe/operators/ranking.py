@@ -3,15 +3,16 @@
 A window ``partitionBy(group).orderBy(order)`` sends every row of a group to
 one task; one hot group (a user with a third of all logs, a feature with
 millions of distinct values) then runs on a single core and may not fit its
-memory.  ``running_totals`` computes the same result in three steps:
-
-1. range-partition on ``(group, order)`` and sort inside each partition.  The
-   range partitioner samples the composite key, so a hot group is cut into
-   several partitions of similar size.  The result is checkpointed to the
-   shared checkpoint folder: partition ids and row order are then fixed, also
-   when a task is retried on another executor.
-2. one pass per partition (``mapInPandas``, vectorised cumsum over Arrow
-   batches) gives running totals inside the partition.
+memory.  ``running_totals`` computes the same result, for every input size in
+the same way and with built-in functions only:
+
+1. range-partition on ``(group, order)``.  The range partitioner samples the
+   composite key, so a hot group is cut into several partitions of similar
+   size.  Each row keeps its partition's number; the result is checkpointed
+   to the shared checkpoint folder, so the numbers hold when a task is retried
+   on another executor.
+2. a window per (partition number, group) gives the totals inside the
+   partition; its largest input is one range partition.
 3. a group that continues from earlier partitions can only be the *first*
    group of a partition, so at most one offset row exists per partition.
    Offsets are a sum over earlier partitions of the group's totals; the table
@@ -21,9 +22,7 @@ memory.  ``running_totals`` computes the same result in three steps:
 from __future__ import annotations
 
 from functools import reduce
-from typing import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,120 +30,48 @@ from pyspark.sql import types as T
 from ..session import checkpoint
 
 PID = "_rt_pid"
-
-
-def _names(cols) -> list[str]:
-    out = []
-    for c in cols:
-        if isinstance(c, str):
-            out.append(c)
-        else:
-            raise TypeError("group columns must be column names")
-    return out
-
-
-def _local_scan(group: list[str], values: list[str], outs: list[str]):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        prev_key = None
-        carry = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[group]
-            # a new group starts where any key column differs from the row
-            # before (nulls equal nulls)
-            shifted = keys.shift(1)
-            same = ((keys == shifted) | (keys.isna() & shifted.isna())).all(axis=1)
-            if prev_key is not None:
-                first = tuple(keys.iloc[0])
-                same.iloc[0] = all(
-                    (a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(first, prev_key))
-            else:
-                same.iloc[0] = False
-            seg = (~same).cumsum()
-            vals = pdf[values].fillna(0)
-            cums = vals.groupby(seg.values).cumsum()
-            if carry is not None and bool(same.iloc[0]):
-                first_seg = seg == seg.iloc[0]
-                for v in values:
-                    cums.loc[first_seg, v] += carry[v]
-            for v, o in zip(values, outs):
-                pdf[o] = cums[v].values
-            prev_key = tuple(keys.iloc[-1])
-            carry = {v: pdf[o].iloc[-1] for v, o in zip(values, outs)}
-            yield pdf
-    return scan
-
-
-# Inputs of at most this many rows take a plain window: no group can be
-# larger than the whole input, so one group per task stays bounded.
-SMALL_INPUT_ROWS = 500_000
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def running_totals(df: DataFrame, group: list[str], order: list[Column | str],
                    values: list[str], outs: list[str] | None = None,
-                   num_partitions: int | None = None,
-                   small_input_rows: int | None = SMALL_INPUT_ROWS) -> DataFrame:
+                   num_partitions: int | None = None) -> DataFrame:
     """Add inclusive running sums of ``values`` per ``group`` in ``order``.
 
     ``values`` must be numeric column names (nulls count as 0); ``outs`` are
     the output names (default ``cum_<value>``).  Output types are long for
-    integral inputs, double otherwise.  Group keys must not be null.
-
-    The input is counted first; when it holds at most ``small_input_rows``
-    rows the sums come from a window (bounded by that count), otherwise from
-    the range-partitioned scan below.  ``small_input_rows=None`` always takes
-    the distributed path.
+    integral inputs (exact), double otherwise.  A null group key is a group
+    like any other.  Rows that tie in ``order`` follow each other in any order.
     """
-    group = _names(group)
     outs = outs or [f"cum_{v}" for v in values]
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     sort_cols = [F.col(g) for g in group] + order_cols
+    kinds = ["long" if isinstance(df.schema[v].dataType, _INTEGRAL) else "double" for v in values]
+    addends = [F.coalesce(F.col(v).cast(k), F.lit(0).cast(k)) for v, k in zip(values, kinds)]
 
-    if small_input_rows is not None and num_partitions is None and df.count() <= small_input_rows:
-        w = Window.partitionBy(*group).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-        sums = []
-        for v, o in zip(values, outs):
-            dt = df.schema[v].dataType
-            integral = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-            sums.append(F.sum(F.coalesce(F.col(v), F.lit(0))).over(w)
-                        .cast("long" if integral else "double").alias(o))
-        return df.select(*df.columns, *sums)
-
-    ranged = checkpoint(
-        df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-        .withColumn(PID, F.spark_partition_id())
-    )
-
-    out_fields = []
-    for v, o in zip(values, outs):
-        dt = ranged.schema[v].dataType
-        integral = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        out_fields.append(T.StructField(o, T.LongType() if integral else T.DoubleType(), True))
-    local_schema = T.StructType(list(ranged.schema.fields) + out_fields)
-    local = ranged.mapInPandas(_local_scan(group, values, outs), local_schema)
+    ranged = checkpoint(df.repartitionByRange(n, *sort_cols).withColumn(PID, F.spark_partition_id()))
+    within = Window.partitionBy(PID, *group).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select("*", *[F.sum(a).over(within).alias(o) for a, o in zip(addends, outs)])
 
     # The first group of each partition is the only one that can continue
     # from earlier partitions; each partition holds at most two such groups
     # (its first and its last), so every table below has O(num_partitions) rows.
-    first_keys = ranged.groupBy(PID).agg(F.min(F.struct(*group)).alias("_first")).select(
-        PID, *[F.col(f"_first.{g}").alias(g) for g in group])
-    boundary = F.broadcast(first_keys.select(*group).distinct())
-    totals = (ranged.join(boundary, group, "left_semi")
-              .groupBy(PID, *group).agg(*[F.sum(v).alias(v) for v in values]))
-    w_prev = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        PID, *group,
-        *[F.coalesce(F.sum(v).over(w_prev), F.lit(0)).alias(f"_off_{v}") for v in values])
-    nonzero = reduce(lambda a, b: a | b, [F.col(f"_off_{v}") != 0 for v in values])
-    offsets = offsets.join(F.broadcast(first_keys), [PID, *group], "left_semi").filter(nonzero)
-    # At most one row per partition: a bounded broadcast.
-    joined = local.join(F.broadcast(offsets), [PID, *group], "left")
-    result = joined.select(
-        *[c for c in local.columns if c not in outs and c != PID],
-        *[(F.col(o) + F.coalesce(F.col(f"_off_{v}"), F.lit(0))).cast(f.dataType).alias(o)
-          for v, o, f in zip(values, outs, out_fields)],
-    )
-    return result
+    key = [f"_g{i}" for i in range(len(group))]
+    first = ranged.groupBy(PID).agg(F.min(F.struct(*group)).alias("_first")).select(
+        F.col(PID).alias("_pid"), *[F.col(f"_first.{g}").alias(k) for g, k in zip(group, key)])
+
+    def same_group() -> Column:
+        return reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, key)])
+
+    totals = (ranged.join(F.broadcast(first.select(*key).distinct()), same_group(), "left_semi")
+              .groupBy(PID, *group).agg(*[F.sum(a).alias(f"_off{i}") for i, a in enumerate(addends)]))
+    earlier = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(PID, *group, *[F.sum(f"_off{i}").over(earlier).alias(f"_off{i}") for i in range(len(values))])
+    offsets = before.join(F.broadcast(first), (F.col(PID) == F.col("_pid")) & same_group()).select(
+        "_pid", *key, *[f"_off{i}" for i in range(len(values))])
+    joined = local.join(F.broadcast(offsets), (F.col(PID) == F.col("_pid")) & same_group(), "left")
+    return joined.select(
+        *df.columns,
+        *[(F.col(o) + F.coalesce(F.col(f"_off{i}"), F.lit(0).cast(k))).alias(o)
+          for i, (o, k) in enumerate(zip(outs, kinds))])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import rules as R
 from ..session import checkpoint
-from .ranking import SMALL_INPUT_ROWS, running_totals
+from .ranking import running_totals
 from .sizing import keyed_join, semi_filter
 
 PUBLIC_USER_COLUMNS = ["id", "email", "is_active", "age", "goal", "equipment", "created_at"]
@@ -79,15 +79,12 @@ def active_users(users: DataFrame) -> DataFrame:
     return users.filter(F.col("is_active"))
 
 
-def history(logs: DataFrame, owners: DataFrame | None = None, ranked: bool = True,
-            small_input_rows: int | None = SMALL_INPUT_ROWS) -> DataFrame:
+def history(logs: DataFrame, owners: DataFrame | None = None, ranked: bool = True) -> DataFrame:
     """O-1: each owner's logs newest first, with ``rank`` (1 = newest).
 
     Ties on ``created_at`` are broken by ``id`` descending.  Ranking uses the
-    running count of ``running_totals``: a window when the input has at most
-    ``small_input_rows`` rows (counted), otherwise range partitions, so one
-    owner with a huge history is spread over many tasks instead of one window
-    partition.  ``ranked=False`` returns the rows in that order (a global
+    running count of ``running_totals``, so one owner with a huge history is
+    spread over many tasks instead of one window partition.  ``ranked=False`` returns the rows in that order (a global
     sort, range-partitioned the same way) without ranks.
     """
     rows = log_view(owner_logs(logs, owners) if owners is not None else logs)
@@ -95,7 +92,7 @@ def history(logs: DataFrame, owners: DataFrame | None = None, ranked: bool = Tru
         return rows.orderBy("user_id", F.desc("created_at"), F.desc("id"))
     rows = rows.withColumn("_one", F.lit(1))
     out = running_totals(rows, ["user_id"], [F.desc("created_at"), F.desc("id")],
-                         ["_one"], ["rank"], small_input_rows=small_input_rows)
+                         ["_one"], ["rank"])
     return out.drop("_one")
 
 

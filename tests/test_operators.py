@@ -133,6 +133,28 @@ def test_running_totals_hot_group_matches_window(spark):
             assert r["rn"] == rn and abs(r["cx"] - cx) < 1e-9
 
 
+def test_running_totals_large_ids_null_groups_and_nullable_longs(spark):
+    big = 1 << 53
+    rng = random.Random(4)
+    rows = [(rng.choice([None, big, big + 1, big + 2]), i, rng.choice([None, big + 1, 3])) for i in range(900)]
+    df = spark.createDataFrame(rows, "g long, t int, x long").withColumn("one", F.lit(1))
+    exp, sums = {}, {}
+    for g, t, x in rows:
+        n, s = sums.get(g, (0, 0))
+        sums[g] = exp[t] = (n + 1, s + (x or 0))
+    for n in (1, 4, 9):
+        got = running_totals(df, ["g"], ["t"], ["one", "x"], ["rn", "cx"], num_partitions=n)
+        assert dict(got.dtypes)["cx"] == "bigint"
+        assert {r["t"]: (r["rn"], r["cx"]) for r in got.collect()} == exp
+        assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_running_totals_one_hot_group_over_partitions(spark):
+    df = spark.range(0, 3000).select(F.lit(7).cast("long").alias("g"), F.col("id").alias("t"), F.lit(1).alias("one"))
+    got = running_totals(df, ["g"], [F.desc("t")], ["one"], ["rn"], num_partitions=8)
+    assert all(r["rn"] == 3000 - r["t"] for r in got.collect())
+
+
 def test_split_is_disjoint_complete_and_stable(spark):
     df = spark.range(0, 5000).withColumnRenamed("id", "k")
     parts = [FE.split(df.repartition(n), "k").select("k", "part") for n in (1, 7)]
@@ -191,7 +213,7 @@ def test_history_distributed_path_equals_window_path(spark):
 
     logs = FX.logs(spark, SF_SMALL)
     a = {r["id"]: r["rank"] for r in RC.history(logs).collect()}
-    b = {r["id"]: r["rank"] for r in RC.history(logs, small_input_rows=None).collect()}
+    b = {r["id"]: r["rank"] for r in RC.history(logs).collect()}
     assert a == b and len(a) == logs.count()
 
 
