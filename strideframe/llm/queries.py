@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, simhash, suffixes
+from ..session import scratch_dir
+from . import bpe, decontaminate, host_reputation, host_rules, langid, licences, quotes, simhash, suffixes, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +19,22 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licences(spark, d):
+    return licences.licences_of(_table(spark, d, "documents"))
+
+
 def op2_bpe(spark, d):
     return bpe.token_digests(_table(spark, d, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op3_quotes(spark, d):
+    return quotes.link(_table(spark, d, "conversations"))
+
+
+def op4_host_reputation(spark, d):
+    return host_reputation.judge_labelled(_table(spark, d, "pages"), _table(spark, d, "labels"))
+
+
 def op5_decontaminate(spark, d):
     return decontaminate.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
 
@@ -38,7 +51,22 @@ def op8_simhash(spark, d):
     return simhash.near_duplicates(_table(spark, d, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_decontaminate, op6_language_id, op7_suffix_dedup, op8_simhash)}
+def op9_host_rules(spark, d):
+    return host_rules.judge(_table(spark, d, "documents"))
+
+
+def op10_token_files(spark, d):
+    folder = scratch_dir(spark, "token_files")
+    token_files.write(_table(spark, d, "documents").select("doc_id", "text"), folder, _vocabulary("word_bpe_49k.json"))
+    return token_files.positions(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_licences, op2_bpe, op3_quotes, op4_host_reputation, op5_decontaminate, op6_language_id,
+                                   op7_suffix_dedup, op8_simhash, op9_host_rules, op10_token_files)}
 
 #: DuckDB SQL of the queries that SQL can express; tests hold the others against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_quotes": quotes.SQL,
+    "op4_host_reputation": host_reputation.SQL,
+    "op9_host_rules": host_rules.SQL,
+}
