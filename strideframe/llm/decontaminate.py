@@ -30,6 +30,7 @@ bytes leak where they stand as they are.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -258,10 +259,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
     items match nothing; a repeated item or row is judged each time.
     """
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in item_blocks(benchmark, block_bytes)]
+    blocks = [(uuid.uuid4().hex, sc.broadcast(b)) for b in item_blocks(benchmark, block_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [_items(b) for b in blocks]
+        tables = [_items(name, b) for name, b in blocks]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32())]))
         for batch in batches:
             col = batch.column(1)
@@ -279,16 +280,16 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
     return with_rows(docs, "text", run, LEAKS)
 
 
-_BUILT: dict[int, Items] = {}
+_BUILT: dict[str, Items] = {}
 
 
-def _items(block) -> Items:
+def _items(name: str, block) -> Items:
     """A worker builds the tables of a broadcast block once."""
-    if block.id not in _BUILT:
+    if name not in _BUILT:
         if len(_BUILT) > 16:
             _BUILT.clear()
-        _BUILT[block.id] = Items(block.value)
-    return _BUILT[block.id]
+        _BUILT[name] = Items(block.value)
+    return _BUILT[name]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
