@@ -24,6 +24,7 @@ def _len_ok(c: str, n: int) -> Column:
 def user_rules() -> list[tuple[str, Column]]:
     return [
         ("email_syntax", F.col("email").rlike(EMAIL_PATTERN)),
+        ("email_len", _len_ok("email", S.EMAIL_MAX_LEN)),
         ("age_range", F.col("age").between(S.AGE_MIN, S.AGE_MAX)),
         ("goal_len", _len_ok("goal", S.GOAL_MAX_LEN)),
         ("equipment_len", _len_ok("equipment", S.EQUIPMENT_MAX_LEN)),
@@ -37,7 +38,8 @@ def log_rules(date_col: str = "workout_date") -> list[tuple[str, Column]]:
         ("duration_positive", F.col("duration_min") > 0),
         ("intensity_len", _len_ok("intensity", S.LOG_TEXT_MAX_LEN)),
         ("type_len", _len_ok("workout_type", S.LOG_TEXT_MAX_LEN)),
-        ("calories_positive", F.col("calories_burned").isNull() | (F.col("calories_burned") > 0)),
+        ("calories_positive", F.col("calories_burned").isNull()
+         | ((F.col("calories_burned") > 0) & ~F.isnan(F.col("calories_burned").cast("double")))),
     ]
 
 
@@ -52,10 +54,3 @@ def errors_of(rules: list[tuple[str, Column]]) -> Column:
 def validate(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """F-7: add ``errors``; valid rows have an empty array."""
     return df.withColumn("errors", errors_of(rules))
-
-
-def split_valid(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with ``errors``)."""
-    checked = validate(df, rules)
-    ok = F.size("errors") == 0
-    return checked.filter(ok).drop("errors"), checked.filter(~ok)

@@ -3,7 +3,8 @@
 
 The result equals applying the requests one by one in ``seq`` order, but it
 is computed with equi-joins and per-id aggregates (partial aggregation, no
-per-id window), so one log with millions of changes is not one task:
+per-id window); requests meet what is unique per id in joins that Spark can
+split, so one log with millions of changes is not one task:
 
 * the owner of a log never changes (it is not patchable), so a request
   *hits* a log when the owner matches and the log exists at ``seq``;
@@ -30,10 +31,11 @@ from .. import schemas as S
 from ..functions import rules as R
 from ..session import checkpoint
 from .records import LOG_VIEW_COLUMNS, ChangeResult, log_view, principal_outcome
-from .sizing import maybe_broadcast
+from .sizing import maybe_broadcast, split_join
 
 NUMBER_TYPE = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 INT_TEXT = r"^[+-]?[0-9]+$"
+NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INT_MAX = 2147483647
 
 
@@ -107,14 +109,40 @@ def _patch_constraint() -> Column:
 
 
 def parse_create(df: DataFrame, body: str = "body", variant: str | None = None) -> DataFrame:
-    """Typed log fields of a create request's JSON body."""
+    """Typed log fields of a create request's JSON body, and ``create_ok``.
+
+    ``create_ok`` is false if the body is no object or a field has a kind its
+    column does not take: text for date, intensity and type; a whole number
+    (or its text) for the duration; a number (or its text) or null for the
+    calories.
+    """
     v = F.col(variant) if variant else F.try_parse_json(F.col(body))
+
+    def kind(f):
+        return _kind(v, f)
+
+    def text(f):
+        return F.try_variant_get(v, f"$.{f}", "string")
+
+    def number(f):
+        return F.try_variant_get(v, f"$.{f}", "double")
+
+    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    for f in ("workout_date", "intensity", "workout_type"):
+        ok = ok & F.coalesce(kind(f) == "string", F.lit(False))
+    whole = F.coalesce(((kind("duration_min") == "number") & (number("duration_min") == F.floor(number("duration_min"))))
+                       | ((kind("duration_min") == "string") & text("duration_min").rlike(INT_TEXT)), F.lit(False)) \
+        & F.coalesce(F.abs(number("duration_min")) <= INT_MAX, F.lit(False))
+    burned = kind("calories_burned")
+    ok = ok & whole & F.coalesce(burned.isNull() | (burned == "null") | (burned == "number")
+                                 | ((burned == "string") & text("calories_burned").rlike(NUMBER_TEXT)), F.lit(False))
     return df.withColumns({
-        "workout_date": F.try_variant_get(v, "$.workout_date", "string"),
-        "duration_min": F.try_variant_get(v, "$.duration_min", "int"),
-        "intensity": F.try_variant_get(v, "$.intensity", "string"),
-        "workout_type": F.try_variant_get(v, "$.workout_type", "string"),
-        "calories_burned": F.try_variant_get(v, "$.calories_burned", "double"),
+        "create_ok": ok,
+        "workout_date": F.when(kind("workout_date") == "string", text("workout_date")),
+        "duration_min": F.when(whole, number("duration_min").cast("int")),
+        "intensity": F.when(kind("intensity") == "string", text("intensity")),
+        "workout_type": F.when(kind("workout_type") == "string", text("workout_type")),
+        "calories_burned": F.when(burned.isin("number", "string"), number("calories_burned")),
     })
 
 
@@ -124,7 +152,8 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
 
     ``changes``: ``seq, op, id, user_id, body``.  A create carries its own id;
     an id already stored, or taken by an earlier accepted create, is a
-    ``conflict`` (ids are never reused).  With ``users`` given, the owner of
+    ``conflict`` (ids are never reused).  Every request has an outcome: an
+    unknown or null ``op`` is ``invalid``.  With ``users`` given, the owner of
     every request must be an existing, active user first.  ``materialize``
     checkpoints the per-request decisions, for callers that write both the
     outcomes and the table (each would otherwise recompute them).
@@ -167,23 +196,23 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     # ---- creates ------------------------------------------------------
     # A create names its log: a missing id is a broken rule like any other.
     cr = R.validate(ch.filter(F.col("op") == "create"),
-                    R.log_rules() + [("id_present", F.col("id").isNotNull())])
+                    R.log_rules() + [("id_present", F.col("id").isNotNull()), ("body_types", F.col("create_ok"))])
     cr_ok = cr.filter(F.col("auth").isNull() & (F.size("errors") == 0))
-    cand = cr_ok.join(hit_stored.select("id"), "id", "left_anti")
-    winners = cand.groupBy("id").agg(
+    # the first create of an id, before anything is joined by it: one row per id
+    winners = cr_ok.groupBy("id").agg(
         F.min("seq").alias("born"),
         F.min_by(F.struct(
             F.col("user_id").alias("owner"),
             F.try_to_date(F.col("workout_date"), "yyyy-MM-dd").alias("workout_date"),
             "duration_min", "intensity", "workout_type", "calories_burned"), F.col("seq")).alias("w"),
-    )
+    ).join(hit_stored.select("id"), "id", "left_anti")
     born = winners.select(
         "id", F.col("w.owner").alias("user_id"), "w.workout_date", "w.duration_min",
         "w.intensity", "w.workout_type", "w.calories_burned",
         now.alias("created_at"), now.alias("updated_at"), "born")
     entity = hit_stored.withColumn("born", F.lit(None).cast("long")).unionByName(born)
 
-    create_out = cr.join(winners.select("id", "born"), "id", "left").select(
+    create_out = split_join(cr, winners.select("id", "born"), ["id"], "left").select(
         "seq", "op", "id", "user_id",
         F.when(F.col("auth").isNotNull(), F.col("auth"))
         .when(F.size("errors") > 0, F.lit(S.INVALID))
@@ -195,7 +224,7 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     base = entity.select(
         "id", F.col("user_id").alias("owner"), "born",
         *[F.col(f).alias(f"b_{f}") for f in S.PATCHABLE_FIELDS])
-    j = base.join(pd_, "id", "right")
+    j = split_join(pd_, base, ["id"], "left")
     is_patch = F.col("op") == "patch"
     invalid = is_patch & _patch_invalid()
     hit = (F.col("auth").isNull() & ~F.coalesce(invalid, F.lit(False))
@@ -204,7 +233,7 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     j = j.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("_invalid", invalid)
     dead = (j.filter((F.col("op") == "delete") & F.col("_hit"))
             .groupBy("id").agg(F.min("seq").alias("dead")))
-    j = j.join(dead, "id", "left")
+    j = split_join(j, dead, ["id"], "left")
     alive = F.col("_hit") & (F.col("dead").isNull() | (F.col("seq") <= F.col("dead")))
     constraint = _patch_constraint()
     outcome = (F.when(F.col("auth").isNotNull(), F.col("auth"))
@@ -241,9 +270,15 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
         F.when(any_changed, now).otherwise(F.col("updated_at")).alias("updated_at"),
     ).select(*LOG_VIEW_COLUMNS)
 
+    # a request that asks for nothing known is answered too
+    known = F.coalesce(F.col("op").isin("create", "patch", "delete"), F.lit(False))
+    other_out = ch.filter(~known).select(
+        "seq", "op", "id", "user_id", F.coalesce(F.col("auth"), F.lit(S.INVALID)).alias("outcome"))
+
     table = untouched.unionByName(rewritten)
-    outcomes = create_out.unionByName(pd_out)
-    return ChangeResult(table, outcomes)
+    outcomes = create_out.unionByName(pd_out).unionByName(other_out)
+    gone = dead.join(entity.select("id"), "id", "left_semi").select("id")
+    return ChangeResult(table, outcomes, rewritten, gone)
 
 
 def patch_logs(patches: DataFrame, logs: DataFrame, now: Column,

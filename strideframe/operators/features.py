@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.columns import md5_bucket, ordinal
+from ..session import checkpoint
 from .ranking import running_totals
+from .sizing import split_join
 
 
 def training_frame(logs: DataFrame, users: DataFrame) -> DataFrame:
@@ -88,30 +90,26 @@ def vocabulary(df: DataFrame, cols: list[str]) -> DataFrame:
     return ranked.select("feature", "value", (F.col("_cum") - 1).alias("index"))
 
 
-def one_hot(df: DataFrame, col: str, fit: DataFrame | None = None) -> DataFrame:
+def one_hot(df: DataFrame, col: str, fit: DataFrame | None = None, as_text: bool = True) -> DataFrame:
     """M-3 in column form: slot of the category in the sorted vocabulary of
-    ``fit``, the width, and the 0/1 vector as text.  Unseen and null give all
-    zeros (no slot), like the reference's ``handle_unknown='ignore'``.
+    ``fit`` and the width; ``as_text`` adds the 0/1 vector as text (an output
+    format for few categories).  Unseen and null give no slot (all zeros),
+    like the reference's ``handle_unknown='ignore'``.
 
-    The vocabulary is one small array (distinct categories) computed as a
-    scalar subquery.
+    The rows meet the vocabulary (unique per category) in a join that Spark can split.
     """
     fit = fit if fit is not None else df
-    vocab_name = f"_vocab_{col}"
-    # The vocabulary subquery is bound to a column first: Spark does not
-    # allow a subquery inside the lambda of ``transform``.
-    with_vocab = df.withColumn(
-        vocab_name, fit.select(F.array_sort(F.collect_set(F.col(col).cast("string")))).scalar())
-    vocab = F.col(vocab_name)
-    v = F.col(col).cast("string")
-    pos = F.array_position(vocab, v)
-    return with_vocab.withColumns({
-        f"{col}_slot": F.when(pos > 0, pos - 1).cast("int"),
-        f"{col}_width": F.size(vocab).cast("int"),
-        f"{col}_onehot": F.array_join(
-            F.transform(vocab, lambda c: F.when(c == v, F.lit(1)).otherwise(F.lit(0)).cast("string")),
-            ","),
-    }).drop(vocab_name)
+    # materialised: the vocabulary is numbered once, for the width and the join
+    vocab = checkpoint(vocabulary(fit, [col]))
+    slot, width, key = F.col(f"{col}_slot"), F.col(f"{col}_width"), f"_key_{col}"
+    slots = vocab.select(F.col("value").alias(key), F.col("index").cast("int").alias(f"{col}_slot"))
+    out = split_join(df.withColumn(key, F.col(col).cast("string")), slots, [key], "left").drop(key)
+    out = out.withColumn(f"{col}_width", F.lit(vocab.count()).cast("int"))
+    if not as_text:
+        return out
+    places = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+    return out.withColumn(f"{col}_onehot", F.array_join(
+        F.transform(places, lambda i: F.when(i == slot, F.lit("1")).otherwise(F.lit("0"))), ","))
 
 
 def feature_stages(numeric: list[str] | None = None, categorical: list[str] | None = None,
@@ -148,9 +146,3 @@ def feature_stages(numeric: list[str] | None = None, categorical: list[str] | No
         parts.extend(ohe)
     stages.append(VectorAssembler(inputCols=parts, outputCol=features_col))
     return stages
-
-
-def prepare_numeric(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
-    """Double copies of the numeric features for the Imputer stage."""
-    numeric = list(numeric if numeric is not None else S.NUMERIC_FEATURES)
-    return df.withColumns({f"_dbl_{c}": F.col(c).cast("double") for c in numeric})

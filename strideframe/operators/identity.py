@@ -11,7 +11,7 @@ from ..functions import rules as R
 from ..functions.columns import normalize_email
 from ..session import checkpoint
 from .records import PUBLIC_USER_COLUMNS, ChangeResult, public_users
-from .sizing import semi_filter
+from .sizing import semi_filter, split_join
 
 
 def resolve_principals(requests: DataFrame, users: DataFrame) -> DataFrame:
@@ -55,16 +55,16 @@ def accept_new_users(batch: DataFrame, users: DataFrame) -> DataFrame:
 
     The e-mail is normalised (domain lower-cased) before the uniqueness
     check.  An e-mail already stored is a conflict; inside the batch the first
-    arrival (lowest ``seq``) among valid requests wins.  The winner per e-mail
-    is a grouped ``min`` (partially aggregated), so one popular e-mail is not
-    one task.
+    arrival (lowest ``seq``) among valid requests wins.  The first arrivals
+    are grouped (partially aggregated) before anything is joined, and they
+    join the batch over a splittable join, so one popular e-mail is not one
+    task.
     """
     b = checkpoint(R.validate(batch.withColumn("email", normalize_email("email")), R.user_rules()))
     valid = b.filter(F.size("errors") == 0)
     stored = semi_filter(users.select("email"), b, ["email"], b.count())
-    fresh = valid.join(stored, "email", "left_anti")
-    first = fresh.groupBy("email").agg(F.min("seq").alias("_first"))
-    j = b.join(first, "email", "left")
+    first = valid.groupBy("email").agg(F.min("seq").alias("_first")).join(stored, "email", "left_anti")
+    j = split_join(b, first, ["email"], "left")
     outcome = (F.when(F.size("errors") > 0, F.lit(S.INVALID))
                .when(F.col("seq") == F.col("_first"), F.lit(S.CREATED))
                .otherwise(F.lit(S.CONFLICT)))

@@ -14,14 +14,14 @@ from . import features as FE
 from .quality import scoring_domain
 from ..session import checkpoint
 from .ranking import running_totals
+from .sizing import split_join
 
-# Classes above this count are refused rather than pivoted (a classifier
-# target, not an identifier).
-MAX_CLASSES = 10_000
+# Depth of the tree: the most that Spark's tree takes (there is no unbounded one).
+MAX_DEPTH = 30
 
 
 class TrainedModel(NamedTuple):
-    pipeline: object          # PipelineModel: features + tree (no label stage)
+    pipeline: object          # PipelineModel: casts, features, tree, class names (no label stage)
     labels: list[str]         # class names by label index
 
 
@@ -32,18 +32,20 @@ def _label_indexer(train: DataFrame, label: str):
                          handleInvalid="skip").fit(train)
 
 
-def train(df: DataFrame, max_depth: int = 5, max_bins: int = 32, seed: int = 42,
+def train(df: DataFrame, max_depth: int = MAX_DEPTH, max_bins: int = 32, seed: int = 42,
           numeric: list[str] | None = None, categorical: list[str] | None = None,
           label: str = S.LABEL) -> TrainedModel:
     """M-5: fit features + decision tree (gini, seed 42) on ``df``.
 
     ``df`` carries raw features with ``intensity_numeric`` already encoded.
     The label indexer is fitted apart and kept out of the scoring pipeline,
-    which therefore runs on rows without a goal.  Spark's tree is depth-bounded
+    which therefore runs on rows without a goal.  Casts and class names are
+    stages of it, so a saved pipeline scores by itself, whatever its features.  Spark's tree is depth-bounded
     (≤ 30) and bins numeric features; ``best_split`` gives the exact root split.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import IndexToString, SQLTransformer
 
     numeric = list(numeric if numeric is not None else S.NUMERIC_FEATURES)
     categorical = list(categorical if categorical is not None else S.CATEGORICAL_FEATURES)
@@ -53,12 +55,15 @@ def train(df: DataFrame, max_depth: int = 5, max_bins: int = 32, seed: int = 42,
     # Every stage fit and each tree level is a pass over the input: keep the
     # prepared rows (memory, spilling to disk; recomputed from lineage if an
     # executor is lost) instead of re-running the join per pass.
-    labeled = lab.transform(FE.prepare_numeric(df, numeric)).persist(StorageLevel.MEMORY_AND_DISK)
+    labeled = lab.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
     tree = DecisionTreeClassifier(featuresCol="features", labelCol="_label",
                                   predictionCol="_prediction", probabilityCol="_probability",
                                   rawPredictionCol="_raw", impurity="gini",
                                   maxDepth=max_depth, maxBins=max_bins, seed=seed)
-    pipe = Pipeline(stages=FE.feature_stages(numeric, categorical) + [tree])
+    casts = SQLTransformer(statement="SELECT *, " + ", ".join(
+        [f"CAST(`{c}` AS DOUBLE) AS `_dbl_{c}`" for c in numeric] or ["1 AS _dbl_"]) + " FROM __THIS__")
+    names = IndexToString(inputCol="_prediction", outputCol="predicted_goal", labels=list(lab.labels))
+    pipe = Pipeline(stages=[casts, *FE.feature_stages(numeric, categorical), tree, names])
     try:
         fitted = pipe.fit(labeled)
     finally:
@@ -66,27 +71,18 @@ def train(df: DataFrame, max_depth: int = 5, max_bins: int = 32, seed: int = 42,
     return TrainedModel(fitted, list(lab.labels))
 
 
-def predict(model: TrainedModel, df: DataFrame, numeric: list[str] | None = None,
-            out: str = "predicted_goal") -> DataFrame:
-    """Apply the fitted pipeline and map the class index back to its name."""
-    from pyspark.ml.feature import IndexToString
+def predict(model, df: DataFrame, out: str = "predicted_goal") -> DataFrame:
+    """Apply a fitted model (``train``'s, or one loaded from disk): ``df`` and the predicted class name."""
+    scored = getattr(model, "pipeline", model).transform(df)
+    return scored.select(*df.columns, F.col("predicted_goal").alias(out))
 
-    scored = model.pipeline.transform(FE.prepare_numeric(df, numeric))
-    named = IndexToString(inputCol="_prediction", outputCol=out, labels=model.labels).transform(scored)
-    drop = [c for c in named.columns if c.startswith("_")] + ["features"]
-    return named.drop(*drop)
 
-
-def accuracy(df: DataFrame, label: str = S.LABEL, pred: str = "predicted_goal") -> DataFrame:
-    """A-1: share of rows predicted right (one row, ``accuracy``)."""
-    return df.agg(F.avg((F.col(pred) == F.col(label)).cast("double")).alias("accuracy"))
-
-
-def score(requests: DataFrame, model: TrainedModel | None) -> DataFrame:
+def score(requests: DataFrame, model) -> DataFrame:
     """M-7: scoring requests -> accepted / message / predicted goal / line.
 
-    Requests outside the accepted values keep the domain message.  An absent
-    model is an error naming the cause.
+    ``model`` is ``train``'s result or a loaded one.  Requests outside the
+    accepted values keep the domain message.  An absent model is an error
+    naming the cause.
     """
     if model is None:
         raise RuntimeError("ML model is not loaded: train or load a model before scoring")
@@ -101,41 +97,29 @@ def score(requests: DataFrame, model: TrainedModel | None) -> DataFrame:
         "intensity_numeric")
 
 
-def tree_scores(train_df: DataFrame, max_depth: int = 5) -> DataFrame:
+def tree_scores(train_df: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """M-5..M-7 end to end: split by owner, fit on train, predict both parts."""
     df = FE.split(FE.with_ordinal(train_df), key="user_id")
     model = train(df.filter(F.col("part") == "train"), max_depth=max_depth)
     return predict(model, df)
 
 
-def split_accuracy(train_df: DataFrame, max_depth: int = 5) -> DataFrame:
+def split_accuracy(train_df: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """A-1 + M-6: held-out accuracy for a per-log split and a per-owner split.
 
     ``goal`` is a user attribute, so a per-log split puts one user's logs on
-    both sides and can inflate accuracy; the per-owner split cannot.  Each
-    row also carries Spark's ``MulticlassClassificationEvaluator`` accuracy as
-    a cross-check of the plain average.
+    both sides and can inflate accuracy; the per-owner split cannot.  One
+    scoring pass per split.
     """
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-
-    spark = train_df.sparkSession
-    rows = []
-    base = FE.with_ordinal(train_df)
-    ev = MulticlassClassificationEvaluator(labelCol="_l", predictionCol="_p", metricName="accuracy")
+    base, parts = FE.with_ordinal(train_df), []
     for key in ("id", "user_id"):
         df = FE.split(base, key=key)
         model = train(df.filter(F.col("part") == "train"), max_depth=max_depth)
         test = predict(model, df.filter(F.col("part") == "test"))
-        stats = test.agg(F.count(F.lit(1)).alias("n"),
-                         F.avg((F.col("predicted_goal") == F.col(S.LABEL)).cast("double")).alias("acc")).first()
-        # class index by the model's own label order (-1: a class unseen in training)
-        labels = F.array(*[F.lit(x) for x in model.labels])
-        indexed = test.select((F.array_position(labels, F.col(S.LABEL)) - 1).cast("double").alias("_l"),
-                              (F.array_position(labels, F.col("predicted_goal")) - 1).cast("double").alias("_p"))
-        acc_ml = ev.evaluate(indexed)
-        rows.append((key, int(stats["n"]), None if stats["acc"] is None else float(stats["acc"]),
-                     float(acc_ml)))
-    return spark.createDataFrame(rows, "split_key string, n_test long, accuracy double, accuracy_ml double")
+        parts.append(test.agg(F.count(F.lit(1)).alias("n_test"),
+                              F.avg((F.col("predicted_goal") == F.col(S.LABEL)).cast("double")).alias("accuracy"))
+                     .select(F.lit(key).alias("split_key"), "n_test", "accuracy"))
+    return parts[0].unionByName(parts[1])
 
 
 def best_split(df: DataFrame, numeric: list[str] | None = None,
@@ -147,9 +131,9 @@ def best_split(df: DataFrame, numeric: list[str] | None = None,
     Categorical feature: one indicator per category (``col=value``, left =
     other categories, right = this one; null counts as other), threshold 0.5.
 
-    Counts are pre-aggregated to (feature, value) with one count per class,
-    running class counts come from ``running_totals`` (no per-feature
-    window), and the picks are grouped ``min`` over structs.  Ties: lowest
+    Counts are pre-aggregated to (feature, value, class); running class counts
+    come from ``running_totals`` (no per-feature window, no list of classes),
+    and the picks are grouped ``min`` over structs.  Ties: lowest
     impurity (to 1e-9), then threshold; overall, then lowest feature name.
     """
     numeric = list(numeric if numeric is not None else S.NUMERIC_FEATURES)
@@ -166,50 +150,51 @@ def best_split(df: DataFrame, numeric: list[str] | None = None,
     stacked = labelled.select(label, F.inline(F.array(*pairs)))
     counts = checkpoint(stacked.groupBy("feature", "num", "cat", label)
                         .agg(F.count(F.lit(1)).alias("n")))
-    classes = [r[0] for r in counts.select(label).distinct().orderBy(label)
-               .limit(MAX_CLASSES + 1).collect()]
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
-    cnames = [f"_n{i}" for i in range(len(classes))]
-    wide = (counts.groupBy("feature", "num", "cat").pivot(label, classes).agg(F.sum("n"))
-            .select("feature", "num", "cat",
-                    *[F.coalesce(F.col(f"`{k}`"), F.lit(0)).cast("long").alias(c)
-                      for k, c in zip(classes, cnames)]))
-
-    # numeric features ----------------------------------------------------
-    per_value = (wide.filter(F.col("feature").isin(*numeric) & F.col("num").isNotNull())
-                 .select("feature", F.col("num").alias("value"), *cnames, F.lit(1).alias("_one")))
-    cum = running_totals(per_value, ["feature"], ["value"], cnames + ["_one"],
-                         [f"_c{n}" for n in cnames] + ["_rank"])
-    totals = per_value.groupBy("feature").agg(*[F.sum(n).alias(f"_t{n}") for n in cnames])
+    by_class = counts.groupBy("feature", label).agg(F.sum("n").alias("t"))
+    # per feature: rows and squared class counts, the same for every split
+    whole = by_class.groupBy("feature").agg(
+        F.sum("t").alias("n_all"), F.sum(F.col("t").cast("double") * F.col("t")).alias("sq_all"))
+
+    # numeric features: a class has L rows before a value and n at it, so the
+    # value takes 2 L n + n^2 to the left sum of squares and 2 (T - L) n - n^2
+    # from the right one; no list of classes is needed.
+    numbers = counts.filter(F.col("feature").isin(*numeric) & F.col("num").isNotNull()).select(
+        "feature", label, F.col("num").alias("value"), "n")
+    classes = numbers.groupBy("feature", label).agg(F.sum("n").alias("t"))
+    before = split_join(running_totals(numbers, ["feature", label], ["value"], ["n"], ["upto"]),
+                        classes, ["feature", label])
+    n, left, total = F.col("n").cast("double"), (F.col("upto") - F.col("n")).cast("double"), F.col("t").cast("double")
+    per_value = before.groupBy("feature", "value").agg(
+        F.sum("n").alias("n"), F.sum(2 * left * n + n * n).alias("gain"),
+        F.sum(2 * (total - left) * n - n * n).alias("loss"), F.lit(1).alias("_one"))
+    cum = running_totals(per_value, ["feature"], ["value"], ["n", "gain", "loss", "_one"],
+                         ["n_left", "sq_left", "lost", "_rank"])
     nxt = cum.select("feature", (F.col("_rank") - 1).alias("_rank"), F.col("value").alias("_next"))
+    num_whole = classes.groupBy("feature").agg(
+        F.sum("t").alias("n_all"), F.sum(F.col("t").cast("double") * F.col("t")).alias("sq_all"))
     cand = (cum.join(nxt, ["feature", "_rank"])          # unique (feature, rank): no growth
-            .join(F.broadcast(totals), "feature")       # one row per feature
-            .select("feature", ((F.col("value") + F.col("_next")) / 2).alias("threshold"),
-                    *[F.col(f"_c{n}").alias(f"L{n}") for n in cnames],
-                    *[(F.col(f"_t{n}") - F.col(f"_c{n}")).alias(f"R{n}") for n in cnames]))
+            .join(F.broadcast(num_whole), "feature")    # one row per feature
+            .select("feature", ((F.col("value") + F.col("_next")) / 2).alias("threshold"), "n_left",
+                    (F.col("n_all") - F.col("n_left")).alias("n_right"), "sq_left",
+                    (F.col("sq_all") - F.col("lost")).alias("sq_right")))
 
-    # categorical indicators ----------------------------------------------
+    # categorical indicators: left = other categories, right = this one
     if categorical:
-        per_cat = wide.filter(F.col("feature").isin(*categorical)).select(
-            F.col("feature").alias("_col"), F.col("cat").alias("value"), *cnames)
-        col_tot = per_cat.groupBy("_col").agg(*[F.sum(n).alias(f"_t{n}") for n in cnames])
-        cat_cand = (per_cat.filter(F.col("value").isNotNull())
-                    .join(F.broadcast(col_tot), "_col")      # one row per categorical column
-                    .select(F.concat("_col", F.lit("="), "value").alias("feature"),
-                            F.lit(0.5).alias("threshold"),
-                            *[(F.col(f"_t{n}") - F.col(n)).alias(f"L{n}") for n in cnames],
-                            *[F.col(n).alias(f"R{n}") for n in cnames]))
-        cand = cand.unionByName(cat_cand)
-
-    n_left = sum((F.col(f"L{n}") for n in cnames), F.lit(0))
-    n_right = sum((F.col(f"R{n}") for n in cnames), F.lit(0))
-    sq_left = sum((F.col(f"L{n}").cast("double") ** 2 for n in cnames), F.lit(0.0))
-    sq_right = sum((F.col(f"R{n}").cast("double") ** 2 for n in cnames), F.lit(0.0))
-    imp = ((n_left - sq_left / n_left) + (n_right - sq_right / n_right)) / (n_left + n_right)
-    scored = cand.select("feature", "threshold", n_left.cast("long").alias("n_left"),
-                         n_right.cast("long").alias("n_right"), imp.alias("impurity")).filter(
-        (F.col("n_left") > 0) & (F.col("n_right") > 0))
+        cats = split_join(counts.filter(F.col("feature").isin(*categorical) & F.col("cat").isNotNull()),
+                          by_class, ["feature", label])
+        n, total = F.col("n").cast("double"), F.col("t").cast("double")
+        per_cat = cats.groupBy("feature", "cat").agg(
+            F.sum("n").alias("n_right"), F.sum(n * n).alias("sq_right"), F.sum(2 * total * n - n * n).alias("lost"))
+        cand = cand.unionByName(per_cat.join(F.broadcast(whole), "feature").select(  # one row per feature
+            F.concat("feature", F.lit("="), "cat").alias("feature"), F.lit(0.5).alias("threshold"),
+            (F.col("n_all") - F.col("n_right")).alias("n_left"), "n_right",
+            (F.col("sq_all") - F.col("lost")).alias("sq_left"), "sq_right"))
+
+    n_left, n_right = F.col("n_left"), F.col("n_right")
+    imp = ((n_left - F.col("sq_left") / n_left) + (n_right - F.col("sq_right") / n_right)) / (n_left + n_right)
+    scored = cand.filter((n_left > 0) & (n_right > 0)).select(
+        "feature", "threshold", n_left.cast("long").alias("n_left"), n_right.cast("long").alias("n_right"),
+        imp.alias("impurity"))
     key = F.round("impurity", 9)
     per_feature = scored.groupBy("feature").agg(
         F.min(F.struct(key.alias("k"), "threshold", "impurity", "n_left", "n_right")).alias("b"))

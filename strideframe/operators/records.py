@@ -117,6 +117,8 @@ def delete_users(ids: DataFrame, users: DataFrame, logs: DataFrame) -> tuple[Dat
 class ChangeResult(NamedTuple):
     table: DataFrame
     outcomes: DataFrame
+    rewritten: DataFrame | None = None  # new state of the touched rows
+    gone: DataFrame | None = None       # ids of the deleted rows
 
 
 def principal_outcome(requests: DataFrame, users: DataFrame, key: str = "user_id",

@@ -90,3 +90,15 @@ def keyed_join(big: DataFrame, keys_df: DataFrame, on: list[str], how: str,
     if not keys_df.isStreaming:
         keys = maybe_broadcast(keys, keys_df.count() if rows is None else rows)
     return big.join(keys, on, how)
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join whose hot keys on the left AQE can split; ``right`` is unique per key.
+
+    A side that was just grouped by the key is already dealt out by it, and
+    Spark then leaves its partitions whole.  A second key column derived from
+    the first makes both sides exchanges of this join alone.
+    """
+    again = "__again"
+    return left.withColumn(again, F.xxhash64(*on)).join(
+        right.withColumn(again, F.xxhash64(*on)), [*on, again], how).drop(again)

@@ -155,6 +155,28 @@ def q_cascade_delete(spark, d):
     return kept_logs.select("id", "user_id")
 
 
+def q_cascade_delete_users(spark, d):
+    ids = FX.users(spark, d).filter(~F.col("is_active")).select("id")
+    kept_users, _ = RC.delete_users(ids, FX.users(spark, d), FX.logs(spark, d))
+    return kept_users.select("id", "email")
+
+
+def q_read_users(spark, d):
+    """S-2, S-4: the users written to a new table and read with the declared schema."""
+    from .. import schemas as S
+    from ..session import scratch_dir
+    from ..sources import tables as TB
+
+    path = scratch_dir(spark, "users")
+    TB.ensure_table(spark, path, S.USERS)
+    FX.users(spark, d).select(*S.USER_COLUMNS).write.mode("append").parquet(path)
+    return TB.read_users(spark, path)
+
+
+def q_select_features(spark, d):
+    return FE.select_features(FX.training(spark, d))
+
+
 def q_apply_changes(spark, d):
     return CH.apply_changes(FX.changes(spark, d), FX.logs(spark, d), _now(), FX.users(spark, d)).outcomes
 
@@ -214,6 +236,33 @@ def q_score_requests(spark, d):
         "request_id", "accepted", "message", "predicted_goal", "result")
 
 
+def q_score_outcomes(spark, d):
+    """What is determined of scoring whatever the tree: domain, message, whether there is a prediction."""
+    return _determined(q_score_requests(spark, d))
+
+
+def _determined(scored):
+    return scored.select("request_id", "accepted", "message", F.col("predicted_goal").isNotNull().alias("has_prediction"),
+                         F.col("result").isNotNull().alias("has_result"))
+
+
+def q_reloaded_scores(spark, d):
+    """S-6, S-7: the model saved, loaded and used for scoring."""
+    from ..session import scratch_dir
+    from ..sources import tables as TB
+
+    t = FE.with_ordinal(FE.split(FX.training(spark, d), "user_id"))
+    path = scratch_dir(spark, "model")
+    TB.save_model(MO.train(t.filter(F.col("part") == "train")), path)
+    return _determined(MO.score(FX.score_requests(spark, d), TB.load_model(spark, path)))
+
+
+def q_stream_score_outcomes(spark, d):
+    from ..streaming.jobs import run_scores_once
+
+    return _determined(run_scores_once(spark, d))
+
+
 def q_stream_intake(spark, d):
     from ..streaming.jobs import run_intake_once
 
@@ -260,6 +309,9 @@ QUERIES: dict[str, QueryFn] = {
     "delete_logs": q_delete_logs,
     "delete_logs_table": q_delete_logs_table,
     "cascade_delete": q_cascade_delete,
+    "cascade_delete_users": q_cascade_delete_users,
+    "read_users": q_read_users,
+    "select_features": q_select_features,
     "apply_changes": q_apply_changes,
     "apply_changes_table": q_apply_changes_table,
     "outcome_counts": q_outcome_counts,
@@ -272,7 +324,10 @@ QUERIES: dict[str, QueryFn] = {
     "tree_scores": q_tree_scores,
     "model_accuracy": q_model_accuracy,
     "score_requests": q_score_requests,
+    "score_outcomes": q_score_outcomes,
+    "reloaded_scores": q_reloaded_scores,
     "stream_intake": q_stream_intake,
     "stream_scores": q_stream_scores,
+    "stream_score_outcomes": q_stream_score_outcomes,
     "stream_changes": q_stream_changes,
 }

@@ -1,8 +1,8 @@
 """DuckDB twins of the registered queries.
 
-Written independently of the Spark code (windows, correlated subqueries and
-joins where they read naturally in SQL) so the comparison checks semantics,
-not a transliteration.  Base tables are the driver's views; the fixture views
+Windows, correlated subqueries and joins where they read naturally in SQL.
+The change list's SQL (``_apply_sql``) follows the same definition as the Spark
+fold; the check that shares nothing with it is the one-by-one property test.  Base tables are the driver's views; the fixture views
 are CTEs defined once below.
 """
 
@@ -75,6 +75,10 @@ FROM logs
 UNION ALL
 SELECT id * 8 + 3, 'create', -id, user_id, NULL, {_CREATE} FROM logs WHERE id % 20 = 0
 UNION ALL
+SELECT id * 8 + 3, CASE WHEN id % 20 = 1 THEN 'merge' END, id, user_id, NULL, {_NO_CREATE} FROM logs WHERE id % 20 IN (1, 2)
+UNION ALL  -- creates whose bodies hold a wrong type: no field can be read
+SELECT id * 8 + 3, 'create', -id, user_id, NULL, {_NO_CREATE} FROM logs WHERE id % 20 BETWEEN 3 AND 9
+UNION ALL
 SELECT id * 8 + 4, 'create', id, user_id, NULL, {_CREATE} FROM logs WHERE id % 60 = 0
 UNION ALL
 SELECT id * 8 + 5, 'patch', -id, user_id, '{{"duration_min": ' || CAST(duration_min + 9 AS VARCHAR) || '}}',
@@ -88,6 +92,7 @@ FROM logs WHERE id % 40 = 0"""
 _VIEWS["new_users"] = """
 SELECT id AS seq,
        CASE WHEN id % 25 = 0 THEN email
+            WHEN id % 25 = 7 THEN repeat('a', 250) || '@example.org'
             WHEN id % 5 = 1 THEN 'new.' || CAST(id % 97 AS VARCHAR) || '@EXAMPLE.com'
             ELSE 'member.' || CAST(id AS VARCHAR) || '@Example.Org' END AS email,
        CASE WHEN id % 25 <> 0 AND id % 5 = 1 AND id % 7 = 3 THEN 17 ELSE age END AS age,
@@ -142,6 +147,7 @@ def _auth(req: str, usr: str) -> str:
 def _user_errors(e: str = "email") -> str:
     return f"""concat_ws(',',
   CASE WHEN NOT coalesce(regexp_full_match({e}, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+'), false) THEN 'email_syntax' END,
+  CASE WHEN NOT coalesce(length({e}) <= 255, false) THEN 'email_len' END,
   CASE WHEN NOT coalesce(age BETWEEN 18 AND 120, false) THEN 'age_range' END,
   CASE WHEN NOT coalesce(goal IS NOT NULL AND length(goal) <= 50, false) THEN 'goal_len' END,
   CASE WHEN NOT coalesce(equipment IS NOT NULL AND length(equipment) <= 100, false) THEN 'equipment_len' END)"""
@@ -249,7 +255,10 @@ outcomes AS (
          WHEN w.seq IS NOT NULL THEN 'created' ELSE 'conflict' END AS outcome
   FROM cr LEFT JOIN win w ON w.seq = cr.seq
   UNION ALL
-  SELECT seq, op, id, user_id, outcome FROM po),
+  SELECT seq, op, id, user_id, outcome FROM po
+  UNION ALL
+  SELECT seq, op, id, user_id, coalesce(auth, 'invalid') FROM ch
+  WHERE op IS NULL OR op NOT IN ('create', 'patch', 'delete')),
 result AS (
   SELECT e.id, e.user_id, e.workout_date,
     coalesce(f.n_dur, e.duration_min) AS duration_min,
@@ -522,3 +531,19 @@ FROM nl"""
 # The streamed change list arrives in one micro-batch per file; the newest
 # snapshot equals the batch result.
 ORACLE["stream_changes"] = ORACLE["apply_changes_table"]
+
+ORACLE["cascade_delete_users"] = with_views("users") + """
+SELECT id, email FROM users WHERE coalesce(is_active, true)"""
+ORACLE["read_users"] = with_views("users") + """
+SELECT id, email, is_active, age, goal, equipment, created_at, updated_at FROM users"""
+ORACLE["select_features"] = with_views("training") + """
+SELECT workout_type, equipment, intensity, duration_min, calories_burned, goal FROM training"""
+
+# What is determined of scoring whatever the tree predicts.
+ORACLE["score_outcomes"] = with_views("score_requests") + f"""
+SELECT request_id, {_ACCEPTED} AS accepted,
+       CASE WHEN NOT {_ACCEPTED} THEN 'Invalid selection for workout type, equipment, or intensity.' END AS message,
+       {_ACCEPTED} AS has_prediction, {_ACCEPTED} AS has_result
+FROM score_requests"""
+ORACLE["reloaded_scores"] = ORACLE["score_outcomes"]
+ORACLE["stream_score_outcomes"] = ORACLE["score_outcomes"]

@@ -120,6 +120,13 @@ SCORE_REQUESTS = T.StructType([
     T.StructField("calories_burned", T.DoubleType(), True),
 ])
 
+# Rows of a change folder: the new state of a touched log, or its deletion.
+LOG_CHANGES = T.StructType([
+    *[T.StructField(f.name, f.dataType, True) for f in LOGS.fields],
+    T.StructField("deleted", T.BooleanType(), True),
+    T.StructField("change", T.LongType(), True),
+])
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
 # ---------------------------------------------------------------------------
@@ -143,6 +150,7 @@ TOKEN_TTL_SECONDS = 30 * 60
 
 # Storage limits: age range, string lengths.
 AGE_MIN, AGE_MAX = 18, 120
+EMAIL_MAX_LEN = 255
 GOAL_MAX_LEN = 50
 EQUIPMENT_MAX_LEN = 100
 LOG_TEXT_MAX_LEN = 50

@@ -209,7 +209,8 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     * k=1 delete when ``id % 15 = 0`` (wrong owner when ``id % 45 = 0``);
     * k=2 patch: intensity ``low`` and type ``running``, or an explicit null
       intensity when ``id % 25 = 0``;
-    * k=3 create of a new log ``-id`` when ``id % 20 = 0``;
+    * k=3 create of a new log ``-id`` when ``id % 20 = 0``; an unknown op when
+      it is 1, a null op when 2, a create with a wrong type when 3 to 9;
     * k=4 create reusing the stored id when ``id % 60 = 0`` (conflict);
     * k=5 patch of the new log ``-id`` when ``id % 20 = 0`` (duration + 9);
     * k=6 delete of the new log ``-id`` when ``id % 40 = 0``;
@@ -218,6 +219,19 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes_from(logs(spark, sf_dir))
 
 
+# Create bodies with a value of the wrong type, by ``id % 20``.
+_GOOD = '"workout_date": "2024-05-01", "intensity": "low", "workout_type": "yoga"'
+BAD_CREATES = {
+    3: '{%s, "duration_min": 30.7}' % _GOOD,
+    4: '{%s, "duration_min": true}' % _GOOD,
+    5: '{%s, "duration_min": 30, "calories_burned": "abc"}' % _GOOD,
+    6: '{"workout_date": "2024-05-01", "workout_type": "yoga", "duration_min": 30, "intensity": 5}',
+    7: '{%s, "duration_min": 30, "calories_burned": [1]}' % _GOOD,
+    8: '[1, 2]',
+    9: '{"workout_date": 20240501, "workout_type": "yoga", "duration_min": 30, "intensity": "low"}',
+}
+
+
 def changes_from(logs_df: DataFrame) -> DataFrame:
     """The change list of a log frame (batch or stream), in one pass: every
     log emits its requests as an array of structs."""
@@ -226,7 +240,7 @@ def changes_from(logs_df: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def req(k, op, id_col, user_col, body, when=None):
-        r = F.struct((i * 8 + k).alias("seq"), F.lit(op).alias("op"), id_col.alias("id"),
+        r = F.struct((i * 8 + k).alias("seq"), F.lit(op).cast("string").alias("op"), id_col.alias("id"),
                      user_col.alias("user_id"), body.cast("string").alias("body"))
         return r if when is None else F.when(when, r)
 
@@ -243,6 +257,9 @@ def changes_from(logs_df: DataFrame) -> DataFrame:
             F.when(i % 25 == 0, F.lit('{"intensity": null}'))
             .otherwise(F.lit('{"intensity": "low", "workout_type": "running"}'))),
         req(3, "create", -i, uid, create_body, i % 20 == 0),
+        req(3, "merge", i, uid, none, i % 20 == 1),
+        req(3, None, i, uid, none, i % 20 == 2),
+        *[req(3, "create", -i, uid, F.lit(body), i % 20 == k) for k, body in BAD_CREATES.items()],
         req(4, "create", i, uid, create_body, i % 60 == 0),
         req(5, "patch", -i, uid,
             F.concat(F.lit('{"duration_min": '), (F.col("duration_min") + 9).cast("string"), F.lit("}")),
@@ -259,6 +276,7 @@ def new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registration requests: one per customer, ``seq`` = key.
 
     * ``id % 25 = 0``: the customer's own e-mail again (conflict);
+    * ``id % 25 = 7``: an e-mail of more than 255 characters;
     * ``id % 5 = 1``: ``new.<id % 97>@EXAMPLE.com`` (several requests per
       e-mail, upper-case domain; the first valid one wins), age 17 when
       ``id % 7 = 3``;
@@ -267,6 +285,7 @@ def new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = users(spark, sf_dir)
     i = F.col("id")
     email = (F.when(i % 25 == 0, F.col("email"))
+             .when(i % 25 == 7, F.concat(F.repeat(F.lit("a"), 250), F.lit("@example.org")))
              .when(i % 5 == 1, F.concat(F.lit("new."), (i % 97).cast("string"), F.lit("@EXAMPLE.com")))
              .otherwise(F.concat(F.lit("member."), i.cast("string"), F.lit("@Example.Org"))))
     age = F.when((i % 25 != 0) & (i % 5 == 1) & (i % 7 == 3), F.lit(17)).otherwise(F.col("age"))

@@ -8,6 +8,7 @@ to it (S-5).
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,13 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(jpath) and fs.getFileStatus(jpath).isDirectory())
+
+
 def ensure_table(spark: SparkSession, path: str, schema) -> bool:
     """S-4: create an empty table of ``schema`` at ``path`` when absent.
 
@@ -101,31 +109,90 @@ def write_snapshot(df: DataFrame, base: str, version: int,
     return path
 
 
-def latest_snapshot(spark: SparkSession, base: str) -> str | None:
-    """Path of the newest complete version under ``base`` (has ``_SUCCESS``)."""
+def _numbered(spark: SparkSession, base: str, prefix: str) -> list[tuple[int, str]]:
+    """(number, path) of the complete folders ``<prefix><number>...`` under ``base``, in ascending order."""
     jvm = spark.sparkContext._jvm
     jbase = jvm.org.apache.hadoop.fs.Path(base)
     fs = jbase.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jbase):
-        return None
-    versions = []
-    for st in fs.listStatus(jbase):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v=") and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            versions.append(name)
-    if not versions:
-        return None
-    return os.path.join(base, max(versions))
+    found = []
+    if fs.exists(jbase):
+        for st in fs.listStatus(jbase):
+            m = re.match(re.escape(prefix) + r"(\d+)", st.getPath().getName())
+            if m and st.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                found.append((int(m[1]), os.path.join(base, st.getPath().getName())))
+    return sorted(found)
+
+
+def latest_snapshot(spark: SparkSession, base: str) -> str | None:
+    """Path of the newest complete version under ``base`` (has ``_SUCCESS``); versions are numbers."""
+    found = _numbered(spark, base, "v=")
+    return found[-1][1] if found else None
+
+
+# A table that changes is its newest snapshot plus the change folders written
+# after it: ``_changes/c=<number>,<writer>,<batch>``.  A change folder holds
+# the new state of every row it touched (``deleted`` rows without one).
+
+def changes_of(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    """(number, path) of the complete change folders, oldest first."""
+    return _numbered(spark, os.path.join(base, "_changes"), "c=")
+
+
+def next_change(spark: SparkSession, base: str, writer: str, batch_id: int) -> tuple[int, bool]:
+    """(number, whether it is complete) of the change that ``writer`` makes with its batch ``batch_id``.
+
+    A batch that was committed before keeps its number, so a replay is seen;
+    any other batch, also of another writer or a new checkpoint, comes after
+    all that is there.  One writer at a time changes a table.
+    """
+    done = changes_of(spark, base)
+    for n, path in done:
+        if path.endswith(f",{writer},{int(batch_id)}"):
+            return n, True
+    snapshot = _numbered(spark, base, "v=")
+    return 1 + max([0, *(n for n, _ in done), *(n for n, _ in snapshot)]), False
+
+
+def change_path(base: str, number: int, writer: str, batch_id: int) -> str:
+    return os.path.join(base, "_changes", f"c={number:06d},{writer},{int(batch_id)}")
+
+
+def read_current(spark: SparkSession, base: str) -> DataFrame:
+    """The log table as of the last change: the newest snapshot, its rows replaced by later changes.
+
+    The changes are folded to the last one per id (partial aggregation); only
+    their ids meet the snapshot.
+    """
+    snapshot = latest_snapshot(spark, base)
+    logs = read_logs(spark, snapshot)
+    at = int(re.search(r"v=(\d+)$", snapshot)[1])
+    later = [(n, path) for n, path in changes_of(spark, base) if n > at]
+    if not later:
+        return logs
+    names = [f.name for f in S.LOGS.fields]
+    schema = S.LOG_CHANGES
+    rows = spark.read.schema(schema).parquet(*[path for _, path in later])
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*[f.name for f in schema.fields if f.name != "id"]), "change").alias("r"))
+    kept = logs.join(last.select("id"), "id", "left_anti").select(*names)
+    return kept.unionByName(last.filter(~F.col("r.deleted")).select("id", *[F.col(f"r.{c}").alias(c) for c in names if c != "id"]))
+
+
+def compact(spark: SparkSession, base: str, cluster_by: list[str] | None = None) -> str:
+    """Writes the present table as a new snapshot, numbered as the last change, and returns its path."""
+    snapshot, done = latest_snapshot(spark, base), changes_of(spark, base)
+    at = int(re.search(r"v=(\d+)$", snapshot)[1])
+    if not done or done[-1][0] <= at:
+        return snapshot
+    return write_snapshot(read_current(spark, base), base, done[-1][0], cluster_by=cluster_by)
 
 
 def save_model(model, path: str) -> None:
-    """S-6: save a fitted pipeline (preprocessing and tree as one artefact)."""
-    model.write().overwrite().save(path)
+    """S-6: save a fitted model: preprocessing, tree and class names as one artefact."""
+    getattr(model, "pipeline", model).write().overwrite().save(path)
 
 
 def load_model(spark: SparkSession, path: str):
-    """S-7: load a fitted pipeline; None when the artefact is absent."""
+    """S-7: load a fitted model for ``predict`` and ``score``; None when the artefact is absent."""
     from pyspark.ml import PipelineModel
 
     if not _path_exists(spark, path):

@@ -8,6 +8,7 @@ that batch's folder), so a replay after a failure does not duplicate rows.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,13 @@ from ..sources import tables as TB
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as a file stream (schema from the table, not inferred)."""
+    """The ``events`` table as a file stream: one file or a folder of part files (schema from the table, not inferred)."""
     schema = FX.table(spark, sf_dir, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    folder = os.path.join(sf_dir, "events.parquet")
+    if TB.is_folder(spark, folder):
+        return reader.parquet(folder)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def intake(requests: DataFrame, users: DataFrame, request_rows: int | None = None) -> DataFrame:
@@ -101,28 +105,30 @@ def run_scores_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_changes(changes: DataFrame, table_base: str, checkpoint: str, now,
                    users: DataFrame | None = None, available_now: bool = True):
-    """T-3: apply each micro-batch of changes to the snapshot it builds on and
-    write the next version.
-
-    Batch ``b`` reads version ``b`` and writes version ``b + 1``.  Outcomes
-    are written first, the table last; a replayed batch whose table is
-    complete (``_SUCCESS``) is skipped, since its outcomes exist too.  A
-    partial table is rewritten from version ``b``, so a retry never reads its
-    own half-written output.
+    """T-3: apply each micro-batch of changes to the present table and append what it changed.
+
+    A batch writes its outcomes and the new state of the rows it touched, as
+    a change folder after all that is there; the snapshot is not rewritten
+    (``TB.read_current`` folds the changes, ``TB.compact`` writes a snapshot
+    when that pays).  Outcomes are written first.  The commit carries this
+    stream's checkpoint and the batch id, so a replayed batch is skipped, and
+    a second stream or one with a new checkpoint loses nothing.
     """
     spark = changes.sparkSession
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        target = os.path.join(table_base, f"v={batch_id + 1:06d}")
-        if TB._path_exists(spark, os.path.join(target, "_SUCCESS")):
+        number, done = TB.next_change(spark, table_base, writer, batch_id)
+        if done:
             return
-        logs = TB.read_logs(spark, os.path.join(table_base, f"v={batch_id:06d}"))
+        logs = TB.read_current(spark, table_base)
         result = CH.apply_changes(batch, logs, now, users, materialize=True)
         result.outcomes.write.mode("overwrite").parquet(
-            os.path.join(table_base, "_outcomes", f"batch={batch_id}"))
-        # Untouched rows keep the order they were read in (the snapshot's
-        # clustering); only the small rewritten slice is new.
-        result.table.write.mode("overwrite").parquet(target)
+            os.path.join(table_base, "_outcomes", f"c={number:06d},{writer},{batch_id}"))
+        state = result.rewritten.select(*S.LOG_COLUMNS).withColumn("deleted", F.lit(False))
+        rows = state.unionByName(result.gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+        rows.withColumn("change", F.lit(number).cast("long")).write.mode("overwrite").parquet(
+            TB.change_path(table_base, number, writer, batch_id))
 
     w = changes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -130,7 +136,7 @@ def stream_changes(changes: DataFrame, table_base: str, checkpoint: str, now,
 
 
 def run_changes_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the log table as version 0, run T-3 over the events file, return the newest version."""
+    """Write the log table as version 0, run T-3 over the events file, return the table as of its last change."""
     base = scratch_dir(spark, "changes")
     table_base = os.path.join(base, "logs")
     TB.write_snapshot(FX.logs(spark, sf_dir).select(*S.LOG_COLUMNS), table_base, 0,
@@ -139,4 +145,4 @@ def run_changes_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = stream_changes(chg, table_base, os.path.join(base, "ckpt"),
                        F.lit(FX.FIXTURE_NOW).cast("timestamp_ntz"), FX.users(spark, sf_dir))
     q.awaitTermination()
-    return TB.read_logs(spark, TB.latest_snapshot(spark, table_base))
+    return TB.read_current(spark, table_base)
