@@ -78,7 +78,7 @@ DELETES = T.StructType([
 # its own ``id`` and the new row as a JSON ``body`` with the five log fields.
 CHANGES = T.StructType([
     T.StructField("seq", T.LongType(), False),
-    T.StructField("op", T.StringType(), False),
+    T.StructField("op", T.StringType(), True),
     T.StructField("id", T.LongType(), True),
     T.StructField("user_id", T.LongType(), True),
     T.StructField("body", T.StringType(), True),

@@ -33,6 +33,13 @@ CREATE_BODIES = [
     {"workout_date": "2025-10-28", "duration_min": 20, "intensity": "low", "workout_type": "yoga",
      "calories_burned": 0.0},
     {"workout_date": "2025-10-29", "duration_min": 20, "intensity": "moderate", "workout_type": "yoga"},
+    {"workout_date": "2025-10-29", "duration_min": 30.7, "intensity": "low", "workout_type": "yoga"},
+    {"workout_date": "2025-10-29", "duration_min": True, "intensity": "low", "workout_type": "yoga"},
+    {"workout_date": "2025-10-29", "duration_min": "31", "intensity": "low", "workout_type": "yoga", "calories_burned": "12.5"},
+    {"workout_date": "2025-10-29", "duration_min": 30, "intensity": "low", "workout_type": "yoga", "calories_burned": "abc"},
+    {"workout_date": "2025-10-29", "duration_min": 30, "intensity": "low", "workout_type": "yoga", "calories_burned": [1]},
+    {"workout_date": "2025-10-29", "duration_min": 30, "intensity": 5, "workout_type": "yoga"},
+    [1, 2],
 ]
 USERS = [(1, True), (2, True), (3, False)]   # user 4 does not exist
 
@@ -50,10 +57,10 @@ def _logs_rows():
 def _random_changes(rng, n):
     out = []
     for seq in range(n):
-        op = rng.choice(["create", "patch", "patch", "delete"])
+        op = rng.choice(["create", "create", "patch", "patch", "patch", "delete", "delete", "merge", None])
         uid = rng.choice([1, 2, 3, 4, None, 1, 2])
         if op == "create":
-            body = json.dumps(rng.choice(CREATE_BODIES))
+            body = json.dumps(rng.choice(CREATE_BODIES[:1] * 4 + CREATE_BODIES))
             cid = rng.choice([-1, -2, -3, 3, 6, None])
         elif op == "patch":
             body = rng.choice(PATCH_BODIES)
@@ -83,20 +90,24 @@ def _is_int(v):
 
 def _create_errors(b):
     errs = []
+    if not isinstance(b, dict):
+        return ["body_types"]
     d = b.get("workout_date")
     try:
         dt.date.fromisoformat(d) if isinstance(d, str) and re.fullmatch(r"\d{4}-\d{2}-\d{2}", d) else 1 / 0
     except Exception:
         errs.append("date_parse")
     du = b.get("duration_min")
-    if not (isinstance(du, int) and du > 0):
+    if not (_is_int(du) and int(du) > 0):
         errs.append("duration_positive")
     for k, name in (("intensity", "intensity_len"), ("workout_type", "type_len")):
         v = b.get(k)
         if not (isinstance(v, str) and len(v) <= 50):
             errs.append(name)
     c = b.get("calories_burned")
-    if not (c is None or c > 0):
+    if isinstance(c, str) and re.fullmatch(r"[0-9.]+", c):
+        c = float(c)
+    if not (c is None or (isinstance(c, (int, float)) and not isinstance(c, bool) and c > 0)):
         errs.append("calories_positive")
     return errs
 
@@ -125,8 +136,9 @@ def brute_force(changes, logs_rows, users):
             else:
                 ever.add(cid)
                 table[cid] = {"id": cid, "user_id": uid, "workout_date": dt.date.fromisoformat(b["workout_date"]),
-                              "duration_min": b["duration_min"], "intensity": b["intensity"],
-                              "workout_type": b["workout_type"], "calories_burned": b.get("calories_burned"),
+                              "duration_min": int(b["duration_min"]), "intensity": b["intensity"],
+                              "workout_type": b["workout_type"],
+                              "calories_burned": None if b.get("calories_burned") is None else float(b["calories_burned"]),
                               "created_at": NOW, "updated_at": NOW}
                 outcomes[seq] = S.CREATED
             continue
@@ -138,6 +150,9 @@ def brute_force(changes, logs_rows, users):
             else:
                 outcomes[seq] = S.NOT_FOUND
             continue
+        if op != "patch":
+            outcomes[seq] = S.INVALID
+            continue
         # patch
         try:
             b = json.loads(body)

@@ -27,11 +27,25 @@ def test_train_and_score(spark, trained):
     assert model.labels == sorted(model.labels)
     # the scoring pipeline has no label stage: it runs on rows without a goal
     stages = [type(s).__name__ for s in model.pipeline.stages]
-    assert "StringIndexerModel" in stages and stages[-1] == "DecisionTreeClassificationModel"
+    assert "StringIndexerModel" in stages and stages[-2:] == ["DecisionTreeClassificationModel", "IndexToStringModel"] or stages[-1] == "IndexToString"
     scored = MO.predict(model, t.drop("goal").withColumn("goal", F.lit(None).cast("string")))
     assert scored.filter(F.col("predicted_goal").isNull()).count() == 0
-    acc = MO.accuracy(MO.predict(model, t.filter(F.col("part") == "test"))).first()["accuracy"]
-    assert 0.0 <= acc <= 1.0
+    rows = {r["split_key"]: r for r in MO.split_accuracy(FX.training(spark, SF_SMALL), max_depth=3).collect()}
+    assert set(rows) == {"id", "user_id"}
+    # the plain average is what Spark's evaluator gives
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import StringIndexer
+
+    part = t.filter(F.col("part") == "test")
+    small = MO.train(t.filter(F.col("part") == "train"), max_depth=3)
+    test = MO.predict(small, part)
+    both = test.select("goal", "predicted_goal")
+    names = StringIndexer(inputCol="goal", outputCol="l", stringOrderType="alphabetAsc").fit(
+        both.select("goal").union(both.select(F.col("predicted_goal"))))
+    indexed = names.transform(both).withColumnRenamed("goal", "g").withColumn("goal", F.col("predicted_goal"))
+    indexed = names.copy({names.outputCol: "p"}).transform(indexed)
+    ml = MulticlassClassificationEvaluator(labelCol="l", predictionCol="p", metricName="accuracy").evaluate(indexed)
+    assert abs(ml - rows["user_id"]["accuracy"]) < 1e-9
 
 
 def test_unseen_category_encodes_as_zeros(spark, trained):
@@ -59,12 +73,26 @@ def test_score_without_model_names_the_cause(spark):
 def test_model_round_trip(spark, trained, tmp_path):
     t, model = trained
     path = str(tmp_path / "model")
-    TB.save_model(model.pipeline, path)
+    TB.save_model(model, path)
     loaded = TB.load_model(spark, path)
     assert TB.load_model(spark, str(tmp_path / "absent")) is None
     a = MO.predict(model, t).select("id", "predicted_goal").orderBy("id").collect()
-    b = MO.predict(MO.TrainedModel(loaded, model.labels), t).select("id", "predicted_goal").orderBy("id").collect()
+    b = MO.predict(loaded, t).select("id", "predicted_goal").orderBy("id").collect()
     assert a == b
+    reqs = FX.score_requests(spark, SF_SMALL)
+    assert sorted(map(tuple, MO.score(reqs, loaded).collect()), key=repr) == sorted(map(tuple, MO.score(reqs, model).collect()), key=repr)
+
+
+def test_other_feature_lists_save_load_and_score(spark, tmp_path):
+    u = FX.users(spark, SF_SMALL).select("id", "age", "goal", "equipment")
+    model = MO.train(u, numeric=["age"], categorical=["equipment"], max_depth=2)
+    path = str(tmp_path / "other")
+    TB.save_model(model, path)
+    reqs = spark.createDataFrame([(1, "running", "none", "high", 30, 100.0, 44)],
+                                 "request_id long, workout_type string, equipment string, intensity string, "
+                                 "duration_min int, calories_burned double, age int")
+    row = MO.score(reqs, TB.load_model(spark, path)).first()
+    assert row["accepted"] and row["predicted_goal"] in model.labels
 
 
 def test_stream_intake_equals_batch_and_replay_adds_nothing(spark):
@@ -117,7 +145,16 @@ def test_no_unpartitioned_window(spark):
         assert "Window" not in p, p
 
 
-def test_stream_changes_replay_writes_no_new_version(spark):
+def _start(spark, sf_dir, table_base, ckpt, users, now):
+    chg = FX.changes_from(FX.logs_from_events(JB.events_stream(spark, sf_dir)))
+    JB.stream_changes(chg, table_base, ckpt, now, users).awaitTermination()
+
+
+def _rows(df):
+    return sorted(map(tuple, df.select(*S.LOG_COLUMNS).collect()))
+
+
+def test_stream_changes_replay_new_checkpoint_and_compaction(spark):
     from strideframe.operators import changes as CH
 
     base = scratch_dir(spark, "test-changes")
@@ -125,14 +162,91 @@ def test_stream_changes_replay_writes_no_new_version(spark):
     TB.write_snapshot(FX.logs(spark, SF_SMALL).select(*S.LOG_COLUMNS), table_base, 0)
     now = F.lit(FX.FIXTURE_NOW).cast("timestamp_ntz")
     users = FX.users(spark, SF_SMALL)
-    chg = FX.changes_from(FX.logs_from_events(JB.events_stream(spark, SF_SMALL)))
-    JB.stream_changes(chg, table_base, ckpt, now, users).awaitTermination()
-    latest = TB.latest_snapshot(spark, table_base)
+    _start(spark, SF_SMALL, table_base, ckpt, users, now)
     batch = CH.apply_changes(FX.changes(spark, SF_SMALL), FX.logs(spark, SF_SMALL), now, users).table
-    assert sorted(map(tuple, TB.read_logs(spark, latest).collect())) == sorted(map(tuple, batch.collect()))
-    chg2 = FX.changes_from(FX.logs_from_events(JB.events_stream(spark, SF_SMALL)))
-    JB.stream_changes(chg2, table_base, ckpt, now, users).awaitTermination()
-    assert TB.latest_snapshot(spark, table_base) == latest
+    assert _rows(TB.read_current(spark, table_base)) == _rows(batch)
+    # the snapshot is not rewritten, and a replayed checkpoint adds nothing
+    assert TB.latest_snapshot(spark, table_base).endswith("v=000000")
+    _start(spark, SF_SMALL, table_base, ckpt, users, now)
+    assert len(TB.changes_of(spark, table_base)) == 1
+    # a second stream on the same table is applied after the first
+    del_ids = [r["id"] for r in batch.select("id").filter("id > 0").orderBy("id").limit(3).collect()]
+    owner = {r["id"]: r["user_id"] for r in batch.collect()}
+    source = os.path.join(base, "more")
+    schema = "seq long, op string, id long, user_id long, body string"
+    for i, d in enumerate(del_ids):
+        spark.createDataFrame([(i, "delete", d, owner[d], None)], schema).coalesce(1).write.parquet(os.path.join(source, f"n={i}"))
+    more = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(source, "*"))
+    JB.stream_changes(more, table_base, os.path.join(base, "ckpt2"), now).awaitTermination()
+    assert len(TB.changes_of(spark, table_base)) >= 4  # one more for each of three micro-batches at least
+    left = _rows(batch.filter(~F.col("id").isin(del_ids)))
+    assert _rows(TB.read_current(spark, table_base)) == left
+    path = TB.compact(spark, table_base, ["user_id", "id"])
+    assert TB.latest_snapshot(spark, table_base) == path and _rows(TB.read_logs(spark, path)) == left
+    assert TB.compact(spark, table_base) == path
+
+
+def test_streams_read_a_folder_of_part_files(spark, tmp_path):
+    for t in ("customer", "nation", "region"):
+        os.symlink(os.path.join(SF_SMALL, f"{t}.parquet"), tmp_path / f"{t}.parquet")
+    spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = JB.run_intake_once(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, JB.run_intake_once(spark, SF_SMALL).collect())) and len(got) == 1000
+    a, b = _rows(JB.run_changes_once(spark, str(tmp_path))), _rows(JB.run_changes_once(spark, SF_SMALL))
+    assert a == b
+
+
+def test_versions_are_numbers(spark, tmp_path):
+    df = spark.createDataFrame([], S.LOGS)
+    for v in (9, 999999, 1000000):
+        last = TB.write_snapshot(df, str(tmp_path), v)
+    assert TB.latest_snapshot(spark, str(tmp_path)) == last
+
+
+def test_many_classes_and_many_categories(spark):
+    df = spark.range(0, 40000).select(
+        F.concat(F.lit("g"), F.col("id") % 20000).alias("goal"), F.col("id").cast("double").alias("x"),
+        F.when(F.col("id") < 30000, "a").otherwise("b").alias("c"))
+    best = {r["feature"]: r for r in MO.best_split(df, numeric=["x"], categorical=["c"]).collect()}
+    assert best["x"]["n_left"] + best["x"]["n_right"] == 40000
+    assert (best["c=b"]["n_left"], best["c=b"]["n_right"]) == (30000, 10000)
+    cats = spark.range(0, 100000).select(F.concat(F.lit("k"), F.format_string("%06d", "id")).alias("c"), "id")
+    hot = FE.one_hot(cats, "c", as_text=False)
+    assert hot.filter("c_slot = id and c_width = 100000").count() == 100000
+
+
+def test_hot_ids_and_emails_are_split(spark):
+    """One id (or e-mail) with most requests, broadcasting off: Spark splits the joins."""
+    from strideframe.operators import changes as CH
+    from strideframe.operators import identity as ID
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 60000
+        reqs = spark.range(0, n, 1, 6).select(
+            F.col("id").alias("seq"), F.lit("patch").alias("op"), F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id") % 500).cast("long").alias("id"),
+            F.lit(1).cast("long").alias("user_id"), F.concat(F.lit('{"duration_min": '), (F.col("id") % 50 + 1).cast("string"), F.lit("}")).alias("body"))
+        logs = FX.logs(spark, SF_SMALL).withColumn("user_id", F.lit(1).cast("long"))
+        out = CH.apply_changes(reqs, logs, F.lit(FX.FIXTURE_NOW).cast("timestamp_ntz")).outcomes
+        assert out.count() == n
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+        batch = spark.range(0, n, 1, 6).select(
+            F.col("id").alias("seq"), F.when(F.col("id") % 10 > 0, "hot@example.com").otherwise(F.concat(F.lit("u"), "id", F.lit("@example.com"))).alias("email"),
+            F.lit(30).alias("age"), F.lit("goal").alias("goal"), F.lit("none").alias("equipment"))
+        dec = ID.accept_new_users(batch, FX.users(spark, SF_SMALL))
+        rows = dec.groupBy("outcome").count()
+        rows.collect()
+        dec.collect()
+        assert "skew=true" in dec._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_change_engine_filters_the_log_table_without_shuffling_it(spark):
