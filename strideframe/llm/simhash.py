@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX
     are linked like any other.  Repeated rows are rows of their own.
     """
     prints = checkpoint(fingerprints(docs, words))
-    fps = prints.select("fp").distinct()
+    # a fingerprint has up to 108 keys: as many partitions as for them, not as few as its eight bytes need
+    fps = prints.select("fp").distinct().repartition(partitions(docs), "fp")
     roots = components(links(fps, bits)).select(F.col("node").alias("fp"), F.col("root"))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
