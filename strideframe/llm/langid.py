@@ -83,7 +83,8 @@ class Model:
     languages: list[str]
     grams: list[np.ndarray] = field(default_factory=list)  # by order: codes of context and follower
     cost: list[np.ndarray] = field(default_factory=list)  # rows as in grams; a column per language
-    escape: list[np.ndarray] = field(default_factory=list)  # by order: of contexts, rows as in the grams one shorter
+    contexts: list[np.ndarray] = field(default_factory=list)  # by order: codes of the contexts
+    escape: list[np.ndarray] = field(default_factory=list)  # rows as in contexts
 
     def __post_init__(self):
         self.lookups: list[Lookup] | None = None
@@ -96,6 +97,7 @@ class Model:
             return total
         if self.lookups is None:
             self.lookups = [Lookup(g) for g in self.grams]
+            self.context_lookups = [Lookup(c) for c in self.contexts]
         order = len(self.grams) - 1
         codes = _codes(raw, offsets, order)
         cost = np.zeros((len(raw), width), np.int32)
@@ -108,17 +110,15 @@ class Model:
             if not len(rest):
                 break
             # the contexts of o + 1 bytes did not know the byte: escapes, where they are known at all
-            context = codes[rest] >> np.uint64(8) & _mask(o + 1)
-            if o >= 0:
-                c = self.lookups[o].find(context)
-                seen = c >= 0
-                cost[rest[seen]] += self.escape[o + 1][c[seen]]
-                at = self.lookups[o].find(codes[rest] & _mask(o + 1))
-                known = at >= 0
-                cost[rest[known]] += self.cost[o][at[known]]
-                rest = rest[~known]
-            else:
-                cost[rest] += self.escape[0][0] + 8 * PARTS
+            c = self.context_lookups[o + 1].find(codes[rest] >> np.uint64(8) & _mask(o + 1))
+            cost[rest[c >= 0]] += self.escape[o + 1][c[c >= 0]]
+            if o < 0:
+                cost[rest] += 8 * PARTS
+                break
+            at = self.lookups[o].find(codes[rest] & _mask(o + 1))
+            known = at >= 0
+            cost[rest[known]] += self.cost[o][at[known]]
+            rest = rest[~known]
         filled = np.flatnonzero(offsets[1:] > offsets[:-1])
         total[filled] = np.add.reduceat(cost, offsets[filled], axis=0, dtype=np.int64)
         return total
@@ -206,15 +206,8 @@ def build(counted: pa.Table, languages: list[str], order: int) -> Model:
             shorter = np.full((len(grams), width), 8 * PARTS, np.int32)
         model.grams.append(grams)
         model.cost.append(np.where(n > 0, np.rint(np.where(n > 0, coded, 0) * PARTS), escape[of] + shorter).astype(np.int32))
-        if o:
-            # contexts of o bytes are strings of o bytes: rows as in the grams one shorter
-            rows = np.zeros((len(model.grams[o - 1]), width), np.int32)
-            at = Lookup(model.grams[o - 1]).find(contexts)
-            # zero bytes stand before a text's start; such a context may be no string of its own
-            rows[at[at >= 0]] = escape[at >= 0]
-            model.escape.append(rows)
-        else:
-            model.escape.append(escape)
+        model.contexts.append(contexts)
+        model.escape.append(escape)
     return model
 
 
