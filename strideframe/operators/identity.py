@@ -73,7 +73,10 @@ def accept_new_users(batch: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def register_users(batch: DataFrame, users: DataFrame, now: Column) -> ChangeResult:
-    """D-1: register users; new ids ``max(id) + 1 + seq - min(seq)``."""
+    """D-1: register users; new ids ``max(id) + 1 + seq - min(seq)``.
+
+    ``seq`` must be unique and not null within the batch: it is the arrival order.
+    """
     decided = accept_new_users(batch, users)
     max_id = users.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     min_seq = batch.select(F.min("seq")).scalar()

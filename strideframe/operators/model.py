@@ -59,7 +59,9 @@ def train(df: DataFrame, max_depth: int = MAX_DEPTH, max_bins: int = 32, seed: i
     tree = DecisionTreeClassifier(featuresCol="features", labelCol="_label",
                                   predictionCol="_prediction", probabilityCol="_probability",
                                   rawPredictionCol="_raw", impurity="gini",
-                                  maxDepth=max_depth, maxBins=max_bins, seed=seed)
+                                  maxDepth=max_depth, maxBins=max_bins, seed=seed,
+                                  # deep trees: more nodes per pass, rows keep their node
+                                  maxMemoryInMB=1024, cacheNodeIds=True)
     casts = SQLTransformer(statement="SELECT *, " + ", ".join(
         [f"CAST(`{c}` AS DOUBLE) AS `_dbl_{c}`" for c in numeric] or ["1 AS _dbl_"]) + " FROM __THIS__")
     names = IndexToString(inputCol="_prediction", outputCol="predicted_goal", labels=list(lab.labels))

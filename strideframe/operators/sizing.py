@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schemas as S
+
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
           "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
 
@@ -32,8 +34,8 @@ def broadcast_budget(spark: SparkSession) -> int:
 
 
 def _width(dt) -> int:
-    # Fixed widths as Spark sizes them; strings and nested values at Spark's
-    # default estimate of 20 bytes.
+    # Fixed widths as Spark sizes them; strings and nested values at the
+    # longest key there is, an e-mail.
     if isinstance(dt, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType)):
         return 8
     if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
@@ -42,7 +44,7 @@ def _width(dt) -> int:
         return 2
     if isinstance(dt, (T.BooleanType, T.ByteType)):
         return 1
-    return 20
+    return S.EMAIL_MAX_LEN
 
 
 def row_bytes(df: DataFrame) -> int:

@@ -237,8 +237,10 @@ def q_score_requests(spark, d):
 
 
 def q_score_outcomes(spark, d):
-    """What is determined of scoring whatever the tree: domain, message, whether there is a prediction."""
-    return _determined(q_score_requests(spark, d))
+    """What is determined of scoring whatever the tree (a shallow one here): domain, message, whether there is a prediction."""
+    t = FE.with_ordinal(FE.split(FX.training(spark, d), "user_id"))
+    model = MO.train(t.filter(F.col("part") == "train"), max_depth=5)
+    return _determined(MO.score(FX.score_requests(spark, d), model))
 
 
 def _determined(scored):
@@ -253,14 +255,14 @@ def q_reloaded_scores(spark, d):
 
     t = FE.with_ordinal(FE.split(FX.training(spark, d), "user_id"))
     path = scratch_dir(spark, "model")
-    TB.save_model(MO.train(t.filter(F.col("part") == "train")), path)
+    TB.save_model(MO.train(t.filter(F.col("part") == "train"), max_depth=5), path)
     return _determined(MO.score(FX.score_requests(spark, d), TB.load_model(spark, path)))
 
 
 def q_stream_score_outcomes(spark, d):
     from ..streaming.jobs import run_scores_once
 
-    return _determined(run_scores_once(spark, d))
+    return _determined(run_scores_once(spark, d, max_depth=5))
 
 
 def q_stream_intake(spark, d):

@@ -2,8 +2,8 @@
 
 None of them keeps state across micro-batches, so no watermark is needed:
 each request is decided in the micro-batch it arrives in, and ``seq`` orders
-requests inside one batch.  Sinks are written per ``batchId`` (overwrite of
-that batch's folder), so a replay after a failure does not duplicate rows.
+requests inside one batch.  Sinks are written per ``batchId``, so a replay
+after a failure does not duplicate rows.
 """
 
 from __future__ import annotations
@@ -92,10 +92,10 @@ def stream_scores(requests: DataFrame, model, out_dir: str, checkpoint: str):
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def run_scores_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_scores_once(spark: SparkSession, sf_dir: str, max_depth: int = MO.MAX_DEPTH) -> DataFrame:
     """Train on the batch feature table, then run T-2 over the events file."""
     t = FE.with_ordinal(FE.split(FX.training(spark, sf_dir), "user_id"))
-    model = MO.train(t.filter(F.col("part") == "train"))
+    model = MO.train(t.filter(F.col("part") == "train"), max_depth=max_depth)
     base = scratch_dir(spark, "scores")
     reqs = FX.score_requests_from(FX.logs_from_events(events_stream(spark, sf_dir)), FX.users(spark, sf_dir))
     q = stream_scores(reqs, model, os.path.join(base, "out"), os.path.join(base, "ckpt"))
