@@ -1,25 +1,10 @@
-import os
-import sys
-
-import pytest
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-if ROOT not in sys.path:
-    sys.path.insert(0, ROOT)
+"""Documents tables for tests: odd texts, and columns whose names an operator might use itself."""
 
 SF_SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from strideframe.session import build_session
-
-    return build_session("local[4]", shuffle_partitions=4, app_name="strideframe-tests")
-
-
 def docs_of(spark, texts, ids=None, lang="en", source="s", parts=3):
-    """A documents table with an extra column whose name an operator might use itself."""
     from pyspark.sql import functions as F
 
     ids = list(range(len(texts))) if ids is None else ids

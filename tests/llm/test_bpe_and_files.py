@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from conftest import ODD, SF_SMALL, docs_of
+from odd_documents import ODD, SF_SMALL, docs_of
 from strideframe.llm import bpe, token_files
 from strideframe.session import scratch_dir
 

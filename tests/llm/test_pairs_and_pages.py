@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest import ODD, SF_SMALL, docs_of
+from odd_documents import ODD, SF_SMALL, docs_of
 from strideframe.llm import host_reputation, quotes, simhash, suffixes
 from strideframe.llm.components import components
 

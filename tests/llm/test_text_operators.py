@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ODD, SF_SMALL, docs_of
+from odd_documents import ODD, SF_SMALL, docs_of
 from strideframe.llm import decontaminate as D
 from strideframe.llm import host_rules, langid, licences
 
