@@ -230,14 +230,14 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` as struct ``payload`` with ``ids`` (binary, little-endian unsigned
+    """Every row of ``docs`` (struct ``payload``: all columns but the text) with ``ids`` (binary, little-endian unsigned
     32-bit integers) and ``decoded`` (the text decoded from them).
 
     A null or empty text has no ids and decodes to the empty text.  Repeated
     rows are encoded each.  No row moves; no shuffle.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         voc = vocabulary(vocabulary_path)
         for batch in batches:
             col = batch.column(1)
@@ -245,9 +245,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFra
             for i, j in row_chunks(offsets):
                 ids = voc.encode([t or "" for t in col.slice(i, j - i).to_pylist()])
                 decoded = [voc.decode(x).decode() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
-                    names=["payload", "ids", "decoded"])
+                yield batch, i, j, [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
 
     return with_rows(docs, text, run, "ids binary, decoded string")
 
@@ -255,18 +253,16 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFra
 def digest(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
     """Count and hashes of the ids and of the decoded text; the row stays in ``payload``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         voc = vocabulary(vocabulary_path)
         for batch in batches:
             col = batch.column(1)
             _, offsets = text_buffer(col)
             for i, j in row_chunks(offsets):
                 ids = voc.encode([t or "" for t in col.slice(i, j - i).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                     pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                     pa.array([hashlib.sha256(voc.decode(x)).hexdigest() for x in ids])],
-                    names=["payload", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield batch, i, j, [pa.array([len(x) // 4 for x in ids], pa.int64()),
+                                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                                    pa.array([hashlib.sha256(voc.decode(x)).hexdigest() for x in ids], pa.string())]
 
     return with_rows(docs, text, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -71,17 +71,26 @@ def drain(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(got) if got else None
 
 
-def record(schema: pa.Schema, **cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array)
-                                       else cols[f.name] for f in schema], schema=schema)
+def with_rows(docs: DataFrame, text: str, fn: Callable, ddl: str, keep_text: bool = False) -> DataFrame:
+    """``docs`` with the columns that ``fn`` computes from ``text``, all rows kept, no shuffle.
 
+    ``fn`` gets record batches with the text as column 1 and yields
+    (batch, i, j, arrays): the new columns of rows i to j.  The other columns
+    travel as one struct, ``payload``, so names cannot clash; ``keep_text``
+    keeps the text too, as column ``text``.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("none")]
+    packed = docs.select(F.struct(*others).alias("payload"), F.col(f"`{text}`").cast("string").alias("text"))
+    kept = [packed.schema["payload"], packed.schema["text"]][:1 + keep_text]
+    schema = T.StructType([*kept, *T.StructType.fromDDL(ddl)])
 
-def with_rows(docs: DataFrame, text: str, fn: Callable, ddl: str, payload: str = "payload") -> DataFrame:
-    """``docs`` with the columns ``fn`` computes from ``text``, all rows and columns kept, no shuffle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, j, arrays in fn(batches):
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(len(kept))], *arrays], names=schema.names)
 
-    The row travels as one struct, so column names of ``docs`` cannot clash.
-    Returns columns ``payload`` (struct of the original row) and those of ``ddl``.
-    """
-    packed = docs.select(F.struct("*").alias(payload), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([packed.schema[payload], *T.StructType.fromDDL(ddl)])
-    return packed.mapInArrow(fn, schema)
+    return packed.mapInArrow(run, schema)
+
+
+def original(docs: DataFrame, text: str = "text") -> list[Column]:
+    """The columns of ``docs`` from what ``with_rows`` returns with the text kept."""
+    return [F.col("text").alias(c) if c == text else F.col(f"payload.`{c}`").alias(c) for c in docs.columns]

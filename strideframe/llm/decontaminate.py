@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_chunks, text_buffer, with_rows
+from .common import original, row_chunks, text_buffer, with_rows
 
 #: Bytes of the grams that name windows.
 Q = 12
@@ -251,8 +251,8 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list
 LEAKS = "leaks array<struct<item_id:bigint,edits:int,start:int>>"
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every row of ``docs`` as struct ``payload`` with ``leaks``: (item_id, edits, start) of the items in its text.
+def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+    """Every row of ``docs`` (see ``with_rows``) with ``leaks``: (item_id, edits, start) of the items in its text.
 
     ``edits`` is the exact edit distance of the item to the best place found,
     ``start`` that place in the normalised text.  Null and empty texts and
@@ -261,7 +261,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
     sc = docs.sparkSession.sparkContext
     blocks = [(uuid.uuid4().hex, sc.broadcast(b)) for b in item_blocks(benchmark, block_bytes)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         tables = [_items(name, b) for name, b in blocks]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32())]))
         for batch in batches:
@@ -272,12 +272,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYT
                 found = [[] for _ in texts]
                 for items in tables:
                     found = [f + g for f, g in zip(found, leaks_in(texts, items))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i),
-                     pa.array([[{"item_id": a, "edits": b, "start": c} for a, b, c in f] for f in found], kind)],
-                    names=["payload", "leaks"])
+                yield batch, i, j, [pa.array([[{"item_id": a, "edits": b, "start": c} for a, b, c in f] for f in found], kind)]
 
-    return with_rows(docs, "text", run, LEAKS)
+    return with_rows(docs, "text", run, LEAKS, keep_text)
 
 
 _BUILT: dict[str, Items] = {}
@@ -300,4 +297,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` into which no item leaked."""
-    return annotate(docs, benchmark).filter(F.size("leaks") == 0).select("payload.*")
+    return annotate(docs, benchmark, keep_text=True).filter(F.size("leaks") == 0).select(*original(docs))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_chunks, row_key, text_buffer, with_rows
+from .common import original, row_chunks, row_key, text_buffer, with_rows
 
 #: Longest context in bytes.
 ORDER = 4
@@ -54,7 +54,7 @@ class Lookup:
             table[slot] = left
             self.levels.append((mult, shift, table))
             left = left[table[slot] != left]
-            mult = mult * MIX + np.uint64(2)
+            mult = np.uint64((int(mult) * int(MIX) + 2) & (1 << 64) - 1)
 
     def find(self, codes: np.ndarray) -> np.ndarray:
         out = np.full(len(codes), -1, np.int32)
@@ -211,8 +211,8 @@ def build(counted: pa.Table, languages: list[str], order: int) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` as struct ``payload`` with ``lang_pred``, ``score`` and ``bits_per_byte``.
+def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Every row of ``docs`` (see ``with_rows``) with ``lang_pred``, ``score`` and ``bits_per_byte``.
 
     ``score`` is the winner's share of 2 to the minus code length over all
     languages.  A null text, one without a letter (so an empty one too), or a
@@ -220,7 +220,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         import regex
 
         letter = regex.compile(r"\p{L}")
@@ -243,11 +243,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     lang.append(held.languages[best])
                     score.append(float(1.0 / np.exp2(np.maximum(bits[k][best] - bits[k], -1000)).sum()))
                     rate.append(float(bits[k][best] / (part[k + 1] - part[k])))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                     pa.array(rate, pa.float64())], names=["payload", "lang_pred", "score", "bits_per_byte"])
+                yield batch, i, j, [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
 
-    return with_rows(docs, text, run, "lang_pred string, score double, bits_per_byte double")
+    return with_rows(docs, text, run, "lang_pred string, score double, bits_per_byte double", keep_text)
 
 
 def fold(doc_id: str = "doc_id"):
@@ -270,4 +268,4 @@ def languages_of(docs: DataFrame) -> DataFrame:
 def identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language can be told; text without any letter has none."""
     model = train(docs.filter(fold() != 2).select("lang", "text"))
-    return predict(docs, model).filter(F.col("lang_pred") != UNDETERMINED).select("payload.*")
+    return predict(docs, model, keep_text=True).filter(F.col("lang_pred") != UNDETERMINED).select(*original(docs))

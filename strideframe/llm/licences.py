@@ -212,13 +212,13 @@ def train_on(docs: DataFrame, paragraphs: int = SAMPLE_PARAGRAPHS) -> Model:
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` as struct ``payload`` with ``licences``: (family, probability, similarity, confirmed) by paragraph.
+    """Every row of ``docs`` (see ``with_rows``) with ``licences``: (family, probability, similarity, confirmed) by paragraph.
 
     Null and empty texts have none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         kind = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
         held = shared.value
         for batch in batches:
@@ -227,7 +227,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 data, cut = raw[offsets[i]:offsets[j]].tobytes(), (offsets[i:j + 1] - offsets[i]).tolist()
                 found = [[dict(zip(("family", "probability", "similarity", "confirmed"), x)) for x in held.scan(data[s:e])]
                          for s, e in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, kind)], names=["payload", "licences"])
+                yield batch, i, j, [pa.array(found, kind)]
 
     return with_rows(docs, text, run, "licences array<struct<family:string,probability:double,similarity:double,confirmed:boolean>>")
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, row_chunks, row_key, split_join, text_buffer
+from .common import partitions, row_chunks, split_join, text_buffer
 
 LENGTH = 200
 GRAM = 64
@@ -262,7 +262,8 @@ def repeated_spans(group: dict[bytes, list], length: int) -> Iterator[tuple[int,
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.struct("*").alias("payload"), F.col("text").cast("string").alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("payload"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("rk", F.xxhash64(F.coalesce(F.col("payload.doc_id").cast("string"), F.lit("\u0000")), F.coalesce("text", F.lit(""))))
     return rows.repartition(partitions(docs), "rk")
 
@@ -446,7 +447,7 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bytes_only: bool = False) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text, ...) as struct ``payload``, with ``n_bytes``, ``n_removed``,
+    """Every row of ``docs`` (doc_id, text, ...; struct ``payload``: all columns but the text), with ``n_bytes``, ``n_removed``,
     ``n_spans``, ``kept_sha256`` and ``kept``: the text without the bytes that repeated windows cover.
 
     A null text is empty; texts shorter than ``length`` keep all bytes.  Equal
@@ -485,7 +486,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
                 gone.append(len(text) - len(rest))
                 many.append(n)
                 sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(None if bytes_only else rest.decode("utf-8", "ignore"))
+                kept.append(None if bytes_only or not batch.column(1)[r].is_valid else rest.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()),
                  pa.array(sha, pa.string()), pa.array(kept, pa.string())],
@@ -508,7 +509,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     cols = []
     for c in docs.columns:
         if c == "text":
-            cols.append(F.when(F.col("payload.text").isNull(), F.lit(None).cast("string")).otherwise(F.col("kept")).alias("text"))
+            cols.append(F.col("kept").alias("text"))
         elif c == "n_chars":
             cols.append(F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType))
                         .otherwise(F.col("payload.n_chars")).alias("n_chars"))
