@@ -37,8 +37,8 @@ ODD = regex.compile(rf" (?:[{SPACE}]|\Z)")
 PIECES = regex.compile(rf" ?[^{SPACE}]+|[{SPACE}]+?(?= [^{SPACE}])|[{SPACE}]+[^{SPACE}]*")
 #: Token lengths to try at any place.
 SHORT = (2, 1)
-#: Distinct words and pieces whose encodings a worker keeps; beyond it the memory is emptied, results stay the same.
-MEMORY = 1_000_000
+#: Distinct words and pieces whose encodings a task keeps; beyond it the memory is emptied, results stay the same.
+MEMORY = 800_000
 
 
 class Vocabulary:
@@ -103,7 +103,7 @@ class Vocabulary:
                     # equal ranks: the leftmost pair goes first
                     if rank is not None and rank < u_gone and rank <= v_gone:
                         known = False
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 1_000_000:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -194,6 +194,11 @@ class Vocabulary:
             out.append(b"".join(ids))
         return out
 
+    def forget(self) -> None:
+        """Empties the memory; a worker keeps none of it from one task to the next."""
+        for kept in (*self.memory, self.words, self.fits):
+            kept.clear()
+
     def _learn(self, memory: dict[str, bytes], pieces: list[str], before: str) -> None:
         split = [WORDS.findall(before + p) for p in pieces]
         known = self.words
@@ -239,13 +244,16 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         voc = vocabulary(vocabulary_path)
-        for batch in batches:
-            col = batch.column(1)
-            _, offsets = text_buffer(col)
-            for i, j in row_chunks(offsets):
-                ids = voc.encode([t or "" for t in col.slice(i, j - i).to_pylist()])
-                decoded = [voc.decode(x).decode() for x in ids]
-                yield batch, i, j, [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+        try:
+            for batch in batches:
+                col = batch.column(1)
+                _, offsets = text_buffer(col)
+                for i, j in row_chunks(offsets):
+                    ids = voc.encode([t or "" for t in col.slice(i, j - i).to_pylist()])
+                    decoded = [voc.decode(x).decode() for x in ids]
+                    yield batch, i, j, [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+        finally:
+            voc.forget()
 
     return with_rows(docs, text, run, "ids binary, decoded string")
 
@@ -255,14 +263,17 @@ def digest(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         voc = vocabulary(vocabulary_path)
-        for batch in batches:
-            col = batch.column(1)
-            _, offsets = text_buffer(col)
-            for i, j in row_chunks(offsets):
-                ids = voc.encode([t or "" for t in col.slice(i, j - i).to_pylist()])
-                yield batch, i, j, [pa.array([len(x) // 4 for x in ids], pa.int64()),
-                                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                                    pa.array([hashlib.sha256(voc.decode(x)).hexdigest() for x in ids], pa.string())]
+        try:
+            for batch in batches:
+                col = batch.column(1)
+                _, offsets = text_buffer(col)
+                for i, j in row_chunks(offsets):
+                    ids = voc.encode([t or "" for t in col.slice(i, j - i).to_pylist()])
+                    yield batch, i, j, [pa.array([len(x) // 4 for x in ids], pa.int64()),
+                                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                                        pa.array([hashlib.sha256(voc.decode(x)).hexdigest() for x in ids], pa.string())]
+        finally:
+            voc.forget()
 
     return with_rows(docs, text, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
