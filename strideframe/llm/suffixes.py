@@ -313,6 +313,7 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
                     first, stop = at - (code >> 12 & 4095), at - (code & 4095) + length
                     if is_hot:
                         held[data[base + first:base + stop]].append((key, first))
+                        size += 48 * (stop - first - length + 1)  # its windows' digests
                     else:
                         suffix = data[base + at:base + stop]
                         part = int.from_bytes(hashlib.blake2b(suffix[:gram], digest_size=4).digest(), "little") % n_parts
