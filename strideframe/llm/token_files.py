@@ -13,7 +13,9 @@ in any case, so each distinct word of a worker is encoded once and kept.
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +32,11 @@ STRIPE_BYTES = 16 << 20
 ROWS_PER_INDEX = 1000
 FALSE_HITS = 0.01
 #: Distinct words whose ids a worker keeps; beyond it the memory is emptied, results stay the same.
-MEMORY = 600_000
+MEMORY = 900_000
+
+
+#: Marks that only ever join with other marks to a token, never with letters or digits.
+MARKS = string.punctuation.replace("'", "").encode()
 
 
 class Encoder:
@@ -44,17 +50,63 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        if suffix:
+            self.ends_word[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian 32-bit integers, without special tokens added."""
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        words = [t.split() for t in texts]  # at ASCII white space; other white space stays inside a word, for the library
-        new = [w for w in set().union(*words) if w not in known] if words else []
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+        out, missing, get = [], {}, known.get
+        for k, t in enumerate(texts):
+            words = fold(t).split()  # at ASCII white space; other white space stays inside a word, for the library
+            ids = list(map(get, words))
+            if None in ids:
+                missing[k] = words
+            out.append(ids)
+        self._learn({w for k, words in missing.items() for w, x in zip(words, out[k]) if x is None})
+        for k, words in missing.items():
+            out[k] = [known[w] if x is None else x for w, x in zip(words, out[k])]
+        return [b"".join(ids) for ids in out]
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        # marks that end a word are tokens of their own after a letter or digit
+        cut = {w: s for w in new if (s := w.rstrip(MARKS)) != w and s[-1:].isalnum() and b"<|" not in w}
+        ask = {x for w in new for x in ((cut[w], w[len(cut[w]):]) if w in cut else (w,)) if x not in known}
+        letters = [w for w in ask if w.decode().isalpha()]
+        rest = [w for w in ask if not w.decode().isalpha()]
+        for i in range(0, len(letters), 2000):
+            rest.extend(self._together(letters[i:i + 2000]))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w, s in cut.items():
+            known[w] = known[s] + known[w[len(s):]]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Learns words of letters alone from one call: each ends with its one token that ends a word.
+
+        Returns the words if they cannot be told apart so.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return words
+        data, at = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist()):
+            self.known[w] = data[at:end]
+            at = end
+        return []
+
+
+def fold(text: bytes) -> bytes:
+    """A-Z in lower case, where that changes no id: the tokenizer lower-cases itself, but composes
+    letters with combining marks (lead bytes CC and CD) and finds special tokens before."""
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
 _ENCODERS: dict[str, Encoder] = {}
