@@ -147,7 +147,7 @@ def _auth(req: str, usr: str) -> str:
 def _user_errors(e: str = "email") -> str:
     return f"""concat_ws(',',
   CASE WHEN NOT coalesce(regexp_full_match({e}, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+'), false) THEN 'email_syntax' END,
-  CASE WHEN NOT coalesce(length({e}) <= 255, false) THEN 'email_len' END,
+  CASE WHEN length({e}) > 255 THEN 'email_len' END,
   CASE WHEN NOT coalesce(age BETWEEN 18 AND 120, false) THEN 'age_range' END,
   CASE WHEN NOT coalesce(goal IS NOT NULL AND length(goal) <= 50, false) THEN 'goal_len' END,
   CASE WHEN NOT coalesce(equipment IS NOT NULL AND length(equipment) <= 100, false) THEN 'equipment_len' END)"""

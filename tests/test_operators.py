@@ -29,12 +29,13 @@ def test_user_rule_boundaries(spark):
         (4, "a@b.co", 121, "g", "e"), (5, "x@", 30, "g", "e"), (6, "Ann@EXAMPLE.com", 30, "g", "e"),
         (7, "a@b.co", 30, "g" * 50, "e" * 100), (8, "a@b.co", 30, "g" * 51, "e" * 101),
         (9, "a@b.co", 30, "", ""), (10, None, None, None, None),
+        (11, "a" * 248 + "@b.test", 30, "g", "e"), (12, "a" * 249 + "@b.test", 30, "g", "e"),
     ]
     df = QA.validate_users(spark.createDataFrame(rows, S.NEW_USERS))
     assert _errors(df) == {
         1: "age_range", 2: "", 3: "", 4: "age_range", 5: "email_syntax", 6: "", 7: "",
         8: "goal_len,equipment_len", 9: "",
-        10: "email_syntax,age_range,goal_len,equipment_len",
+        10: "email_syntax,age_range,goal_len,equipment_len", 11: "", 12: "email_len",
     }
 
 
