@@ -1,16 +1,19 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines.  Sparse word n-grams (one to three words) feed a softmax
+Sparse word n-grams (one to three words) of every line feed a softmax
 regression over licence families and an unknown class.  It is trained here:
 positives are the templates, varied by dropping and adding words, and
 paragraphs of a bounded sample that hold a template; the unknown class is the
 rest of the sample.  A held-out part of the training rows calibrates the
 scores (temperature), so that a family is only named where its calibrated
 probability passes the threshold.  A named family is confirmed if the
-paragraph holds enough of one of the family's templates.
+passage holds enough of one of the family's templates.
+
+Every line is scored that shares an n-gram with a template, however common its
+words are in the corpus.
 
 The model is small (its n-grams come from the templates and the commonest of
-the sample) and broadcast; every paragraph of every text is classified where
+the sample) and broadcast; every line of every text is classified where
 Spark reads it.
 """
 
@@ -55,6 +58,8 @@ COMMON = 2000
 NAMED = 0.6
 CONFIRMED = 0.7
 VARIANTS = 40
+#: Bytes of text whose words are held at once.
+SCAN_BYTES = 1 << 20
 SEED = 11
 
 _SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum() and b not in b"\n")
@@ -72,8 +77,8 @@ def grams_of(words: list[bytes]) -> set[bytes]:
 @dataclass
 class Model:
     families: list[str]  # the unknown class is first
-    words: set[bytes]  # words of the templates that texts do not commonly have
     features: dict[bytes, int]
+    own: np.ndarray  # features that are n-grams of templates
     weight: np.ndarray  # feature x class
     bias: np.ndarray
     temperature: float
@@ -92,25 +97,66 @@ class Model:
         have = _pairs(words)
         return max((len(have & t) / len(t) for t in self.pairs[family] if t), default=0.0)
 
-    def scan(self, text: bytes) -> list[tuple[str, float, float, bool]]:
-        """(family, probability, similarity, confirmed) of the paragraphs that name a licence."""
-        known = self.words
-        rows, kept = [], []
-        for line in text.lower().translate(_CLEAN).split(b"\n"):
-            words = line.split()
-            # without one of the templates' own words the unknown class is the only one with evidence
-            if not known.isdisjoint(words):
-                row = self.features_of(words)
-                rows.append(row)
-                kept.append(words)
-        if not rows:
-            return []
-        p = self.probabilities(rows)
-        out = []
-        for i in np.flatnonzero((p[:, 1:].max(1) >= NAMED)).tolist():
+    def __post_init__(self):
+        #: Numbers of the features' words, from 1, and by n the sorted codes of the n-grams with their features.
+        self.numbers = {w: i for i, w in enumerate(sorted({w for g in self.features for w in g.split(b" ")}), 1)}
+        self.base = len(self.numbers) + 1
+        self.codes = []
+        for n in range(1, GRAMS + 1):
+            some = sorted((self._code(g), k) for g, k in self.features.items() if g.count(b" ") == n - 1)
+            self.codes.append((np.array([c for c, _ in some], np.int64), np.array([k for _, k in some], np.int64)))
+
+    def _code(self, gram: bytes) -> int:
+        code = 0
+        for w in gram.split(b" "):
+            code = code * self.base + self.numbers[w]
+        return code
+
+    def grams_at(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By n: (n, places, features) of the n-grams of a run of words that are features."""
+        code = np.zeros(len(numbers), np.int64)
+        for n, (known, feature) in enumerate(self.codes, 1):
+            if len(numbers) < n or not len(known):
+                return
+            code = code[:len(numbers) - n + 1] * self.base + numbers[n - 1:]
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            places = np.flatnonzero(known[at] == code)
+            yield n, places, feature[at[places]]
+
+    def scan(self, texts: list[bytes]) -> list[list[tuple[str, float, float, bool]]]:
+        """For each text (family, probability, similarity, confirmed) of the lines that name a licence."""
+        words, ends, text_of = [], [], []
+        for t, text in enumerate(texts):
+            for line in text.lower().translate(_CLEAN).split(b"\n"):
+                words += line.split()
+                ends.append(len(words))
+                text_of.append(t)
+        out: list[list[tuple[str, float, float, bool]]] = [[] for _ in texts]
+        if not words:
+            return out
+        get = self.numbers.get
+        numbers = np.array([get(w, 0) for w in words], np.int64)
+        starts = [0, *ends[:-1]]
+        line = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        of, feature = [], []
+        for n, at, k in self.grams_at(numbers):
+            same = line[at] == line[at + n - 1]
+            of.append(line[at[same]])
+            feature.append(k[same])
+        both = np.unique(np.concatenate(of) * len(self.features) + np.concatenate(feature))
+        of, feature = np.divmod(both, len(self.features))
+        shares = np.unique(of[self.own[feature]])  # lines that share an n-gram with a template
+        if not len(shares):
+            return out
+        first = np.searchsorted(of, shares)
+        last = np.searchsorted(of, shares, "right")
+        z = np.stack([self.bias + self.weight[feature[a:b]].sum(0) for a, b in zip(first.tolist(), last.tolist())])
+        p = softmax(z / self.temperature)
+        for i in np.flatnonzero(p[:, 1:].max(1) >= NAMED).tolist():
             k = 1 + int(p[i, 1:].argmax())
-            s = self.similarity(kept[i], self.families[k])
-            out.append((self.families[k], float(p[i, k]), s, s >= CONFIRMED))
+            at = int(shares[i])
+            s = self.similarity(words[starts[at]:ends[at]], self.families[k])
+            out[text_of[at]].append((self.families[k], float(p[i, k]), s, s >= CONFIRMED))
         return out
 
 
@@ -154,6 +200,15 @@ def fit(rows: list[list[int]], labels: np.ndarray, n_features: int, n_classes: i
     return weight, bias
 
 
+def piece(have: set[bytes], pairs: dict[str, list[set[bytes]]]) -> bool:
+    """Whether word pairs are half of a template's, or half of them a template's: no evidence of the unknown class."""
+    for t in (t for ts in pairs.values() for t in ts):
+        n = len(have & t)
+        if n > 1 and (2 * n >= len(t) or 2 * n >= len(have)):
+            return True
+    return False
+
+
 def train(paragraphs: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Model:
     """The classifier from templates and a sample of paragraphs."""
     rng = np.random.RandomState(SEED)
@@ -166,6 +221,8 @@ def train(paragraphs: list[str], templates: dict[str, tuple[str, ...]] = TEMPLAT
     for ws in sample:
         have = _pairs(ws)
         best = max(((len(have & t) / len(t), len(t), f) for f in pairs for t in pairs[f] if t), default=(0.0, 0, UNKNOWN))
+        if best[0] < 0.9 and piece(have, pairs):
+            continue
         texts.append(ws)
         labels.append(families.index(best[2]) if best[0] >= 0.9 else 0)
     for f in families[1:]:
@@ -193,8 +250,8 @@ def train(paragraphs: list[str], templates: dict[str, tuple[str, ...]] = TEMPLAT
     z, y = scores(pick(held), weight, bias), labels[held]
     grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
     loss = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid] if len(y) else [0.0]
-    vocabulary = {w for f in parts for ws in parts[f] for w in ws if common[w] * 50 < max(50, len(sample))}
-    return Model(families, vocabulary, features, weight, bias, float(grid[int(np.argmin(loss))]), pairs)
+    mine = np.array([g in own for g in features], bool)
+    return Model(families, features, mine, weight, bias, float(grid[int(np.argmin(loss))]), pairs)
 
 
 def train_on(docs: DataFrame, paragraphs: int = SAMPLE_PARAGRAPHS) -> Model:
@@ -212,7 +269,7 @@ def train_on(docs: DataFrame, paragraphs: int = SAMPLE_PARAGRAPHS) -> Model:
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` (see ``with_rows``) with ``licences``: (family, probability, similarity, confirmed) by paragraph.
+    """Every row of ``docs`` (see ``with_rows``) with ``licences``: (family, probability, similarity, confirmed) by line.
 
     Null and empty texts have none.
     """
@@ -223,10 +280,10 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         held = shared.value
         for batch in batches:
             raw, offsets = text_buffer(batch.column(1))
-            for i, j in row_chunks(offsets):
+            for i, j in row_chunks(offsets, SCAN_BYTES):
                 data, cut = raw[offsets[i]:offsets[j]].tobytes(), (offsets[i:j + 1] - offsets[i]).tolist()
-                found = [[dict(zip(("family", "probability", "similarity", "confirmed"), x)) for x in held.scan(data[s:e])]
-                         for s, e in zip(cut, cut[1:])]
+                found = [[dict(zip(("family", "probability", "similarity", "confirmed"), x)) for x in xs]
+                         for xs in held.scan([data[s:e] for s, e in zip(cut, cut[1:])])]
                 yield batch, i, j, [pa.array(found, kind)]
 
     return with_rows(docs, text, run, "licences array<struct<family:string,probability:double,similarity:double,confirmed:boolean>>")

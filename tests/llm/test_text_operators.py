@@ -114,6 +114,18 @@ def test_licence_scan_of_odd_texts(spark):
     assert licences.licences_of(docs_of(spark, [])).count() == 0
 
 
+def test_common_licences_and_small_tables(spark):
+    """A licence is found however few rows there are and however common its words are."""
+    small = docs_of(spark, ["Some words.\nReleased under the MIT License.", "nothing here", "Licensed under CC BY-SA 4.0."])
+    assert {r["doc_id"]: r["licence"] for r in licences.licences_of(small).collect()} == {0: "mit", 1: None, 2: "cc-by-sa"}
+    rng = random.Random(5)
+    prose = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(12)) for _ in range(600)]
+    hot = {i: f"(c) {1980 + i % 45} w{rng.randint(0, 500)} w{rng.randint(0, 500)}. Released under the MIT License." for i in range(0, 600, 3)}
+    texts = [f"{t}\n{hot[i]}" if i in hot else t for i, t in enumerate(prose)]
+    got = {r["doc_id"]: r["licence"] for r in licences.licences_of(docs_of(spark, texts)).collect()}
+    assert got == {i: "mit" if i in hot else None for i in range(600)}
+
+
 # --- decontamination ---------------------------------------------------------------
 
 def _edited(rng, text, k):
