@@ -1,6 +1,12 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Sparse word n-grams (one to three words) of every line feed a softmax
+Paragraphs end at blank lines (a line of comment marks alone is blank).  Two
+kinds of passages can name a licence: single lines, and windows of a
+paragraph's joined words that hold enough of a template, so a notice may be
+wrapped over lines anywhere or stand within a long line.  Where passages
+overlap, the one that holds more of a template counts.
+
+Sparse word n-grams (one to three words) of a passage feed a softmax
 regression over licence families and an unknown class.  It is trained here:
 positives are the templates, varied by dropping and adding words, and
 paragraphs of a bounded sample that hold a template; the unknown class is the
@@ -13,12 +19,13 @@ Every line is scored that shares an n-gram with a template, however common its
 words are in the corpus.
 
 The model is small (its n-grams come from the templates and the commonest of
-the sample) and broadcast; every line of every text is classified where
-Spark reads it.
+the sample) and broadcast; every line and window of every text is classified
+where Spark reads it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -60,6 +67,10 @@ CONFIRMED = 0.7
 VARIANTS = 40
 #: Bytes of text whose words are held at once.
 SCAN_BYTES = 1 << 20
+#: A window is at most so many times as long as its template.
+WIDTH = 2
+#: Words that mark a line as a comment; other comment marks are no words.
+COMMENTS = {b"rem", b"dnl"}
 SEED = 11
 
 _SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum() and b not in b"\n")
@@ -101,6 +112,13 @@ class Model:
         #: Numbers of the features' words, from 1, and by n the sorted codes of the n-grams with their features.
         self.numbers = {w: i for i, w in enumerate(sorted({w for g in self.features for w in g.split(b" ")}), 1)}
         self.base = len(self.numbers) + 1
+        #: By feature, the templates whose word pair it is; by template, its word pairs and the words of a window.
+        self.templates = [(len(t), WIDTH * (len(t) + 1)) for ts in self.pairs.values() for t in ts]
+        self.holds: dict[int, list[int]] = {}
+        for i, t in enumerate(t for ts in self.pairs.values() for t in ts):
+            for pair in t:
+                if b" " in pair:
+                    self.holds.setdefault(self.features[pair], []).append(i)
         self.codes = []
         for n in range(1, GRAMS + 1):
             some = sorted((self._code(g), k) for g, k in self.features.items() if g.count(b" ") == n - 1)
@@ -124,41 +142,100 @@ class Model:
             yield n, places, feature[at[places]]
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[str, float, float, bool]]]:
-        """For each text (family, probability, similarity, confirmed) of the lines that name a licence."""
-        words, ends, text_of = [], [], []
-        for t, text in enumerate(texts):
+        """For each text (family, probability, similarity, confirmed) of the passages that name a licence, in the text's order."""
+        words, ends, first_lines = [], [], []
+        for text in texts:
+            first_lines.append(len(ends))
             for line in text.lower().translate(_CLEAN).split(b"\n"):
-                words += line.split()
+                some = line.split()
+                words += some[1:] if some and some[0] in COMMENTS else some
                 ends.append(len(words))
-                text_of.append(t)
         out: list[list[tuple[str, float, float, bool]]] = [[] for _ in texts]
         if not words:
             return out
         get = self.numbers.get
         numbers = np.array([get(w, 0) for w in words], np.int64)
-        starts = [0, *ends[:-1]]
-        line = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        of, feature = [], []
+        size = np.diff(ends, prepend=0)
+        line = np.repeat(np.arange(len(ends)), size)
+        breaks = size == 0
+        breaks[first_lines] = True
+        paragraph = np.repeat(np.cumsum(breaks), size)
+        of, feature, spans = [], [], []
         for n, at, k in self.grams_at(numbers):
             same = line[at] == line[at + n - 1]
             of.append(line[at[same]])
             feature.append(k[same])
+            if n == 2:
+                same = paragraph[at] == paragraph[at + 1]
+                spans = self.windows(at[same], k[same], paragraph[at[same]])
         both = np.unique(np.concatenate(of) * len(self.features) + np.concatenate(feature))
         of, feature = np.divmod(both, len(self.features))
         shares = np.unique(of[self.own[feature]])  # lines that share an n-gram with a template
-        if not len(shares):
+        first, last = np.searchsorted(of, shares).tolist(), np.searchsorted(of, shares, "right").tolist()
+        rows = [feature[a:b] for a, b in zip(first, last)] + [np.array(self.features_of(words[a:b]), np.int64) for a, b in spans]
+        spans = [(ends[i] - int(size[i]), ends[i]) for i in shares.tolist()] + spans
+        if not rows:
             return out
-        first = np.searchsorted(of, shares)
-        last = np.searchsorted(of, shares, "right")
-        z = np.stack([self.bias + self.weight[feature[a:b]].sum(0) for a, b in zip(first.tolist(), last.tolist())])
+        z = np.stack([self.bias + self.weight[r].sum(0) for r in rows])
         p = softmax(z / self.temperature)
+        named = []
         for i in np.flatnonzero(p[:, 1:].max(1) >= NAMED).tolist():
-            k = 1 + int(p[i, 1:].argmax())
-            at = int(shares[i])
-            s = self.similarity(words[starts[at]:ends[at]], self.families[k])
-            out[text_of[at]].append((self.families[k], float(p[i, k]), s, s >= CONFIRMED))
+            k, (a, b) = 1 + int(p[i, 1:].argmax()), spans[i]
+            s = self.similarity(words[a:b], self.families[k])
+            named.append((a, b, (self.families[k], float(p[i, k]), s, s >= CONFIRMED)))
+        text_of = np.searchsorted(first_lines, np.arange(len(ends)), "right") - 1
+        for a, _, found in apart(named):
+            out[text_of[line[a]]].append(found)
         return out
 
+    def windows(self, places: np.ndarray, features: np.ndarray, paragraph: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of the windows that hold enough word pairs of a template, from the places of the known pairs."""
+        cuts = np.r_[0, np.flatnonzero(np.diff(paragraph)) + 1, len(places)]
+        least = CONFIRMED * min((n for n, _ in self.templates), default=1)
+        out = []
+        for c in np.flatnonzero(np.diff(cuts) >= least).tolist():
+            held: dict[int, list[tuple[int, int]]] = {}
+            for at, k in zip(places[cuts[c]:cuts[c + 1]].tolist(), features[cuts[c]:cuts[c + 1]].tolist()):
+                for t in self.holds.get(k, ()):
+                    held.setdefault(t, []).append((at, k))
+            for t, hits in held.items():
+                n, width = self.templates[t]
+                if len({k for _, k in hits}) >= CONFIRMED * n:
+                    out += fullest(hits, CONFIRMED * n, width)
+        return sorted(set(out))
+
+
+def fullest(hits: list[tuple[int, int]], least: float, width: int) -> list[tuple[int, int]]:
+    """(start, end) of runs of at most ``width`` words with ``least`` different pairs, the fullest of those that overlap."""
+    out: list[tuple[int, int, int]] = []
+    seen: Counter = Counter()
+    left = 0
+    for at, k in hits:
+        seen[k] += 1
+        while hits[left][0] + width < at + 2 or seen[hits[left][1]] > 1:
+            old = hits[left][1]
+            seen[old] -= 1
+            if not seen[old]:
+                del seen[old]
+            left += 1
+        if len(seen) >= least:
+            found = (hits[left][0], at + 2, len(seen))
+            if not out or found[0] >= out[-1][1]:
+                out.append(found)
+            elif found[2] > out[-1][2]:
+                out[-1] = found
+    return [(a, b) for a, b, _ in out]
+
+
+def apart(named: list[tuple[int, int, tuple]]) -> list[tuple[int, int, tuple]]:
+    """Of passages that overlap, the confirmed, most similar, most probable, shortest; in order."""
+    out: list[tuple[int, int, tuple]] = []
+    for x in sorted(named, key=lambda x: (-x[2][3], -x[2][2], -x[2][1], x[1] - x[0], x)):
+        i = bisect_left(out, x)
+        if (i == 0 or out[i - 1][1] <= x[0]) and (i == len(out) or x[1] <= out[i][0]):
+            out.insert(i, x)
+    return out
+
 
 def _pairs(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i:i + 2]) for i in range(len(words) - 1)} if len(words) > 1 else set(words)
@@ -269,7 +346,7 @@ def train_on(docs: DataFrame, paragraphs: int = SAMPLE_PARAGRAPHS) -> Model:
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` (see ``with_rows``) with ``licences``: (family, probability, similarity, confirmed) by line.
+    """Every row of ``docs`` (see ``with_rows``) with ``licences``: (family, probability, similarity, confirmed) by passage.
 
     Null and empty texts have none.
     """
@@ -290,8 +367,8 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def licences_of(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, licence (family of the most probable confirmed paragraph, else null), probability,
-    similarity, n_named (paragraphs that name one) and n_confirmed."""
+    """Per row: doc_id, licence (family of the most probable confirmed passage, else null), probability,
+    similarity, n_named (passages that name one) and n_confirmed."""
     got = scan(docs.select("doc_id", "text"), train_on(docs))
     good = F.filter("licences", lambda x: x["confirmed"])
     best = F.array_max(F.transform(good, lambda x: F.struct(x["probability"].alias("p"), x["similarity"].alias("s"), x["family"].alias("f"))))

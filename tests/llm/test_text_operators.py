@@ -126,6 +126,32 @@ def test_common_licences_and_small_tables(spark):
     assert got == {i: "mit" if i in hot else None for i in range(600)}
 
 
+MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files "
+       "(the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify.")
+BSD = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\n"
+       "are met:\n1. Redistributions of source code must retain the above notice.")
+GPL = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+       "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped over lines, in comments, within long lines and twice; not across a blank line."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 500)}" for _ in range(n))
+    marked = lambda t, m: "\n".join(m + x for x in t.split("\n"))
+    texts = [f"{prose(9)}\n\n{t}\n\n{prose(9)}" for t in (MIT, BSD, GPL)]
+    texts += [f"{prose(9)}\n{marked(t, m)}\n{prose(9)}" for t, m in ((MIT, "# "), (BSD, " * "), (GPL, "// "), (MIT, "dnl "), (GPL, "REM "))]
+    texts += [f"{prose(300)} {BSD} {prose(300)}".replace("\n", " "), f"{MIT}\n\n{prose(5)}\n\n{MIT}", f"{MIT}\n{GPL}"]
+    texts += [BSD.replace("\n", "\n#\n"), prose(50), "All rights reserved."]
+    want = ["mit", "bsd", "gpl", "mit", "bsd", "gpl", "mit", "gpl", "bsd", "mit", None, None, None, None]
+    model = licences.train([prose(12) for _ in range(400)] + [x for t in (MIT, BSD, GPL) for x in t.split("\n")] * 40)
+    got = {r["payload"]["doc_id"]: [x["family"] for x in r["licences"] if x["confirmed"]] for r in licences.scan(docs_of(spark, texts), model).collect()}
+    assert [got[i] for i in range(9)] == [[w] for w in want[:9]]
+    assert got[9] == ["mit", "mit"] and got[10] == ["mit", "gpl"] and got[11] == got[12] == got[13] == []
+    found = {r["doc_id"]: r["licence"] for r in licences.licences_of(docs_of(spark, texts)).collect()}
+    assert [found[i] for i in range(14)] == want[:10] + [found[10]] + want[11:] and found[10] in ("mit", "gpl")
+
+
 # --- decontamination ---------------------------------------------------------------
 
 def _edited(rng, text, k):
