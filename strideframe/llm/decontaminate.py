@@ -17,8 +17,11 @@ tells whether the pointer moves.  Two walks that share the random bits fall
 into step again after an edit, so few edits change few places of the output:
 edit distance becomes Hamming distance.  ``SAMPLES`` places of the output make
 a key; ``ROUNDS`` independent walks and samples give as many keys, and a window
-is a candidate for every item of its size with which it shares any key.  Tests
-measure the recall (target: 0.99 at the allowed distance).
+is a candidate for every item of its size with which it shares any key.  Walks
+drift apart with the length, so an item longer than ``PIECE`` bytes is embedded
+in pieces of equal size: one of them has no more than its share of the edits,
+and the item is a candidate where any piece is found at the shift of its grams.
+Tests measure the recall (target: 0.99 at the allowed distance).
 
 *Verification.*  Myers' bit-vector algorithm gives each candidate's exact edit
 distance from the item to the best substring.
@@ -47,6 +50,8 @@ ONE_IN = 16
 #: Independent walks, and sampled places of each.
 ROUNDS = 24
 SAMPLES = 6
+#: Bytes of an item embedded by one walk, at most.
+PIECE = 512
 #: Bytes of normalised items broadcast at once.
 BLOCK_BYTES = 8 << 20
 SEED = 17
@@ -97,14 +102,21 @@ class Items:
         self.edits = np.array([allowed(len(t)) for t in self.texts], np.int64)
         #: Grams that any window within the allowed edits must share with the item.
         self.least = np.maximum(1, self.size - Q + 1 - Q * self.edits)
-        #: Items by key; a key holds size and round.
-        self.keys: dict[int, list[int]] = {}
-        for k, row in zip(long, lsh_keys([self.texts[k] for k in long])):
+        #: Pieces of an item, and the bytes of each but the last.
+        self.pieces = np.maximum(1, -(-self.size // PIECE))
+        self.width = -(-self.size // self.pieces)
+        #: Items and pieces by key; a key holds size and round.
+        self.keys: dict[int, list[tuple[int, int]]] = {}
+        cut = [(k, j) for k in long for j in range(int(self.pieces[k]))]
+        for at, row in zip(cut, lsh_keys([self.piece(k, j) for k, j in cut])):
             for key in row:
-                self.keys.setdefault(key, []).append(k)
+                self.keys.setdefault(key, []).append(at)
 
-    def windows(self, raw: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item number, start) of the item-sized windows of one text that can leak."""
+    def piece(self, k: int, j: int) -> bytes:
+        return self.texts[k][j * int(self.width[k]):(j + 1) * int(self.width[k])]
+
+    def windows(self, raw: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item number, piece, start of the item) of the item-sized windows of one text that can leak, for the pieces with grams there."""
         codes = _gram_codes(raw)
         hit = np.flatnonzero(self.there[codes >> np.uint64(64 - self.bits)])
         if not len(hit):
@@ -115,9 +127,10 @@ class Items:
         if not len(hit):
             return
         of = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        item, shift = self.item[of], np.repeat(hit, many) - self.place[of]
+        item, place = self.item[of], self.place[of]
+        shift = np.repeat(hit, many) - place
         order = np.lexsort((shift, item))
-        item, shift = item[order], shift[order]
+        item, place, shift = item[order], place[order], shift[order]
         # the hits of one item within ``edits`` shifts of each other
         lane = item << 40 | (shift + (1 << 39))
         until = np.searchsorted(lane, lane + self.edits[item], "right")
@@ -128,8 +141,10 @@ class Items:
             np.add.at(marks, first, 1)
             np.add.at(marks, until[first], -1)
             inside = np.cumsum(marks[:-1]) > 0
-            for lane_value in np.unique(lane[inside]).tolist():
-                yield lane_value >> 40, (lane_value & (1 << 40) - 1) - (1 << 39)
+            lane, piece = lane[inside], place[inside] // self.width[item[inside]]
+            for j in np.flatnonzero(np.bincount(piece)).tolist():
+                for lane_value in np.unique(lane[piece == j]).tolist():
+                    yield lane_value >> 40, j, (lane_value & (1 << 40) - 1) - (1 << 39)
 
 
 def lsh_keys(strings: list[bytes]) -> list[list[int]]:
@@ -170,7 +185,7 @@ def _moves(steps: int) -> np.ndarray:
     """Random bits by (step, walk, byte or end); the first rows do not depend on how many are asked for."""
     while len(_MOVES) * 1024 < steps:
         rng = np.random.RandomState((SEED, 99, len(_MOVES)))
-        _MOVES.append(rng.randint(0, 2, (1024, ROUNDS * 257), dtype=np.int8).astype(np.int64))
+        _MOVES.append(rng.randint(0, 2, (1024, ROUNDS * 257), dtype=np.int8))
     return _MOVES[0] if steps <= 1024 else np.concatenate(_MOVES)
 
 
@@ -203,14 +218,18 @@ def leaks_in(texts: list[str], items: Items) -> list[list[tuple[int, int, int]]]
     """For each text its leaks (item id, edits, start in the normalised text), the best place of each item."""
     found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
     normal = [normalise(t) if t else b"" for t in texts]
-    asked: set[tuple[int, int, int]] = set()
+    asked: dict[tuple[int, int, int], set[tuple[int, int, int]]] = {}  # by window: item, piece and start of items of several pieces
+    near: dict[tuple[int, int], set[int]] = {}  # by text and item of several pieces: starts to verify
     for t, raw in enumerate(normal):
         for k in items.short:
             at = (b" " + raw + b" ").find(b" " + items.texts[k] + b" ")
             if at >= 0:
                 found[t][k] = (0, at)
         if len(raw) >= Q:
-            asked.update((t, max(0, start), int(items.size[k])) for k, start in items.windows(np.frombuffer(raw, np.uint8)))
+            for k, j, start in items.windows(np.frombuffer(raw, np.uint8)):
+                of = asked.setdefault((t, max(0, start + j * int(items.width[k])), len(items.piece(k, j))), set())
+                if items.pieces[k] > 1:
+                    of.add((k, j, start))
     places = sorted(asked)
     for i in range(0, len(places), 4096):
         some = places[i:i + 4096]
@@ -219,7 +238,11 @@ def leaks_in(texts: list[str], items: Items) -> list[list[tuple[int, int, int]]]
         distinct = sorted(set(strings))
         keys = dict(zip(distinct, lsh_keys(distinct)))
         for (t, s, n), window in zip(some, strings):
-            for k in {k for key in keys[window] for k in items.keys.get(key, ())}:
+            alike = {at for key in keys[window] for at in items.keys.get(key, ())}
+            for k, j, start in asked[t, s, n]:
+                if (k, j) in alike:
+                    near.setdefault((t, k), set()).add(start)
+            for k in {k for k, _ in alike if items.pieces[k] == 1}:
                 if window == items.texts[k]:
                     edits, start = 0, s
                 else:
@@ -229,9 +252,30 @@ def leaks_in(texts: list[str], items: Items) -> list[list[tuple[int, int, int]]]
                     start = max(0, low + end - n)
                 if edits <= items.edits[k] and (edits, start) < found[t].get(k, (1 << 30, 0)):
                     found[t][k] = (edits, start)
+    for (t, k), starts in near.items():
+        best = _verified(items.texts[k], normal[t], int(items.edits[k]), sorted(starts))
+        if best[0] <= items.edits[k]:
+            found[t][k] = best
     return [sorted((items.ids[k], e, s) for k, (e, s) in f.items()) for f in found]
 
 
+def _verified(item: bytes, text: bytes, spare: int, starts: list[int]) -> tuple[int, int]:
+    """(edits, start) of the best place of an item around the starts; each part of the text is read once."""
+    n = len(item)
+    for s in starts:
+        if s >= 0 and text.startswith(item, s):
+            return 0, s
+    best, i = (1 << 30, 0), 0
+    while i < len(starts):
+        low, until = max(0, starts[i] - spare), starts[i] + n + spare
+        while i < len(starts) and starts[i] - spare <= until:
+            until = starts[i] + n + spare
+            i += 1
+        edits, end = best_distance(item, text[low:until])
+        best = min(best, (edits, max(0, low + end - n)))
+    return best
+
+
 def item_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
     """Normalised items in blocks of about ``limit`` bytes; null and empty ones are left out."""
     block, size = [], 0

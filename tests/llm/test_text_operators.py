@@ -208,6 +208,18 @@ def test_recall_at_the_allowed_distance(spark):
     assert want > 500 and hit >= 0.99 * want
 
 
+@pytest.mark.parametrize("size,trials", [(1 << 10, 40), (2 << 10, 24), (4 << 10, 16), (16 << 10, 4)])
+def test_recall_of_long_items_at_the_allowed_distance(size, trials):
+    """Word text with exactly as many random edits as are allowed."""
+    rng = random.Random(size)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n // 4))[:n].strip()
+    texts = [prose(size) for _ in range(trials)]
+    items = D.Items([(i, t.encode()) for i, t in enumerate(texts)])
+    found = D.leaks_in([f"{prose(300)} {_edited(rng, t, D.allowed(len(t)))} {prose(300)}" for t in texts], items)
+    assert all(e <= D.allowed(len(texts[i])) and i == k for k, f in enumerate(found) for i, e, _ in f)
+    assert sum(bool(f) for f in found) >= 0.99 * trials
+
+
 def test_decontamination_of_odd_texts_and_items(spark):
     bench = spark.createDataFrame([(1, "Same  TEXT here"), (2, None), (3, ""), (4, "x" * 300), (5, "tiny"), (None, "null id"), (1, "Same text here")],
                                   "item_id long, text string").withColumn("extra", F.lit(1))
