@@ -3,7 +3,12 @@
 A line that begins with one or more ``>`` is quoted, once per ``>``.  Its
 content, normalised (lower case, white space runs as one space), is a passage;
 the original of a passage is the earliest message of the same conversation
-that holds it as a line of its own.  A message replies to the message that the
+that holds it as a line of its own.  A quoted line that no message holds as it
+is (the quote was wrapped anew, or is a part of a longer line) is looked up by
+its shingles: all runs of ``SHINGLE`` words of the lines of one quote level
+that follow each other, joined.  It comes from the message that the most of its
+shingles come from (ties: the earliest), if at least half of them are found;
+runs of fewer words match as whole lines only.  A message replies to the message that the
 most of its once-quoted lines come from (ties: the latest); if none of these
 has an original, the next deeper level decides.  Following the replies gives
 each message its thread and depth; the conversation's order is by thread (in
@@ -12,7 +17,10 @@ the order of their first messages), then turn.
 DataFrame functions only.  Passages are found by an equi-join on their hashes;
 originals are reduced to one row per passage before it, and a hot passage's
 quotes are split over tasks.  Positions are running counts over range
-partitions, so one conversation may hold any share of all rows.
+partitions, so one conversation may hold any share of all rows.  Shingles are
+made only in conversations with quoted lines that are left.
+
+``SQL`` states the rule of whole lines.
 """
 
 from __future__ import annotations
@@ -28,6 +36,9 @@ QUOTED = r"^[ \t]*>[> \t]*"
 #: A line that announces a quote; it goes with the quote that follows it.
 ANNOUNCES = r"(?i)(wrote|writes|said)[ \t]*:[ \t\r]*$"
 
+#: Words of the runs by which quotes are found that are no whole lines.
+SHINGLE = 4
+
 
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
@@ -39,10 +50,47 @@ def level(line: Column) -> Column:
     return F.length(mark) - F.length(F.replace(mark, F.lit(">"), F.lit("")))
 
 
+def content(line: Column) -> Column:
+    """A line's normalised content without quote marks."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, QUOTED, "")), r"[\s]+", " "))
+
+
 def passage(line: Column) -> Column:
     """Hash of a line's normalised content without quote marks; null for an empty one."""
-    content = F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, QUOTED, "")), r"[\s]+", " "))
-    return F.when(content != "", F.sha2(content, 256))
+    return F.when(content(line) != "", F.sha2(content(line), 256))
+
+
+def shingles(words: Column) -> Column:
+    """(level, place, lines, h) of the runs of SHINGLE words; an empty word, as of an empty line, or another level ends a run."""
+    def at(x: Column, i: Column) -> Column:
+        run = [x, *[F.get(words, i + n) for n in range(1, SHINGLE)]]
+        whole = F.lit(True)
+        for y in run:
+            whole = whole & F.coalesce((y["level"] == x["level"]) & (y["word"] != ""), F.lit(False))
+        return F.when(whole, F.struct(x["level"].alias("level"), i.alias("place"), F.array_distinct(F.array(*[y["line"] for y in run])).alias("lines"),
+                                      F.sha2(F.concat_ws(" ", *[y["word"] for y in run]), 256).alias("h")))
+
+    return F.filter(F.transform(words, at), lambda x: x.isNotNull())
+
+
+def partial_votes(rows: DataFrame, missed: DataFrame) -> DataFrame:
+    """(conv_id, turn, k, level, original, n) of the quoted lines of ``missed`` (conv_id, turn, k, line) by their shingles."""
+    some = split_join(rows, missed.select("conv_id").distinct(), ["conv_id"], "left_semi").filter(F.col("turn").isNotNull())
+    words = F.flatten(F.transform(lines(F.col("raw")), lambda x, i: F.transform(F.split(content(x), " "), lambda w: F.struct(
+        level(x).alias("level"), i.alias("line"), w.alias("word")))))
+    runs = some.select("conv_id", "turn", "k", words.alias("words")).select("conv_id", "turn", "k", F.inline(shingles(F.col("words"))))
+    originals = runs.filter("level = 0").groupBy("conv_id", "h").agg(F.min("turn").alias("original"))
+    quoted = runs.filter("level > 0").select("conv_id", "turn", "k", "level", "place", "h", F.explode("lines").alias("line"))
+    row = ["conv_id", "turn", "k", "line"]
+    quoted = split_join(quoted, missed.select(row).distinct(), row, "left_semi") \
+        .groupBy(*row, "level", "place", "h").agg(F.count(F.lit(1)).alias("copies"))
+    found = split_join(quoted, originals, ["conv_id", "h"], "left") \
+        .withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original"))) \
+        .groupBy(*row, "level", "original").agg(F.count(F.lit(1)).alias("m"), F.max("copies").alias("n"))
+    best = found.groupBy(*row, "level").agg(
+        F.sum("m").alias("all"), F.sum(F.when(F.col("original").isNotNull(), F.col("m"))).alias("hits"), F.max("n").alias("n"),
+        F.max(F.when(F.col("original").isNotNull(), F.struct("m", (-F.col("original")).alias("o"))))["o"].alias("o"))
+    return best.filter(F.col("hits") * 2 >= F.col("all")).select("conv_id", "turn", "k", "level", (-F.col("o")).alias("original"), "n")
 
 
 def unquoted(text: Column) -> Column:
@@ -66,13 +114,18 @@ def link(messages: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = messages.select("conv_id", "turn", F.col("role").cast("string").alias("role"), text.alias("raw"),
                            row_key("conv_id", "turn", "role", "text").alias("k"))
-    cut = rows.select("conv_id", "turn", "k", F.explode(lines(F.col("raw"))).alias("line"))
-    parts = cut.select("conv_id", "turn", "k", level(F.col("line")).alias("level"), passage(F.col("line")).alias("h")) \
+    cut = rows.select("conv_id", "turn", "k", F.posexplode(lines(F.col("raw"))).alias("i", "line"))
+    parts = cut.select("conv_id", "turn", "k", "i", level(F.col("line")).alias("level"), passage(F.col("line")).alias("h")) \
         .filter(F.col("h").isNotNull() & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quoted = parts.filter(F.col("level") > 0)
     originals = parts.filter(F.col("level") == 0).groupBy("conv_id", "h").agg(F.min("turn").alias("original"))
-    votes = split_join(quoted, originals, ["conv_id", "h"]).filter(F.col("original") < F.col("turn")) \
-        .groupBy("conv_id", "turn", "k", "level", "original").agg(F.count(F.lit(1)).alias("n"))
+    found = checkpoint(split_join(quoted, originals, ["conv_id", "h"], "left").select(
+        "conv_id", "turn", "k", F.col("i").alias("line"), "level", F.when(F.col("original") < F.col("turn"), F.col("original")).alias("original")))
+    votes = found.filter(F.col("original").isNotNull()).select("conv_id", "turn", "k", "level", "original", F.lit(1).cast("long").alias("n"))
+    missed = found.filter(F.col("original").isNull()).select("conv_id", "turn", "k", "line")
+    if not missed.isEmpty():
+        votes = votes.unionByName(partial_votes(rows, missed))
+    votes = votes.groupBy("conv_id", "turn", "k", "level", "original").agg(F.sum("n").alias("n"))
     parents = votes.groupBy("conv_id", "turn", "k").agg(
         F.max(F.struct((-F.col("level")).alias("l"), "n", "original"))["original"].alias("reply_to"))
     parents = checkpoint(parents)

@@ -241,6 +241,26 @@ def test_quotes_equal_duckdb_on_random_threads(spark):
     assert got.reply_to.notna().sum() > 50
 
 
+def test_wrapped_and_partial_quotes_link(spark):
+    long = "The quick brown fox jumps over the lazy dog near the river bank. It never came back to us after that day in March."
+    rows = [
+        (1, 0, "user", "Something else entirely was said at first by somebody."), (1, 1, "user", long),
+        (1, 2, "user", "> The quick brown fox jumps over the\n> lazy dog near the river bank. It never came back\n> to us after that day in March.\nWrapped."),
+        (1, 3, "user", "> It never came back to us after that day in March.\nOne sentence."),
+        (1, 4, "user", "> The quick brown fox jumps over\nthe rest is mine."),
+        (1, 5, "user", "> The quick brown cat sleeps all day and nobody said any of this\nNo quote."),
+        (1, 6, "user", "> Something else entirely was\n>> The quick brown fox jumps over the\n>> lazy dog near the river\nTwo levels."),
+        (2, 0, "user", "Here is an original that was\nwrapped by its own author quite early."),
+        (2, 1, "user", "> Here is an original that was wrapped by its own author quite early.\nJoined."),
+        (3, 0, "user", "> The quick brown fox jumps over the\nother conversation"),
+    ]
+    linked = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in linked.collect()}
+    assert got == {(1, 0): None, (1, 1): None, (1, 2): 1, (1, 3): 1, (1, 4): 1, (1, 5): None, (1, 6): 0, (2, 0): None, (2, 1): 0, (3, 0): None}
+    plan = linked._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 # --- host reputation ---------------------------------------------------------------
 
 def test_rules_hosts_and_paths(spark):
