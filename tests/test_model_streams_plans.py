@@ -268,3 +268,19 @@ def test_change_engine_filters_the_log_table_without_shuffling_it(spark):
         assert "Exchange" not in lines[j], plan
         j += 1
     assert "events" in lines[j] or "parquet" in lines[j]
+
+
+@pytest.mark.parametrize("name", ["score_outcomes", "reloaded_scores", "stream_score_outcomes"])
+def test_registered_scores_train_trees_of_the_default_depth(spark, monkeypatch, name):
+    from strideframe.plans import QUERIES
+
+    class Stop(Exception):
+        pass
+
+    def train(df, max_depth=MO.MAX_DEPTH, **_):
+        raise Stop(max_depth)
+
+    monkeypatch.setattr(MO, "train", train)
+    with pytest.raises(Stop) as got:
+        QUERIES[name](spark, SF_SMALL)
+    assert got.value.args == (MO.MAX_DEPTH,)
