@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_dir
-from . import bpe, decontaminate, host_reputation, host_rules, langid, licences, quotes, simhash, suffixes, token_files
+from . import (alignment, bpe, decontaminate, host_reputation, host_rules, langid, licences, middles, quality, quotes, simhash, suffixes,
+               token_files)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,12 +62,26 @@ def op10_token_files(spark, d):
     return token_files.positions(spark, folder)
 
 
+def op11_alignment(spark, d):
+    return alignment.digests(_table(spark, d, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op12_middles(spark, d):
+    return middles.round_trips(_table(spark, d, "documents"))
+
+
+def op13_quality(spark, d):
+    return quality.judge(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_licences, op2_bpe, op3_quotes, op4_host_reputation, op5_decontaminate, op6_language_id,
-                                   op7_suffix_dedup, op8_simhash, op9_host_rules, op10_token_files)}
+                                   op7_suffix_dedup, op8_simhash, op9_host_rules, op10_token_files, op11_alignment, op12_middles,
+                                   op13_quality)}
 
 #: DuckDB SQL of the queries that SQL can express; tests hold the others against brute force.
 ORACLE: dict[str, str] = {
     "op3_quotes": quotes.SQL,
     "op4_host_reputation": host_reputation.SQL,
     "op9_host_rules": host_rules.SQL,
+    "op12_middles": middles.SQL,
 }
