@@ -27,6 +27,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,9 @@ class Pair:
 
         self.a_size, self.b_size = [np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
         self.a_space, self.b_space = [np.array([t.startswith(b" ") for t in side]) for side in (self.a_bytes, self.b_bytes)]
+        #: Ids as text, followed by what stands after an id inside a side, at its end, at a group's end, at a window's end.
+        self.written = [f"{i}{mark}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in (",", "|", ";", "")]
+        self.written_size = np.array(list(map(len, self.written)), np.int64)
         self.a_of: dict[str, bytes] = {}
         self.b_of: dict[str, bytes] = {}
         self.odd: set[str] = set()  # words whose tokens are not their bytes
@@ -129,10 +133,8 @@ class Pair:
             self.b_of = b_of = {w: b_of[w] for w in kept}
             self.odd &= need
         new = [w for w in need if w not in a_of]
-        for w, a, b in zip(new, self._a_ids(new), self.b.encode(new, num_threads=1)):
-            a_of[w], b_of[w] = np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
-            if not self._spells(a, b, w):
-                self.odd.add(w)
+        if new:
+            self._remember(new, self._a_ids(new), self.b.encode(new, num_threads=1))
         out = []
         for text, words in zip(texts, cut):
             a, b = b"".join(map(a_of.__getitem__, words)), b"".join(map(b_of.__getitem__, words))
@@ -141,6 +143,20 @@ class Pair:
             out.append((b"", b"") if bad else (a, b))
         return out
 
+    def _remember(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+        want = [(" " + w).encode() for w in words]
+        size, spelt = np.array(list(map(len, want)), np.int64), True
+        for known, ids, table, lengths in ((self.a_of, a, self.a_bytes, self.a_size), (self.b_of, b, self.b_bytes, self.b_size)):
+            n = np.concatenate(([0], np.cumsum(list(map(len, ids)))))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n[-1]))
+            raw, at = flat.astype("<u4").tobytes(), (4 * n).tolist()
+            known.update(zip(words, [raw[s:e] for s, e in zip(at, at[1:])]))
+            upto = np.concatenate(([0], np.cumsum(lengths[flat])))
+            # words of equal lengths in a row that spell the same bytes together are each spelt right
+            spelt = spelt and np.array_equal(np.diff(upto[n]), size) and b"".join(map(table.__getitem__, flat.tolist())) == b"".join(want)
+        if not spelt:
+            self.odd.update(w for w, x, y in zip(words, a, b) if not self._spells(x, y, w))
+
     def _spells(self, a: list[int], b: list[int], text: str) -> bool:
         want = (" " + text).encode()
         return b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
@@ -150,27 +166,61 @@ class Pair:
         self.a_of, self.b_of, self.odd = {}, {}, set()
 
 
-def align(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[str, int, list[int]]:
-    """A window's groups as text, their number, and its links (first id in the upper half of the number)."""
-    groups, links = [], []
-    i = j = left = right = 0
-    a_end, b_end = a_size[0], b_size[0]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if a_end < b_end:
-            i += 1
-            a_end += a_size[i]
-        elif b_end < a_end:
-            j += 1
-            b_end += b_size[j]
-        else:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[left:i])) + "|" + ",".join(map(str, b[right:j])))
-            if i == len(a):
-                return ";".join(groups), len(groups), links
-            left, right = i, j
-            a_end += a_size[i]
-            b_end += b_size[j]
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The different numbers in order; sorting beats hashing by far here."""
+    numbers = np.sort(numbers)
+    first = np.ones(len(numbers), bool)
+    first[1:] = numbers[1:] != numbers[:-1]
+    return numbers[first]
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``start[k] .. start[k] + size[k] - 1`` for each k in a row."""
+    first = np.cumsum(size) - size
+    return np.repeat(start - first, size) + np.arange(int(size.sum()))
+
+
+def align(pair: Pair, a: np.ndarray, b: np.ndarray, a_upto: np.ndarray, b_upto: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Aligns windows that lie in a row; ``a_upto`` and ``b_upto`` are the numbers of ids up to the end of each.
+
+    Returns each window's groups as text, how many groups and links it has,
+    and all links in order (first id in the upper half of the number).
+    """
+    a_end, b_end = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+    # between two neighbouring ends, of either side, lies one stretch of one token on each side: a link
+    ends = distinct(np.concatenate((a_end, b_end)))
+    i, j = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+    shared = (a_end[i] == ends) & (b_end[j] == ends)
+    close = ends[shared]
+    border = a_end[a_upto - 1]
+    links = np.diff(np.searchsorted(ends, border, side="right"), prepend=0)
+    groups = np.diff(np.searchsorted(close, border, side="right"), prepend=0)
+    # text: a group's ids of one side, then of the other; what follows an id says whether side, group or window ends there
+    group = np.concatenate((np.searchsorted(close, a_end), np.searchsorted(close, b_end)))
+    side = np.repeat([0, 1], [len(a), len(b)])
+    order = np.argsort(group * 2 + side, kind="stable")
+    group, side = group[order], side[order]
+    after = np.zeros(len(order), np.int64)
+    after[:-1] = np.where(group[1:] != group[:-1], 2, side[1:] != side[:-1])
+    after[np.searchsorted(group, np.cumsum(groups) - 1, side="right") - 1] = 3
+    code = np.concatenate((a, b)).astype(np.int64)[order] * 4 + after
+    text = "".join(map(pair.written.__getitem__, code.tolist()))
+    cut = np.cumsum(pair.written_size[code])[np.searchsorted(group, np.cumsum(groups) - 1, side="right") - 1].tolist()
+    return ([text[s:e] for s, e in zip([0, *cut], cut)], groups, links, a[i].astype(np.int64) << 32 | b[j])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes each as the largest needs, byte plane by byte plane (high planes compress)."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    return bytes([width]) + np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros(planes.shape[1], np.int64)
+    for k, plane in enumerate(planes):
+        out |= plane.astype(np.int64) << 8 * k
+    return out
 
 
 class Block:
@@ -180,36 +230,39 @@ class Block:
         self.pair = pair
         self.at: dict[bytes, int] = {}
         self.text: list[str] = []
-        self.groups: list[int] = []
-        self.start = [0]
-        self.links: list[int] = []  # places of pairs
+        self.groups = np.empty(0, np.int64)  # by window
+        self.start = np.zeros(1, np.int64)  # of each window's links
+        self.links = np.empty(0, np.int64)  # places of pairs
         self.pair_at: dict[int, int] = {}
-        self.docs = np.zeros(1024, np.int64)
+        self.docs = np.empty(0, np.int64)  # by place of pair
         self.size = self.ids = 0
 
     def full(self) -> bool:
         return self.size >= BLOCK_CHARACTERS or len(self.at) >= BLOCK_WINDOWS or self.ids >= BLOCK_IDS
 
-    def _learn(self, key: bytes, a: list[int], b: list[int]) -> int:
-        pair, place = self.pair, self.pair_at
-        text, n, links = align(a, b, [len(pair.a_bytes[x]) for x in a], [len(pair.b_bytes[x]) for x in b])
-        self.text.append(text)
-        self.groups.append(n)
-        self.links.extend([place.setdefault(x, len(place)) for x in links])
-        self.start.append(len(self.links))
-        self.ids += len(a) + len(b)
-        self.at[key] = len(self.at)
-        return len(self.text) - 1
+    def _learn(self, a: np.ndarray, b: np.ndarray, fresh: list[tuple[int, int, int, int]]) -> None:
+        """Aligns new windows, given as byte ranges of either side's ids."""
+        where = np.array(fresh, np.int64) // 4
+        a_size, b_size = where[:, 1] - where[:, 0], where[:, 3] - where[:, 2]
+        text, groups, links, codes = align(self.pair, a[spans(where[:, 0], a_size)], b[spans(where[:, 2], b_size)],
+                                           np.cumsum(a_size), np.cumsum(b_size))
+        self.text += text
+        self.groups = np.concatenate((self.groups, groups))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(links)))
+        place = self.pair_at
+        found, at = np.unique(codes, return_inverse=True)
+        self.links = np.concatenate((self.links, np.array([place.setdefault(x, len(place)) for x in found.tolist()])[at]))
+        self.ids += int(a_size.sum() + b_size.sum())
 
     def add(self, texts: list[str]) -> list[tuple]:
-        """(tokens of either side, groups, links, groups as text, numbers of the windows as 32-bit integers) of each text."""
+        """(tokens of either side, groups, links, groups as text, packed numbers of the windows) of each text."""
         pair = self.pair
         ids = pair.encode(texts)
         self.size += sum(map(len, texts))
         n_a, n_b = [np.array([len(x[s]) // 4 for x in ids], np.int64) for s in (0, 1)]
         a, b = [np.frombuffer(b"".join([x[s] for x in ids]), "<u4") for s in (0, 1)]
         if not len(a):
-            return [(0, 0, 0, 0, "", b"")] * len(texts)
+            return [(0, 0, 0, 0, "", packed(np.empty(0, np.int64)))] * len(texts)
         # ends of tokens, over all texts; a text has equally many bytes on both sides
         a_end, b_end = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
         meet = np.searchsorted(b_end, a_end)
@@ -219,43 +272,39 @@ class Block:
         anchor = np.append(pair.a_space[a[a_cut[:-1] + 1]] & pair.b_space[b[b_cut[:-1] + 1]], True)
         a_cut, b_cut = a_cut[anchor] + 1, b_cut[anchor] + 1
         a_raw, b_raw = a.astype("<u4").tobytes(), (b | _SIDE).astype("<u4").tobytes()
-        numbers, get = [], self.at.get
+        numbers, fresh, at = [], [], self.at
         s = u = 0
         for e, v in zip((4 * a_cut).tolist(), (4 * b_cut).tolist()):
             key = a_raw[s:e] + b_raw[u:v]
-            k = get(key)
+            k = at.get(key)
             if k is None:
-                k = self._learn(key, a[s // 4:e // 4].tolist(), b[u // 4:v // 4].tolist())
+                k = at[key] = len(at)
+                fresh.append((s, e, u, v))
             numbers.append(k)
             s, u = e, v
+        if fresh:
+            self._learn(a, b, fresh)
         window = np.array(numbers, np.int64)
         upto = np.concatenate(([0], np.searchsorted(a_cut, np.cumsum(n_a), side="right")))  # windows up to the end of each text
         self._count(window, np.repeat(np.arange(len(texts)), np.diff(upto)))
-        start = np.array(self.start)
-        groups = np.concatenate(([0], np.cumsum(np.array(self.groups)[window])))[upto]
-        links = np.concatenate(([0], np.cumsum((start[1:] - start[:-1])[window])))[upto]
-        raw, cut, text = window.astype("<u4").tobytes(), upto.tolist(), self.text.__getitem__
-        return [(x, y, g, k, ";".join(map(text, numbers[s:e])), raw[4 * s:4 * e])
+        groups = np.concatenate(([0], np.cumsum(self.groups[window])))[upto]
+        links = np.concatenate(([0], np.cumsum(np.diff(self.start)[window])))[upto]
+        cut, text = upto.tolist(), self.text.__getitem__
+        return [(x, y, g, k, ";".join(map(text, numbers[s:e])), packed(window[s:e]))
                 for x, y, g, k, s, e in zip(n_a.tolist(), n_b.tolist(), np.diff(groups).tolist(), np.diff(links).tolist(), cut, cut[1:])]
 
     def _count(self, window: np.ndarray, doc: np.ndarray) -> None:
         """Adds one to each pair for each text that holds it."""
-        held = np.unique(doc * len(self.text) + window)
+        held = distinct(doc * len(self.text) + window)
         doc, window = held // len(self.text), held % len(self.text)
-        start = np.array(self.start)
-        size = start[window + 1] - start[window]
-        first = np.cumsum(size) - size
-        at = np.repeat(start[window] - first, size) + np.arange(int(size.sum()))
+        size = self.start[window + 1] - self.start[window]
         pairs = len(self.pair_at)
-        pair = np.unique(np.repeat(doc, size) * pairs + np.array(self.links)[at]) % pairs
-        if pairs > len(self.docs):
-            self.docs = np.concatenate((self.docs, np.zeros(2 * pairs - len(self.docs), np.int64)))
-        self.docs[:pairs] += np.bincount(pair, minlength=pairs)
+        pair = distinct(np.repeat(doc, size) * pairs + self.links[spans(self.start[window], size)]) % pairs
+        self.docs = np.concatenate((self.docs, np.zeros(pairs - len(self.docs), np.int64))) + np.bincount(pair, minlength=pairs)
 
     def row(self) -> dict[str, bytes]:
         pairs = np.fromiter(self.pair_at, np.int64, len(self.pair_at))
-        return {"pairs": pairs.tobytes(), "held": self.docs[:len(pairs)].tobytes(),
-                "start": np.array(self.start, np.int32).tobytes(), "links": np.array(self.links, np.int32).tobytes()}
+        return {"pairs": pairs.tobytes(), "held": packed(self.docs), "sizes": packed(np.diff(self.start)), "links": packed(self.links)}
 
 
 _LOADED: dict[tuple[str, str], Pair] = {}
@@ -268,7 +317,7 @@ def _loaded(*paths: str) -> Pair:
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
-_BLOCK = ("pairs", "held", "start", "links")
+_BLOCK = ("pairs", "held", "sizes", "links")
 
 
 def _blocks(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
@@ -316,7 +365,7 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, pair, documents) of each distinct pair of a block."""
     for batch in batches:
         for block, pairs, held in zip(*[c.to_pylist() for c in batch.columns]):
-            pairs, held = np.frombuffer(pairs, np.int64), np.frombuffer(held, np.int64)
+            pairs, held = np.frombuffer(pairs, np.int64), unpacked(held)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), block)), pa.array(pairs), pa.array(held)],
                                              names=["block", "pair", "held"])
 
@@ -345,7 +394,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text"
     if groups is not None:
         first = first.withColumn("groups", F.when(F.col("groups") == "", F.lit("")).otherwise(groups(F.col("groups"))))
     folder = scratch_dir(docs.sparkSession, "alignment")
-    first.write.parquet(folder)
+    first.write.option("compression", "zstd").parquet(folder)
     stored = docs.sparkSession.read.schema(first.schema).parquet(folder)
 
     pairs = stored.filter(F.col("pairs").isNotNull()).select("block", "pairs", "held") \
@@ -360,15 +409,14 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text"
         if len(own):
             at = int(own[0])
             pairs = np.frombuffer(rows.column("pairs")[at].as_py(), np.int64)
-            start = np.frombuffer(rows.column("start")[at].as_py(), np.int32)
-            links = np.frombuffer(rows.column("links")[at].as_py(), np.int32)
+            start = np.concatenate(([0], np.cumsum(unpacked(rows.column("sizes")[at].as_py()))))
+            links = unpacked(rows.column("links")[at].as_py())
             asked = answer.column("pair").to_numpy()
             order = np.argsort(asked)
             place = order[np.searchsorted(asked, pairs, sorter=order)]
-            windows = kept.column("windows").to_pylist()
-            size = np.array([len(w) // 4 for w in windows], np.int64)
-            upto = np.concatenate(([0], np.cumsum(size)))
-            window = np.frombuffer(b"".join(windows), "<u4").astype(np.int64)
+            windows = [unpacked(w) for w in kept.column("windows").to_pylist()]
+            upto = np.concatenate(([0], np.cumsum(list(map(len, windows)))))
+            window = np.concatenate([np.empty(0, np.int64), *windows])
             for k, name in enumerate(("best", "count")):
                 value = answer.column(name).to_numpy().astype(np.int64)[place]
                 by_link = np.concatenate(([0], np.cumsum(value[links])))[start]
