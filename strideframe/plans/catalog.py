@@ -121,6 +121,18 @@ def q_training_csv(spark, d):
     return TB.read_training(spark, path)
 
 
+def q_training_csv_by_name(spark, d):
+    """S-1: other columns among the needed ones, in another order, with quotes and line breaks in a cell."""
+    from ..session import scratch_dir
+    from ..sources import tables as TB
+
+    path = scratch_dir(spark, "training-csv-by-name")
+    note = F.concat(F.lit('said "'), "goal", F.lit('",\nrow '), F.col("id").cast("string"))
+    FX.training(spark, d).select("goal", "id", "calories_burned", note.alias("note"), "intensity", "equipment", "user_id",
+                                 "workout_type", "duration_min").write.option("header", True).option("escape", '"').csv(path)
+    return TB.read_training(spark, path)
+
+
 def q_live_requests(spark, d):
     return ID.live_requests(FX.requests(spark, d), FX.issues(spark, d))
 
@@ -303,6 +315,7 @@ QUERIES: dict[str, QueryFn] = {
     "register_users_table": q_register_users_table,
     "training_frame": q_training_frame,
     "training_csv": q_training_csv,
+    "training_csv_by_name": q_training_csv_by_name,
     "live_requests": q_live_requests,
     "create_logs": q_create_logs,
     "create_logs_table": q_create_logs_table,

@@ -387,6 +387,8 @@ ORACLE["training_csv"] = with_views("training") + """
 SELECT workout_type, equipment, intensity, CAST(duration_min AS DOUBLE) AS duration_min, calories_burned, goal
 FROM training"""
 
+ORACLE["training_csv_by_name"] = ORACLE["training_csv"]
+
 ORACLE["live_requests"] = with_views("requests", "issues") + """
 SELECT r.request_id, r.user_id, r.ts,
        CASE WHEN r.user_id IS NULL THEN 'unauthorized'
