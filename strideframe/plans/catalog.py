@@ -19,6 +19,7 @@ from ..operators import identity as ID
 from ..operators import model as MO
 from ..operators import quality as QA
 from ..operators import records as RC
+from ..operators import tree as TR
 from ..operators.stats import user_weekly_stats
 from ..sources import fixtures as FX
 
@@ -295,6 +296,88 @@ def q_stream_changes(spark, d):
     return run_changes_once(spark, d)
 
 
+#: Depth of the exact trees that are checked; the twins spell out each level.
+TREE_DEPTH = 3
+
+
+def _nodes(tree, spark):
+    t = tree.table(spark)
+    return t.select("node", "feature", F.round("threshold", 6).alias("threshold"), "n", F.round("impurity", 6).alias("impurity"),
+                    "label", F.round("mean", 6).alias("mean"))
+
+
+def _owner_split(spark, d):
+    return FE.with_ordinal(FE.split(FX.training(spark, d), "user_id"))
+
+
+def _goal_tree(spark, d):
+    return TR.grow(_owner_split(spark, d).filter(F.col("part") == "train"), TREE_DEPTH)
+
+
+def q_exact_tree(spark, d):
+    """M-5: the nodes of the tree of the training part."""
+    return _nodes(_goal_tree(spark, d), spark)
+
+
+def q_exact_tree_scores(spark, d):
+    """M-5..M-7: each log with its part, goal and predicted goal."""
+    return _goal_tree(spark, d).transform(_owner_split(spark, d)).select("id", "user_id", "part", "goal", "predicted_goal")
+
+
+def q_exact_tree_accuracy(spark, d):
+    """A-1, M-6: held-out accuracy for a split by log and one by owner."""
+    parts = []
+    for key in ("id", "user_id"):
+        t = FE.with_ordinal(FE.split(FX.training(spark, d), key))
+        tree = TR.grow(t.filter(F.col("part") == "train"), TREE_DEPTH)
+        parts.append(TR.accuracy(tree.transform(t.filter(F.col("part") == "test"))).select(
+            F.lit(key).alias("split_key"), "n_test", "n_correct", F.round("accuracy", 6).alias("accuracy")))
+    return parts[0].unionByName(parts[1])
+
+
+def q_exact_score_requests(spark, d):
+    """M-7, S-6, S-7: the tree written as a table, read again and used for scoring."""
+    from ..session import scratch_dir
+
+    tree, path = _goal_tree(spark, d), scratch_dir(spark, "tree")
+    tree.table(spark).write.parquet(path)
+    again = TR.read_tree(spark.read.parquet(path), tree.kind, tree.numeric, tree.categorical)
+    return MO.score(FX.score_requests(spark, d), again).select("request_id", "accepted", "message", "predicted_goal", "result")
+
+
+def q_stream_exact_scores(spark, d):
+    """T-2: the request stream scored with the exact tree."""
+    from ..streaming.jobs import run_scores_once
+
+    return run_scores_once(spark, d, model=_goal_tree(spark, d))
+
+
+def _duration_tree(spark, d):
+    t = _owner_split(spark, d)
+    return t, TR.grow(t.filter(F.col("part") == "train"), TREE_DEPTH, TR.REGRESS, "duration_min",
+                      numeric=["calories_burned", "intensity_numeric"], out="predicted_minutes")
+
+
+def q_duration_tree(spark, d):
+    """R-3: the nodes of the regression of a workout's duration."""
+    return _nodes(_duration_tree(spark, d)[1], spark)
+
+
+def q_duration_errors(spark, d):
+    """R-3: its errors on both parts."""
+    t, tree = _duration_tree(spark, d)
+    got = TR.errors(tree.transform(t), "duration_min", "predicted_minutes", ["part"])
+    return got.select("part", "n", F.round("mse", 6).alias("mse"), F.round("mae", 6).alias("mae"))
+
+
+def q_profile_tree_scores(spark, d):
+    """R-4: the workout type predicted from the profile alone (goal, equipment)."""
+    t = _owner_split(spark, d)
+    tree = TR.grow(t.filter(F.col("part") == "train"), TREE_DEPTH, target="workout_type", numeric=[],
+                   categorical=["goal", "equipment"], out="predicted_type")
+    return tree.transform(t).select("id", "part", "workout_type", "predicted_type")
+
+
 QUERIES: dict[str, QueryFn] = {
     "user_lookup_by_id": q_user_lookup_by_id,
     "user_lookup_by_email": q_user_lookup_by_email,
@@ -341,6 +424,14 @@ QUERIES: dict[str, QueryFn] = {
     "score_requests": q_score_requests,
     "score_outcomes": q_score_outcomes,
     "reloaded_scores": q_reloaded_scores,
+    "exact_tree": q_exact_tree,
+    "exact_tree_scores": q_exact_tree_scores,
+    "exact_tree_accuracy": q_exact_tree_accuracy,
+    "exact_score_requests": q_exact_score_requests,
+    "stream_exact_scores": q_stream_exact_scores,
+    "duration_tree": q_duration_tree,
+    "duration_errors": q_duration_errors,
+    "profile_tree_scores": q_profile_tree_scores,
     "stream_intake": q_stream_intake,
     "stream_scores": q_stream_scores,
     "stream_score_outcomes": q_stream_score_outcomes,

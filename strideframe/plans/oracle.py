@@ -8,6 +8,8 @@ are CTEs defined once below.
 
 from __future__ import annotations
 
+from .tree_oracle import scored_ctes, tree_ctes
+
 NOW = "TIMESTAMP '2025-01-01 00:00:00'"
 
 # Fixture views, in dependency order.
@@ -549,3 +551,51 @@ SELECT request_id, {_ACCEPTED} AS accepted,
 FROM score_requests"""
 ORACLE["reloaded_scores"] = ORACLE["score_outcomes"]
 ORACLE["stream_score_outcomes"] = ORACLE["score_outcomes"]
+
+# Exact trees of the depth of the queries, written out level by level.
+_DEPTH = 3
+_NUM, _CAT = ["duration_min", "calories_burned", "intensity_numeric"], ["workout_type", "equipment"]
+_PART = "CASE WHEN {b} < 20 THEN 'test' ELSE 'train' END"
+
+
+def _features(key: str, y: str, name: str = "f", extra: str = "id, user_id, goal") -> str:
+    return f"""{name} AS (SELECT {extra}, CAST(duration_min AS DOUBLE) AS duration_min, calories_burned,
+      CAST({_ORD} AS DOUBLE) AS intensity_numeric, workout_type, equipment, {y} AS y,
+      {_PART.format(b=_BUCKET.format(k=key))} AS part FROM training),
+{name}train AS (SELECT * FROM {name} WHERE part = 'train')"""
+
+
+_NODE_COLUMNS = ("node, feature, round(threshold, 6) AS threshold, n, round(impurity, 6) AS impurity, label, round(mean, 6) AS mean")
+_GOAL_TREE = with_views("training") + ",\n" + _features("user_id", "goal") + ",\n" + tree_ctes("ftrain", "k", _DEPTH, _NUM, _CAT)
+ORACLE["exact_tree"] = _GOAL_TREE + f"\nSELECT {_NODE_COLUMNS} FROM knodes"
+ORACLE["exact_tree_scores"] = (_GOAL_TREE + ",\n" + scored_ctes("f", "k", _DEPTH, _NUM, _CAT, "id, user_id, part, goal")
+                               + "\nSELECT id, user_id, part, goal, label AS predicted_goal FROM kscored")
+ORACLE["exact_tree_accuracy"] = with_views("training") + ",\n" + ",\n".join(
+    ",\n".join([_features(key, "goal", p + "f"), tree_ctes(p + "ftrain", p, _DEPTH, _NUM, _CAT),
+                scored_ctes(p + "f", p, _DEPTH, _NUM, _CAT, "part, goal")]) for key, p in (("id", "i"), ("user_id", "u"))) + "\n" \
+    + " UNION ALL ".join(f"""SELECT '{key}' AS split_key, count(*) AS n_test, count(*) FILTER (WHERE coalesce(label = goal, false)) AS n_correct,
+       round(avg(CASE WHEN label = goal THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM {p}scored WHERE part = 'test' AND goal IS NOT NULL""" for key, p in (("id", "i"), ("user_id", "u")))
+ORACLE["exact_score_requests"] = with_views("training", "score_requests") + ",\n" + _features("user_id", "goal") + ",\n" \
+    + tree_ctes("ftrain", "k", _DEPTH, _NUM, _CAT) + f""",
+q AS (SELECT request_id, {_ACCEPTED} AS accepted, CAST(duration_min AS DOUBLE) AS duration_min, calories_burned,
+             CAST({_ORD} AS DOUBLE) AS intensity_numeric, workout_type, equipment FROM score_requests),
+""" + scored_ctes("q", "k", _DEPTH, _NUM, _CAT, "request_id, accepted") + """
+SELECT request_id, accepted,
+       CASE WHEN NOT accepted THEN 'Invalid selection for workout type, equipment, or intensity.' END AS message,
+       CASE WHEN accepted THEN label END AS predicted_goal,
+       CASE WHEN accepted THEN 'Input: ' || workout_type || ', ' || equipment || ' -> Predicted Goal: ' || label END AS result
+FROM kscored"""
+ORACLE["stream_exact_scores"] = ORACLE["exact_score_requests"]
+_RNUM = ["calories_burned", "intensity_numeric"]
+_MINUTES_TREE = with_views("training") + ",\n" + _features("user_id", "CAST(duration_min AS DOUBLE)") + ",\n" \
+    + tree_ctes("ftrain", "k", _DEPTH, _RNUM, _CAT, regress=True)
+ORACLE["duration_tree"] = _MINUTES_TREE + f"\nSELECT {_NODE_COLUMNS} FROM knodes"
+ORACLE["duration_errors"] = _MINUTES_TREE + ",\n" + scored_ctes("f", "k", _DEPTH, _RNUM, _CAT, "part, duration_min") + """
+SELECT part, count(*) AS n, round(avg((mean - duration_min) * (mean - duration_min)), 6) AS mse,
+       round(avg(abs(mean - duration_min)), 6) AS mae
+FROM kscored WHERE duration_min IS NOT NULL GROUP BY part"""
+ORACLE["profile_tree_scores"] = with_views("training") + ",\n" + _features("user_id", "workout_type") + ",\n" \
+    + tree_ctes("ftrain", "k", _DEPTH, [], ["goal", "equipment"]) + ",\n" \
+    + scored_ctes("f", "k", _DEPTH, [], ["goal", "equipment"], "id, part, workout_type") + """
+SELECT id, part, workout_type, label AS predicted_type FROM kscored"""

@@ -92,10 +92,11 @@ def stream_scores(requests: DataFrame, model, out_dir: str, checkpoint: str):
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def run_scores_once(spark: SparkSession, sf_dir: str, max_depth: int = MO.MAX_DEPTH) -> DataFrame:
-    """Train on the batch feature table, then run T-2 over the events file."""
-    t = FE.with_ordinal(FE.split(FX.training(spark, sf_dir), "user_id"))
-    model = MO.train(t.filter(F.col("part") == "train"), max_depth=max_depth)
+def run_scores_once(spark: SparkSession, sf_dir: str, max_depth: int = MO.MAX_DEPTH, model=None) -> DataFrame:
+    """Run T-2 over the events file with ``model``, or with one trained on the batch feature table."""
+    if model is None:
+        t = FE.with_ordinal(FE.split(FX.training(spark, sf_dir), "user_id"))
+        model = MO.train(t.filter(F.col("part") == "train"), max_depth=max_depth)
     base = scratch_dir(spark, "scores")
     reqs = FX.score_requests_from(FX.logs_from_events(events_stream(spark, sf_dir)), FX.users(spark, sf_dir))
     q = stream_scores(reqs, model, os.path.join(base, "out"), os.path.join(base, "ckpt"))
