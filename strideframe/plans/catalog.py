@@ -284,6 +284,28 @@ def q_stream_intake(spark, d):
     return run_intake_once(spark, d)
 
 
+def q_stream_intake_table(spark, d):
+    """T-1 into the log table: accepted rows become logs with new ids."""
+    from ..streaming.jobs import run_intake_to_table_once
+
+    return run_intake_to_table_once(spark, d)
+
+
+def q_cascade_tombstones(spark, d):
+    """D-5 on a changing table: one row per deleted user, folded on read."""
+    import os
+
+    from .. import schemas as S
+    from ..session import scratch_dir
+    from ..sources import changelog as CL
+    from ..sources import tables as TB
+
+    base = os.path.join(scratch_dir(spark, "tombstones"), "logs")
+    TB.write_snapshot(FX.logs(spark, d).select(*S.LOG_COLUMNS), base, 0, cluster_by=["user_id", "id"])
+    CL.delete_owners(spark, base, FX.users(spark, d).filter(~F.col("is_active")), "cascade", 0)
+    return TB.read_current(spark, base).select("id", "user_id")
+
+
 def q_stream_scores(spark, d):
     from ..streaming.jobs import run_scores_once
 
@@ -433,6 +455,8 @@ QUERIES: dict[str, QueryFn] = {
     "duration_errors": q_duration_errors,
     "profile_tree_scores": q_profile_tree_scores,
     "stream_intake": q_stream_intake,
+    "stream_intake_table": q_stream_intake_table,
+    "cascade_tombstones": q_cascade_tombstones,
     "stream_scores": q_stream_scores,
     "stream_score_outcomes": q_stream_score_outcomes,
     "stream_changes": q_stream_changes,

@@ -543,6 +543,10 @@ SELECT id, email, is_active, age, goal, equipment, created_at, updated_at FROM u
 ORACLE["select_features"] = with_views("training") + """
 SELECT workout_type, equipment, intensity, duration_min, calories_burned, goal FROM training"""
 
+# One file is one micro-batch: ids are those of a batch of creates.
+ORACLE["stream_intake_table"] = ORACLE["create_logs_table"]
+ORACLE["cascade_tombstones"] = ORACLE["cascade_delete"]
+
 # What is determined of scoring whatever the tree predicts.
 ORACLE["score_outcomes"] = with_views("score_requests") + f"""
 SELECT request_id, {_ACCEPTED} AS accepted,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..operators.sizing import split_join
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
@@ -151,8 +152,8 @@ def ensure_table(spark: SparkSession, path: str, schema) -> bool:
     return True
 
 
-def write_snapshot(df: DataFrame, base: str, version: int,
-                   partition_by: str | None = None, cluster_by: list[str] | None = None) -> str:
+def write_snapshot(df: DataFrame, base: str, version: int, partition_by: str | None = None,
+                   cluster_by: list[str] | None = None, mark: str = "") -> str:
     """S-5: write ``df`` as version ``version`` under ``base`` and return its path.
 
     The write goes to a fresh folder (``errorifexists``): a failed job leaves
@@ -160,9 +161,10 @@ def write_snapshot(df: DataFrame, base: str, version: int,
     being written.  ``cluster_by`` range-partitions and sorts the rows (for
     logs: ``user_id, id``), so each file covers a narrow key range and Parquet
     min/max statistics let owner-scoped reads skip files and row groups; the
-    composite key cuts one very active owner over several files.
+    composite key cuts one very active owner over several files.  ``mark``
+    ends the folder's name, so that an attempt never meets the rest of another.
     """
-    path = os.path.join(base, f"v={int(version):06d}")
+    path = os.path.join(base, f"v={int(version):06d}" + (f",{mark}" if mark else ""))
     out = df
     if cluster_by:
         out = out.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
@@ -193,61 +195,25 @@ def latest_snapshot(spark: SparkSession, base: str) -> str | None:
     return found[-1][1] if found else None
 
 
-# A table that changes is its newest snapshot plus the change folders written
-# after it: ``_changes/c=<number>,<writer>,<batch>``.  A change folder holds
-# the new state of every row it touched (``deleted`` rows without one).
-
 def changes_of(spark: SparkSession, base: str) -> list[tuple[int, str]]:
-    """(number, path) of the complete change folders, oldest first."""
-    return _numbered(spark, os.path.join(base, "_changes"), "c=")
-
-
-def next_change(spark: SparkSession, base: str, writer: str, batch_id: int) -> tuple[int, bool]:
-    """(number, whether it is complete) of the change that ``writer`` makes with its batch ``batch_id``.
-
-    A batch that was committed before keeps its number, so a replay is seen;
-    any other batch, also of another writer or a new checkpoint, comes after
-    all that is there.  One writer at a time changes a table.
-    """
-    done = changes_of(spark, base)
-    for n, path in done:
-        if path.endswith(f",{writer},{int(batch_id)}"):
-            return n, True
-    snapshot = _numbered(spark, base, "v=")
-    return 1 + max([0, *(n for n, _ in done), *(n for n, _ in snapshot)]), False
-
+    """(number, path) of all committed changes of a changing table, oldest first (see ``changelog``)."""
+    from . import changelog
 
-def change_path(base: str, number: int, writer: str, batch_id: int) -> str:
-    return os.path.join(base, "_changes", f"c={number:06d},{writer},{int(batch_id)}")
+    return [(c["number"], os.path.join(base, c["path"])) for c in changelog.commits_of(spark, base) if c["kind"] == "change"]
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    """The log table as of the last change: the newest snapshot, its rows replaced by later changes.
+    """The log table as of its last commit."""
+    from . import changelog
 
-    The changes are folded to the last one per id (partial aggregation); only
-    their ids meet the snapshot.
-    """
-    snapshot = latest_snapshot(spark, base)
-    logs = read_logs(spark, snapshot)
-    at = int(re.search(r"v=(\d+)$", snapshot)[1])
-    later = [(n, path) for n, path in changes_of(spark, base) if n > at]
-    if not later:
-        return logs
-    names = [f.name for f in S.LOGS.fields]
-    schema = S.LOG_CHANGES
-    rows = spark.read.schema(schema).parquet(*[path for _, path in later])
-    last = rows.groupBy("id").agg(F.max_by(F.struct(*[f.name for f in schema.fields if f.name != "id"]), "change").alias("r"))
-    kept = logs.join(last.select("id"), "id", "left_anti").select(*names)
-    return kept.unionByName(last.filter(~F.col("r.deleted")).select("id", *[F.col(f"r.{c}").alias(c) for c in names if c != "id"]))
+    return changelog.read(spark, base)
 
 
 def compact(spark: SparkSession, base: str, cluster_by: list[str] | None = None) -> str:
-    """Writes the present table as a new snapshot, numbered as the last change, and returns its path."""
-    snapshot, done = latest_snapshot(spark, base), changes_of(spark, base)
-    at = int(re.search(r"v=(\d+)$", snapshot)[1])
-    if not done or done[-1][0] <= at:
-        return snapshot
-    return write_snapshot(read_current(spark, base), base, done[-1][0], cluster_by=cluster_by)
+    """Writes the present table as a new snapshot, numbered as the last commit, and returns its path."""
+    from . import changelog
+
+    return changelog.compact(spark, base, cluster_by)
 
 
 def save_model(model, path: str) -> None:
