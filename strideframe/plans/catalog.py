@@ -20,7 +20,7 @@ from ..operators import model as MO
 from ..operators import quality as QA
 from ..operators import records as RC
 from ..operators import tree as TR
-from ..operators.stats import user_weekly_stats
+from ..operators.stats import user_progress, user_streaks, user_weekly_stats
 from ..sources import fixtures as FX
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -234,6 +234,14 @@ def q_user_weekly_stats(spark, d):
     return user_weekly_stats(FX.logs(spark, d))
 
 
+def q_user_progress(spark, d):
+    return user_progress(FX.logs(spark, d))
+
+
+def q_user_streaks(spark, d):
+    return user_streaks(FX.logs(spark, d))
+
+
 def q_tree_scores(spark, d):
     return MO.tree_scores(FX.training(spark, d)).select("id", "user_id", "part", "goal", "predicted_goal")
 
@@ -441,6 +449,8 @@ QUERIES: dict[str, QueryFn] = {
     "one_hot": q_one_hot,
     "best_split": q_best_split,
     "user_weekly_stats": q_user_weekly_stats,
+    "user_progress": q_user_progress,
+    "user_streaks": q_user_streaks,
     "tree_scores": q_tree_scores,
     "model_accuracy": q_model_accuracy,
     "score_requests": q_score_requests,

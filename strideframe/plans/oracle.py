@@ -524,6 +524,25 @@ SELECT user_id, week, n_logs, total_minutes, round(avg_calories, 6) AS avg_calor
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_minutes
 FROM w"""
 
+_WEEKS = with_views("logs") + """,
+w AS (SELECT user_id, CAST(date_trunc('week', workout_date) AS DATE) AS week, count(*) AS n_logs,
+             CAST(coalesce(sum(duration_min), 0) AS BIGINT) AS total_minutes
+      FROM logs WHERE user_id IS NOT NULL AND workout_date IS NOT NULL GROUP BY ALL),
+p AS (SELECT *, lag(week) OVER u AS prev_week, lag(total_minutes) OVER u AS prev_minutes,
+             CAST(sum(total_minutes) OVER u AS BIGINT) AS cum_minutes FROM w WINDOW u AS (PARTITION BY user_id ORDER BY week)),
+g AS (SELECT *, sum(CASE WHEN week = prev_week + 7 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY week) AS streak FROM p)"""
+ORACLE["user_progress"] = _WEEKS + """
+SELECT user_id, week, n_logs, total_minutes, cum_minutes,
+       row_number() OVER (PARTITION BY user_id, streak ORDER BY week) AS streak_week,
+       CAST((week - prev_week) // 7 - 1 AS BIGINT) AS pause_weeks, total_minutes - prev_minutes AS minutes_change
+FROM g"""
+ORACLE["user_streaks"] = _WEEKS + """,
+s AS (SELECT user_id, streak, count(*) AS weeks, min(week) AS first_week, max((week - prev_week) // 7 - 1) AS pause
+      FROM g GROUP BY user_id, streak)
+SELECT user_id, CAST(sum(weeks) AS BIGINT) AS n_weeks, count(*) AS n_streaks, max(weeks) AS longest_streak,
+       first(first_week ORDER BY weeks DESC, first_week) AS longest_from, CAST(coalesce(max(pause), 0) AS BIGINT) AS longest_pause
+FROM s GROUP BY user_id"""
+
 ORACLE["stream_intake"] = with_views("users", "logs", "new_logs") + f""",
 nl AS (SELECT n.*, {_auth('n', 'u')} AS auth, {_log_errors()} AS errs
        FROM new_logs n LEFT JOIN users u ON u.id = n.user_id)
