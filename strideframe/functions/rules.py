@@ -43,6 +43,16 @@ def log_rules(date_col: str = "workout_date") -> list[tuple[str, Column]]:
     ]
 
 
+def run_rules() -> list[tuple[str, Column]]:
+    """Rules of a run create request (R-2; ``run_date`` arrives as text)."""
+    return [
+        ("date_parse", F.try_to_date(F.col("run_date").cast("string"), "yyyy-MM-dd").isNotNull()),
+        ("distance_positive", (F.col("distance_km") > 0) & ~F.isnan("distance_km")),
+        ("duration_positive", F.col("duration_min") > 0),
+        ("heart_rate_positive", F.col("heart_rate").isNull() | (F.col("heart_rate") > 0)),
+    ]
+
+
 def errors_of(rules: list[tuple[str, Column]]) -> Column:
     """Array of the names of the broken rules (empty when the row is valid)."""
     return F.array_compact(F.array(*[

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import rules as R
 from ..session import checkpoint
-from .records import LOG_VIEW_COLUMNS, ChangeResult, log_view, principal_outcome
+from . import entity as EN
+from .records import ChangeResult, principal_outcome
 from .sizing import maybe_broadcast, split_join
 
 NUMBER_TYPE = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
@@ -50,7 +51,31 @@ def _kind(v: Column, field: str) -> Column:
             .otherwise(F.lit("other")))
 
 
-def parse_patch(df: DataFrame, body: str = "body", variant: str | None = None) -> DataFrame:
+def _whole(kind: Column, number: Column, text: Column) -> Column:
+    """Whether a value is a whole number, or its text."""
+    return F.coalesce((((kind == "number") & (number == F.floor(number))) | ((kind == "string") & text.rlike(INT_TEXT)))
+                      & (F.abs(number) <= INT_MAX), F.lit(False))
+
+
+def _number(kind: Column, text: Column) -> Column:
+    """Whether a value is a number, or its text."""
+    return F.coalesce((kind == "number") | ((kind == "string") & text.rlike(NUMBER_TEXT)), F.lit(False))
+
+
+def _typed(v: Column, kind: Column, field: EN.Field) -> tuple[Column, Column]:
+    """(whether the field has a value of its kind, that value or null)."""
+    number, text = F.try_variant_get(v, f"$.{field.name}", "double"), F.try_variant_get(v, f"$.{field.name}", "string")
+    if field.kind == EN.WHOLE:
+        ok = _whole(kind, number, text)
+        return ok, F.when(ok, number.cast("int"))
+    if field.kind == EN.NUMBER:
+        ok = _number(kind, text)
+        return ok, F.when(ok, number)
+    ok = F.coalesce(kind == "string", F.lit(False))
+    return ok, F.when(ok, text)
+
+
+def parse_patch(df: DataFrame, body: str = "body", variant: str | None = None, entity: EN.Entity = EN.LOG) -> DataFrame:
     """Parse a patch body into presence, kind and typed value per field.
 
     Columns added: ``body_ok`` (a JSON object), and per patchable field
@@ -63,93 +88,72 @@ def parse_patch(df: DataFrame, body: str = "body", variant: str | None = None) -
     out = out.withColumn("body_ok", F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"),
                                               F.lit(False)))
     vv = F.col("_v")
-    cols = {}
-    for f in S.PATCHABLE_FIELDS + ["equipment_used"]:
-        kind = _kind(vv, f)
-        cols[f"k_{f}"] = kind
-    out = out.withColumns(cols)
+    fields = [*entity.patchable, *[EN.Field(c, EN.TEXT) for c in entity.checked]]
+    out = out.withColumns({f"k_{f.name}": _kind(vv, f.name) for f in fields})
     more = {}
-    for f in S.PATCHABLE_FIELDS + ["equipment_used"]:
-        k = F.col(f"k_{f}")
-        more[f"p_{f}"] = k.isNotNull()
-        more[f"n_{f}"] = F.coalesce(k == "null", F.lit(False))
-        if f == "duration_min":
-            num = F.try_variant_get(vv, f"$.{f}", "double")
-            text = F.try_variant_get(vv, f"$.{f}", "string")
-            ok_num = (k == "number") & (num == F.floor(num)) & (F.abs(num) <= INT_MAX)
-            ok_text = (k == "string") & text.rlike(INT_TEXT) & (F.abs(num) <= INT_MAX)
-            more[f"t_{f}"] = F.coalesce(k.isNull() | (k == "null") | ok_num | ok_text, F.lit(False))
-            more[f"v_{f}"] = F.when(ok_num | ok_text, num.cast("int"))
-        else:
-            more[f"t_{f}"] = F.coalesce(k.isNull() | k.isin("null", "string"), F.lit(False))
-            more[f"v_{f}"] = F.when(k == "string", F.try_variant_get(vv, f"$.{f}", "string"))
+    for f in fields:
+        k = F.col(f"k_{f.name}")
+        ok, value = _typed(vv, k, f)
+        more[f"p_{f.name}"] = k.isNotNull()
+        more[f"n_{f.name}"] = F.coalesce(k == "null", F.lit(False))
+        more[f"t_{f.name}"] = F.coalesce(k.isNull() | (k == "null") | ok, F.lit(False))
+        more[f"v_{f.name}"] = value
     out = out.withColumns(more)
-    return out.drop("_v", *[f"k_{f}" for f in S.PATCHABLE_FIELDS + ["equipment_used"]])
+    return out.drop("_v", *[f"k_{f.name}" for f in fields])
 
 
-def _patch_invalid() -> Column:
-    """Body validation (the reference's 422): shape, types, duration > 0."""
-    types_ok = F.col("body_ok")
-    for f in S.PATCHABLE_FIELDS + ["equipment_used"]:
-        types_ok = types_ok & F.col(f"t_{f}")
-    dur_ok = ~F.col("p_duration_min") | F.col("n_duration_min") | (F.col("v_duration_min") > 0)
-    return ~(types_ok & F.coalesce(dur_ok, F.lit(False)))
+def _patch_invalid(entity: EN.Entity) -> Column:
+    """Body validation (the reference's 422): shape, types, numbers above 0."""
+    fine = F.col("body_ok")
+    for f in [*[f.name for f in entity.patchable], *entity.checked]:
+        fine = fine & F.col(f"t_{f}")
+    for f in entity.patchable:
+        if f.positive:
+            fine = fine & F.coalesce(~F.col(f"p_{f.name}") | F.col(f"n_{f.name}") | (F.col(f"v_{f.name}") > 0), F.lit(False))
+    return ~fine
 
 
-def _patch_constraint() -> Column:
+def _patch_constraint(entity: EN.Entity) -> Column:
     """Table constraints (the reference's failed flush): NOT NULL, length."""
-    any_null = F.lit(False)
-    for f in S.PATCHABLE_FIELDS:
-        any_null = any_null | F.col(f"n_{f}")
-    too_long = F.lit(False)
-    for f in ("intensity", "workout_type"):
-        too_long = too_long | F.coalesce(F.length(f"v_{f}") > S.LOG_TEXT_MAX_LEN, F.lit(False))
+    any_null, too_long = F.lit(False), F.lit(False)
+    for f in entity.patchable:
+        if f.required:
+            any_null = any_null | F.col(f"n_{f.name}")
+        if f.max_len is not None:
+            too_long = too_long | F.coalesce(F.length(f"v_{f.name}") > f.max_len, F.lit(False))
     return (F.when(any_null, F.lit(S.REJECTED_NOT_NULL))
             .when(too_long, F.lit(S.REJECTED_TOO_LONG)))
 
 
-def parse_create(df: DataFrame, body: str = "body", variant: str | None = None) -> DataFrame:
-    """Typed log fields of a create request's JSON body, and ``create_ok``.
+def parse_create(df: DataFrame, body: str = "body", variant: str | None = None, entity: EN.Entity = EN.LOG) -> DataFrame:
+    """Typed fields of a create request's JSON body, and ``create_ok``.
 
     ``create_ok`` is false if the body is no object or a field has a kind its
-    column does not take: text for date, intensity and type; a whole number
-    (or its text) for the duration; a number (or its text) or null for the
-    calories.
+    column does not take: text for dates and texts; a whole number (or its
+    text), or a number (or its text); null or nothing only where the field is
+    not required.
     """
     v = F.col(variant) if variant else F.try_parse_json(F.col(body))
+    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    values = {}
+    for f in entity.fields:
+        kind = _kind(v, f.name)
+        good, values[f.name] = _typed(v, kind, f)
+        ok = ok & (good if f.required else F.coalesce(kind.isNull() | (kind == "null") | good, F.lit(False)))
+    return df.withColumns({"create_ok": ok, **values})
 
-    def kind(f):
-        return _kind(v, f)
-
-    def text(f):
-        return F.try_variant_get(v, f"$.{f}", "string")
 
-    def number(f):
-        return F.try_variant_get(v, f"$.{f}", "double")
-
-    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    for f in ("workout_date", "intensity", "workout_type"):
-        ok = ok & F.coalesce(kind(f) == "string", F.lit(False))
-    whole = F.coalesce(((kind("duration_min") == "number") & (number("duration_min") == F.floor(number("duration_min"))))
-                       | ((kind("duration_min") == "string") & text("duration_min").rlike(INT_TEXT)), F.lit(False)) \
-        & F.coalesce(F.abs(number("duration_min")) <= INT_MAX, F.lit(False))
-    burned = kind("calories_burned")
-    ok = ok & whole & F.coalesce(burned.isNull() | (burned == "null") | (burned == "number")
-                                 | ((burned == "string") & text("calories_burned").rlike(NUMBER_TEXT)), F.lit(False))
-    return df.withColumns({
-        "create_ok": ok,
-        "workout_date": F.when(kind("workout_date") == "string", text("workout_date")),
-        "duration_min": F.when(whole, number("duration_min").cast("int")),
-        "intensity": F.when(kind("intensity") == "string", text("intensity")),
-        "workout_type": F.when(kind("workout_type") == "string", text("workout_type")),
-        "calories_burned": F.when(burned.isin("number", "string"), number("calories_burned")),
-    })
+def _parsed(requests: DataFrame, entity: EN.Entity) -> DataFrame:
+    """Requests with the fields of creates and of patches, each body (``_v``) parsed once."""
+    return parse_patch(parse_create(requests, variant="_v", entity=entity), variant="_v", entity=entity)
 
 
 def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
-                  users: DataFrame | None = None, materialize: bool = False) -> ChangeResult:
+                  users: DataFrame | None = None, materialize: bool = False, entity: EN.Entity = EN.LOG) -> ChangeResult:
     """D-7: apply an ordered list of creates, patches and deletes in one pass.
 
+    ``entity`` says which table ``logs`` is; everything below follows from it.
+
     ``changes``: ``seq, op, id, user_id, body``.  A create carries its own id;
     an id already stored, or taken by an earlier accepted create, is a
     ``conflict`` (ids are never reused).  Every request has an outcome: an
@@ -180,7 +184,7 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     parsed = src.select("seq", "op", "id", "user_id", "body",
                         F.try_parse_json(F.col("body")).alias("_v"))
     parsed = parsed.withColumn("_v", F.when(op.isin("create", "patch"), F.col("_v")))
-    requests = checkpoint(parse_patch(parse_create(parsed, variant="_v"), variant="_v"))
+    requests = checkpoint(_parsed(parsed, entity))
     n = requests.count()
     # the ids the batch touches come straight from the requests
     ids_side = maybe_broadcast(requests.select("id").distinct(), n)
@@ -189,28 +193,28 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     else:
         ch = requests.withColumn("auth", F.lit(None).cast("string"))
 
-    stored = log_view(logs)
+    patchable = [f.name for f in entity.patchable]
+    stored = logs.select(*entity.columns)
     hit_stored = stored.join(ids_side, "id", "left_semi")
     untouched = stored.join(ids_side, "id", "left_anti")
 
     # ---- creates ------------------------------------------------------
     # A create names its log: a missing id is a broken rule like any other.
     cr = R.validate(ch.filter(F.col("op") == "create"),
-                    R.log_rules() + [("id_present", F.col("id").isNotNull()), ("body_types", F.col("create_ok"))])
+                    entity.rules() + [("id_present", F.col("id").isNotNull()), ("body_types", F.col("create_ok"))])
     cr_ok = cr.filter(F.col("auth").isNull() & (F.size("errors") == 0))
     # the first create of an id, before anything is joined by it: one row per id
     winners = cr_ok.groupBy("id").agg(
         F.min("seq").alias("born"),
         F.min_by(F.struct(
             F.col("user_id").alias("owner"),
-            F.try_to_date(F.col("workout_date"), "yyyy-MM-dd").alias("workout_date"),
-            "duration_min", "intensity", "workout_type", "calories_burned"), F.col("seq")).alias("w"),
+            *[F.try_to_date(F.col(f.name), "yyyy-MM-dd").alias(f.name) if f.kind == EN.DATE else F.col(f.name)
+              for f in entity.fields]), F.col("seq")).alias("w"),
     ).join(hit_stored.select("id"), "id", "left_anti")
     born = winners.select(
-        "id", F.col("w.owner").alias("user_id"), "w.workout_date", "w.duration_min",
-        "w.intensity", "w.workout_type", "w.calories_burned",
+        "id", F.col("w.owner").alias("user_id"), *[f"w.{f.name}" for f in entity.fields],
         now.alias("created_at"), now.alias("updated_at"), "born")
-    entity = hit_stored.withColumn("born", F.lit(None).cast("long")).unionByName(born)
+    rows = hit_stored.withColumn("born", F.lit(None).cast("long")).unionByName(born)
 
     create_out = split_join(cr, winners.select("id", "born"), ["id"], "left").select(
         "seq", "op", "id", "user_id",
@@ -221,12 +225,12 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
 
     # ---- patches and deletes against the touched logs ---------------------
     pd_ = ch.filter(F.col("op").isin("patch", "delete"))
-    base = entity.select(
+    base = rows.select(
         "id", F.col("user_id").alias("owner"), "born",
-        *[F.col(f).alias(f"b_{f}") for f in S.PATCHABLE_FIELDS])
+        *[F.col(f).alias(f"b_{f}") for f in patchable])
     j = split_join(pd_, base, ["id"], "left")
     is_patch = F.col("op") == "patch"
-    invalid = is_patch & _patch_invalid()
+    invalid = is_patch & _patch_invalid(entity)
     hit = (F.col("auth").isNull() & ~F.coalesce(invalid, F.lit(False))
            & (F.col("owner") == F.col("user_id"))
            & (F.col("born").isNull() | (F.col("seq") > F.col("born"))))
@@ -235,7 +239,7 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
             .groupBy("id").agg(F.min("seq").alias("dead")))
     j = split_join(j, dead, ["id"], "left")
     alive = F.col("_hit") & (F.col("dead").isNull() | (F.col("seq") <= F.col("dead")))
-    constraint = _patch_constraint()
+    constraint = _patch_constraint(entity)
     outcome = (F.when(F.col("auth").isNotNull(), F.col("auth"))
                .when(F.col("_invalid"), F.lit(S.INVALID))
                .when(~alive, F.lit(S.NOT_FOUND))
@@ -252,23 +256,22 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     accepted = j.filter(is_patch & (F.col("outcome") == S.OK))
     folds = []
     changed = []
-    for f in S.PATCHABLE_FIELDS:
+    for f in patchable:
         sent = F.col(f"p_{f}")
-        folds.append(F.max_by(F.when(sent, F.col(f"v_{f}")), F.when(sent, F.col("seq"))).alias(f"n_{f}"))
+        # in a struct: a null that was sent is a value
+        folds.append(F.max_by(F.when(sent, F.struct(F.col(f"v_{f}").alias("v"))), F.when(sent, F.col("seq"))).alias(f"n_{f}"))
         changed.append(F.max(sent & ~F.col(f"v_{f}").eqNullSafe(F.col(f"b_{f}"))).alias(f"c_{f}"))
     fold = accepted.groupBy("id").agg(*folds, *changed)
     touched = dead.join(fold, "id", "full")
 
-    rewritten = entity.join(touched, "id", "left").filter(F.col("dead").isNull())
+    rewritten = rows.join(touched, "id", "left").filter(F.col("dead").isNull())
     any_changed = F.lit(False)
-    for f in S.PATCHABLE_FIELDS:
+    for f in patchable:
         any_changed = any_changed | F.coalesce(F.col(f"c_{f}"), F.lit(False))
     rewritten = rewritten.select(
-        "id", "user_id", "workout_date",
-        *[F.coalesce(F.col(f"n_{f}"), F.col(f)).alias(f) for f in S.PATCHABLE_FIELDS],
-        "calories_burned", "created_at",
-        F.when(any_changed, now).otherwise(F.col("updated_at")).alias("updated_at"),
-    ).select(*LOG_VIEW_COLUMNS)
+        *[F.when(F.col(f"n_{c}").isNotNull(), F.col(f"n_{c}.v")).otherwise(F.col(c)).alias(c) if c in patchable else F.col(c)
+          for c in entity.columns if c != "updated_at"],
+        F.when(any_changed, now).otherwise(F.col("updated_at")).alias("updated_at"))
 
     # a request that asks for nothing known is answered too
     known = F.coalesce(F.col("op").isin("create", "patch", "delete"), F.lit(False))
@@ -277,7 +280,7 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
 
     table = untouched.unionByName(rewritten)
     outcomes = create_out.unionByName(pd_out).unionByName(other_out)
-    gone = dead.join(entity.select("id"), "id", "left_semi").select("id")
+    gone = dead.join(rows.select("id"), "id", "left_semi").select("id")
     return ChangeResult(table, outcomes, rewritten, gone)
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import display_label, md5_bucket, ordinal, result_line
+from ..functions import rules as R
 from ..operators import changes as CH
+from ..operators import entity as EN
 from ..operators import features as FE
 from ..operators import identity as ID
 from ..operators import model as MO
@@ -234,6 +236,25 @@ def q_user_weekly_stats(spark, d):
     return user_weekly_stats(FX.logs(spark, d))
 
 
+def q_validate_runs(spark, d):
+    """R-2: rules of a run's create request."""
+    return R.validate(FX.new_runs(spark, d), EN.RUN.rules()).select(
+        "seq", (F.size("errors") == 0).alias("valid"), F.concat_ws(",", "errors").alias("errors"))
+
+
+def _run_changes(spark, d):
+    return CH.apply_changes(FX.run_changes(spark, d), FX.runs(spark, d), _now(), FX.users(spark, d), entity=EN.RUN)
+
+
+def q_run_changes(spark, d):
+    """R-2: the change engine on runs, one outcome per request."""
+    return _run_changes(spark, d).outcomes
+
+
+def q_run_changes_table(spark, d):
+    return _run_changes(spark, d).table
+
+
 def q_user_progress(spark, d):
     return user_progress(FX.logs(spark, d))
 
@@ -449,6 +470,9 @@ QUERIES: dict[str, QueryFn] = {
     "one_hot": q_one_hot,
     "best_split": q_best_split,
     "user_weekly_stats": q_user_weekly_stats,
+    "validate_runs": q_validate_runs,
+    "run_changes": q_run_changes,
+    "run_changes_table": q_run_changes_table,
     "user_progress": q_user_progress,
     "user_streaks": q_user_streaks,
     "tree_scores": q_tree_scores,

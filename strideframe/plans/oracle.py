@@ -622,3 +622,60 @@ ORACLE["profile_tree_scores"] = with_views("training") + ",\n" + _features("user
     + tree_ctes("ftrain", "k", _DEPTH, [], ["goal", "equipment"]) + ",\n" \
     + scored_ctes("f", "k", _DEPTH, [], ["goal", "equipment"], "id, part, workout_type") + """
 SELECT id, part, workout_type, label AS predicted_type FROM kscored"""
+
+# R-2: runs.  The change list is stated with typed values: what is sent (s_*), its
+# value (v_*), and whether the body breaks a rule.
+_RUNS = with_views("users", "logs") + """,
+runs AS (SELECT id, user_id, workout_date AS run_date, calories_burned / 64 AS distance_km, duration_min,
+                CASE WHEN id % 7 <> 0 THEN CAST(90 + id % 80 AS INTEGER) END AS heart_rate, created_at, updated_at
+         FROM logs WHERE workout_type = 'running')"""
+ORACLE["validate_runs"] = _RUNS + """,
+n AS (SELECT id AS seq, id % 13 = 5 OR run_date IS NULL AS d, NOT coalesce(CASE WHEN id % 19 = 4 THEN 0 ELSE distance_km END > 0, false) AS k,
+             NOT coalesce(duration_min > 0, false) AS m, CASE WHEN id % 23 = 6 THEN true ELSE coalesce(heart_rate <= 0, false) END AS h FROM runs),
+e AS (SELECT seq, concat_ws(',', CASE WHEN d THEN 'date_parse' END, CASE WHEN k THEN 'distance_positive' END,
+                            CASE WHEN m THEN 'duration_positive' END, CASE WHEN h THEN 'heart_rate_positive' END) AS errors FROM n)
+SELECT seq, errors = '' AS valid, errors FROM e"""
+_RUN_CHANGES = _RUNS + f""",
+q AS (
+  SELECT id * 8 AS seq, 'patch' AS op, id, user_id, NOT coalesce(duration_min + 5 > 0, false) AS bad, true AS s_km, CAST(7.5 AS DOUBLE) AS v_km,
+         true AS s_min, duration_min + 5 AS v_min, false AS s_hr, CAST(NULL AS INTEGER) AS v_hr, CAST(NULL AS DATE) AS run_date FROM runs
+  UNION ALL SELECT id * 8 + 1, 'delete', id, CASE WHEN id % 45 = 0 THEN user_id + 1 ELSE user_id END, false,
+         false, NULL, false, NULL, false, NULL, NULL FROM runs WHERE id % 15 = 0
+  UNION ALL SELECT id * 8 + 2, 'patch', id, user_id, id % 25 <> 0 AND id % 10 IN (2, 3), id % 25 = 0, NULL, false, NULL,
+         id % 25 <> 0, CASE WHEN id % 10 <> 1 THEN 120 END, NULL FROM runs
+  UNION ALL SELECT id * 8 + 3, 'create', -id, user_id, NOT coalesce(distance_km > 0 AND duration_min + 1 > 0 AND run_date IS NOT NULL, false),
+         true, distance_km, true, duration_min + 1, true, heart_rate, run_date FROM runs WHERE id % 20 = 0
+  UNION ALL SELECT id * 8 + 3, 'create', -id, user_id, true, true, 1, true, 1, false, NULL, NULL FROM runs WHERE id % 20 = 5
+  UNION ALL SELECT id * 8 + 4, 'create', id, user_id, NOT coalesce(distance_km > 0 AND duration_min + 1 > 0 AND run_date IS NOT NULL, false),
+         true, distance_km, true, duration_min + 1, true, heart_rate, run_date FROM runs WHERE id % 60 = 0
+  UNION ALL SELECT id * 8 + 5, 'patch', -id, user_id, NOT coalesce(duration_min + 9 > 0, false), false, NULL, true, duration_min + 9,
+         false, NULL, NULL FROM runs WHERE id % 20 = 0
+  UNION ALL SELECT id * 8 + 6, 'delete', -id, user_id, false, false, NULL, false, NULL, false, NULL, NULL FROM runs WHERE id % 40 = 0),
+c AS (SELECT q.*, {_auth('q', 'u')} AS auth FROM q LEFT JOIN users u ON u.id = q.user_id),
+born AS (SELECT * FROM c WHERE op = 'create' AND auth IS NULL AND NOT bad AND id NOT IN (SELECT id FROM runs)
+         QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
+e AS (SELECT *, CAST(NULL AS BIGINT) AS since FROM runs
+      UNION ALL SELECT id, user_id, run_date, v_km, v_min, v_hr, {NOW}, {NOW}, seq FROM born),
+h AS (SELECT c.*, coalesce(c.auth IS NULL AND NOT c.bad AND e.user_id = c.user_id AND (e.since IS NULL OR c.seq > e.since), false) AS hit,
+             e.distance_km AS b_km, e.duration_min AS b_min, e.heart_rate AS b_hr
+      FROM c LEFT JOIN e ON e.id = c.id WHERE c.op <> 'create'),
+x AS (SELECT *, min(CASE WHEN op = 'delete' AND hit THEN seq END) OVER (PARTITION BY id) AS dead FROM h),
+o AS (SELECT *, CASE WHEN auth IS NOT NULL THEN auth WHEN bad THEN 'invalid' WHEN NOT hit OR seq > dead THEN 'not_found'
+                     WHEN op = 'delete' THEN 'deleted' WHEN s_km AND v_km IS NULL THEN 'rejected_not_null' ELSE 'ok' END AS outcome FROM x),
+f AS (SELECT id, max(seq) FILTER (WHERE s_km) AS km, max(seq) FILTER (WHERE s_min) AS mi, max(seq) FILTER (WHERE s_hr) AS hr,
+             bool_or((s_km AND v_km IS DISTINCT FROM b_km) OR (s_min AND v_min IS DISTINCT FROM b_min)
+                     OR (s_hr AND v_hr IS DISTINCT FROM b_hr)) AS changed
+      FROM o WHERE op = 'patch' AND outcome = 'ok' GROUP BY id)"""
+ORACLE["run_changes"] = _RUN_CHANGES + """
+SELECT seq, op, id, user_id, outcome FROM o
+UNION ALL
+SELECT c.seq, c.op, c.id, c.user_id, CASE WHEN c.auth IS NOT NULL THEN c.auth WHEN c.bad THEN 'invalid'
+       WHEN b.seq IS NOT NULL THEN 'created' ELSE 'conflict' END
+FROM c LEFT JOIN born b ON b.seq = c.seq WHERE c.op = 'create'"""
+ORACLE["run_changes_table"] = _RUN_CHANGES + f"""
+SELECT e.id, e.user_id, e.run_date, CASE WHEN km.seq IS NOT NULL THEN km.v_km ELSE e.distance_km END AS distance_km,
+       CASE WHEN mi.seq IS NOT NULL THEN mi.v_min ELSE e.duration_min END AS duration_min,
+       CASE WHEN hr.seq IS NOT NULL THEN hr.v_hr ELSE e.heart_rate END AS heart_rate, e.created_at,
+       CASE WHEN coalesce(f.changed, false) THEN {NOW} ELSE e.updated_at END AS updated_at
+FROM e LEFT JOIN f ON f.id = e.id LEFT JOIN o km ON km.seq = f.km LEFT JOIN o mi ON mi.seq = f.mi LEFT JOIN o hr ON hr.seq = f.hr
+WHERE e.id NOT IN (SELECT id FROM x WHERE dead IS NOT NULL)"""

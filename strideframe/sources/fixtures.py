@@ -352,3 +352,45 @@ def score_requests_from(lg: DataFrame, users_df: DataFrame) -> DataFrame:
         F.when(i % 40 == 7, F.lit("extreme")).otherwise(F.col("intensity")).alias("intensity"),
         "duration_min", "calories_burned",
     )
+
+
+@per_session
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-2: the running logs as runs: a distance, and a heart rate for six in seven."""
+    i = F.col("id")
+    return logs(spark, sf_dir).filter(F.col("workout_type") == "running").select(
+        "id", "user_id", F.col("workout_date").alias("run_date"), (F.col("calories_burned") / 64).alias("distance_km"), "duration_min",
+        F.when(i % 7 != 0, (90 + i % 80).cast("int")).alias("heart_rate"), "created_at", "updated_at")
+
+
+def new_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create requests of runs, typed; some break a rule."""
+    i = F.col("id")
+    return runs(spark, sf_dir).select(
+        i.alias("seq"), "user_id", F.when(i % 13 == 5, F.lit("2025-13-01")).otherwise(F.date_format("run_date", "yyyy-MM-dd")).alias("run_date"),
+        F.when(i % 19 == 4, F.lit(0.0)).otherwise(F.col("distance_km")).alias("distance_km"), "duration_min",
+        F.when(i % 23 == 6, F.lit(-1)).otherwise(F.col("heart_rate")).alias("heart_rate"))
+
+
+def run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change list of the runs: creates, patches and deletes of each kind, with nulls and wrong types."""
+    i, uid, none = F.col("id"), F.col("user_id"), F.lit(None).cast("string")
+
+    def req(k, op, id_col, user_col, body, when=None):
+        r = F.struct((i * 8 + k).alias("seq"), F.lit(op).alias("op"), id_col.alias("id"), user_col.alias("user_id"), body.alias("body"))
+        return r if when is None else F.when(when, r)
+
+    made = F.to_json(F.struct(F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), F.col("distance_km"),
+                              (F.col("duration_min") + 1).alias("duration_min"), F.col("heart_rate")))
+    reqs = F.array(
+        req(0, "patch", i, uid, F.concat(F.lit('{"distance_km": "7.5", "duration_min": '), (F.col("duration_min") + 5).cast("string"), F.lit("}"))),
+        req(1, "delete", i, F.when(i % 45 == 0, uid + 1).otherwise(uid), none, i % 15 == 0),
+        req(2, "patch", i, uid, F.when(i % 25 == 0, F.lit('{"distance_km": null}')).when(i % 10 == 1, F.lit('{"heart_rate": null}'))
+            .when(i % 10 == 2, F.lit('{"heart_rate": "-4"}')).when(i % 10 == 3, F.lit('{"distance_km": "fast"}'))
+            .otherwise(F.lit('{"heart_rate": 120}'))),
+        req(3, "create", -i, uid, made, i % 20 == 0),
+        req(3, "create", -i, uid, F.lit('{"run_date": 5, "distance_km": 1, "duration_min": 1}'), i % 20 == 5),
+        req(4, "create", i, uid, made, i % 60 == 0),
+        req(5, "patch", -i, uid, F.concat(F.lit('{"duration_min": '), (F.col("duration_min") + 9).cast("string"), F.lit("}")), i % 20 == 0),
+        req(6, "delete", -i, uid, none, i % 40 == 0))
+    return runs(spark, sf_dir).select(F.inline(reqs)).filter(F.col("seq").isNotNull())
