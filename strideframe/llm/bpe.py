@@ -32,6 +32,19 @@ from .common import row_chunks, text_buffer, with_rows
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+# Characters that the tokenizer's table, which is older, knows neither as letters nor as numbers.
+UNKNOWN = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF "
+    "18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 "
+    "3D000-3FC3F")
+_UNKNOWN = "".join("-".join(f"\\U{int(end, 16):08x}" for end in part.split("-")) for part in UNKNOWN.split())
+HAS_UNKNOWN = regex.compile(f"[{_UNKNOWN}]")
+#: The same pattern with the tokenizer's own table; slower, for words that hold such a character.
+WORDS_OF_TABLE = regex.compile(
+    rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{_UNKNOWN}]]+| ?[\p{{N}}--[{_UNKNOWN}]]+"
+    rf"| ?(?:[{_UNKNOWN}]|[^{SPACE}\p{{L}}\p{{N}}])+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A space that does not simply stand before a word; texts without one are cut at their spaces.
 ODD = regex.compile(rf" (?:[{SPACE}]|\Z)")
 PIECES = regex.compile(rf" ?[^{SPACE}]+|[{SPACE}]+?(?= [^{SPACE}])|[{SPACE}]+[^{SPACE}]*")
@@ -113,11 +126,11 @@ class Vocabulary:
 
         Sorted words are the trie in depth-first order: the bytes a word
         shares with the one before are the path they have in common, and the
-        two stacks hold the last token and the encoding of every prefix on the
-        present path.
+        two stacks hold the last token of every prefix on the present path and
+        where it starts.  A word's encoding is read off them from its end.
         """
         out: dict[bytes, bytes] = {}
-        last, whole = [-1], [b""]
+        last, begin = [-1], [0]
         before = b""
         get, known_fit, four, lengths = self.id_of.get, self.fits.get, self.four, self.lengths.get
         for word in sorted(words):
@@ -129,7 +142,7 @@ class Vocabulary:
                 while word[common] == before[common]:
                     common += 1
             del last[common + 1:]
-            del whole[common + 1:]
+            del begin[common + 1:]
             for end in range(common + 1, size + 1):
                 for n in lengths(word[end - 3:end], SHORT) if end > 2 else SHORT:
                     start = end - n
@@ -145,11 +158,16 @@ class Vocabulary:
                         if not fit:
                             continue
                     last.append(token)
-                    whole.append(whole[start] + four[token])
+                    begin.append(start)
                     break
                 else:
                     raise ValueError(f"no token ends at byte {end} of {word!r}")
-            out[word] = whole[size]
+            ids, end = [], size
+            while end:
+                ids.append(four[last[end]])
+                end = begin[end]
+            ids.reverse()
+            out[word] = b"".join(ids)
             before = word
         return out
 
@@ -200,7 +218,7 @@ class Vocabulary:
             kept.clear()
 
     def _learn(self, memory: dict[str, bytes], pieces: list[str], before: str) -> None:
-        split = [WORDS.findall(before + p) for p in pieces]
+        split = [(WORDS if p.isascii() or not HAS_UNKNOWN.search(p) else WORDS_OF_TABLE).findall(before + p) for p in pieces]
         known = self.words
         new = {w.encode(): w for words in split for w in words if w not in known}
         for raw, ids in self.encode_words(list(new)).items():

@@ -35,6 +35,36 @@ def test_encode_equals_the_library(text):
     assert VOCABULARY.decode(got).decode() == decoded == text
 
 
+def test_every_character_is_classed_as_the_library_does():
+    texts = []
+    for first in range(0, 0x110000, 500):
+        texts.append(" ".join(f"{chr(c)}'sa1" for c in range(first, min(first + 500, 0x110000)) if not 0xD800 <= c < 0xE000) or "-")
+    got = bpe.Vocabulary(BYTE)
+    for i in range(0, len(texts), 200):
+        part = texts[i:i + 200]
+        want = [np.array(e.ids, "<u4").tobytes() for e in LIBRARY.encode_batch_fast(part, add_special_tokens=False)]
+        assert got.encode(part) == want
+        got.forget()
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这为之大来以个中上们"])
+def test_one_very_long_word_takes_memory_in_proportion(letters):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    peaks = []
+    for size in (25_000, 100_000):
+        text = "".join(np.array(list(letters))[rng.integers(0, len(letters), size)])
+        voc = bpe.Vocabulary(BYTE)
+        tracemalloc.start()
+        got = voc.encode([text])[0]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert np.frombuffer(got, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert voc.decode(got).decode() == text
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 100 << 20
+
+
 def test_shared_prefixes_are_worked_out_once():
     words = [b"standing", b"stand", b"standings", b"stands", b"sta"]
     asked = []
