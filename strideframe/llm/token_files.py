@@ -31,8 +31,8 @@ END = 2
 STRIPE_BYTES = 16 << 20
 ROWS_PER_INDEX = 1000
 FALSE_HITS = 0.01
-#: Distinct words whose ids a worker keeps; beyond it the memory is emptied, results stay the same.
-MEMORY = 900_000
+#: Distinct words whose ids a worker keeps, half of them words met lately; the half that was not met since goes first.
+MEMORY = 800_000
 
 
 #: Marks that only ever join with other marks to a token, never with letters or digits.
@@ -50,6 +50,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # what was known when the memory was last half full
         model = json.loads(self.tokenizer.to_str())["model"]
         suffix = model.get("end_of_word_suffix")
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
@@ -58,9 +59,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian 32-bit integers, without special tokens added."""
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
+        if len(self.known) > MEMORY // 2:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
         out, missing, get = [], {}, known.get
         for k, t in enumerate(texts):
             words = fold(t).split()  # at ASCII white space; other white space stays inside a word, for the library
@@ -68,7 +69,12 @@ class Encoder:
             if None in ids:
                 missing[k] = words
             out.append(ids)
-        self._learn({w for k, words in missing.items() for w, x in zip(words, out[k]) if x is None})
+        new = {w for k, words in missing.items() for w, x in zip(words, out[k]) if x is None}
+        if before:
+            again = {w: before[w] for w in new if w in before}
+            known.update(again)
+            new -= again.keys()
+        self._learn(new)
         for k, words in missing.items():
             out[k] = [known[w] if x is None else x for w, x in zip(words, out[k])]
         return [b"".join(ids) for ids in out]
@@ -78,8 +84,9 @@ class Encoder:
         # marks that end a word are tokens of their own after a letter or digit
         cut = {w: s for w in new if (s := w.rstrip(MARKS)) != w and s[-1:].isalnum() and b"<|" not in w}
         ask = {x for w in new for x in ((cut[w], w[len(cut[w]):]) if w in cut else (w,)) if x not in known}
-        letters = [w for w in ask if w.decode().isalpha()]
-        rest = [w for w in ask if not w.decode().isalpha()]
+        letters, rest = [], []
+        for w in ask:
+            (letters if w.decode().isalpha() else rest).append(w)
         for i in range(0, len(letters), 2000):
             rest.extend(self._together(letters[i:i + 2000]))
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
@@ -126,7 +133,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int = END) ->
     ``before`` is the number of ids before the row in its file.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), row_key("text").alias("k"))
-    rows = rows.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "k").select("doc_id", "text")
+    rows = rows.repartitionByRange(partitions(docs), "doc_id", "k").sortWithinPartitions("doc_id", "k").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before, stop = _encoder(tokenizer_path), 0, end.to_bytes(4, "little")

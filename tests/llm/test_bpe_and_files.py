@@ -98,6 +98,33 @@ def test_encode_keeps_columns_and_decodes(spark):
     assert sorted((x["payload"]["doc_id"] is None, x["decoded"]) for x in r) == [(False, "a b"), (False, "a b"), (True, "")]
 
 
+def test_words_met_lately_are_kept(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMORY", 8)
+    encoder, library = token_files.Encoder(WORD), Tokenizer.from_file(WORD)
+    texts = [f"the word{i} of day{i}, the end" for i in range(60)]
+    for i in range(0, 60, 3):
+        part = texts[i:i + 3]
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        assert encoder.encode([t.encode() for t in part]) == want
+        assert len(encoder.known) + len(encoder.before) < 40
+    assert b"the" in encoder.known
+
+
+def test_a_hot_doc_id_is_split(spark, monkeypatch):
+    """Rows of one id, or of none, that hold most of the table come from several tasks."""
+    seen = []
+    docs = docs_of(spark, [f"text {i}" for i in range(4000)], ids=[None] * 2000 + [7] * 2000).select("doc_id", "text")
+    cls = type(docs)
+    real = cls.mapInArrow
+    monkeypatch.setattr(cls, "mapInArrow", lambda self, *a, **k: seen.append(self) or real(self, *a, **k))
+    folder = scratch_dir(spark, "test-hot-id")
+    token_files.write(docs, folder, WORD)
+    most = seen[0].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 2000
+    rows = sorted((r["start"], r["n_tokens"]) for r in token_files.positions(spark, folder).collect())
+    assert len(rows) == 4000 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:]))
+
+
 def test_files_hold_the_librarys_ids_in_order(spark):
     library = Tokenizer.from_file(WORD)
     texts = ODD + MORE
