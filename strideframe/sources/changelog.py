@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators.sizing import split_join
 from . import tables as TB
 
 #: Folders of a level that are folded into one of the next.
@@ -171,7 +172,7 @@ def read(spark: SparkSession, base: str, state: State | None = None) -> DataFram
     now = kept.unionByName(last.filter(~F.col("deleted")).select(*names, "change"))
     if any(f.owners for f in state.live):
         gone = _owners(rows).select("user_id", F.col("change").alias("gone"))
-        now = TB.split_join(now, gone, ["user_id"], "left").filter(F.col("gone").isNull() | (F.col("change") > F.col("gone")))
+        now = split_join(now, gone, ["user_id"], "left").filter(F.col("gone").isNull() | (F.col("change") > F.col("gone")))
     return now.select(*names)
 
 

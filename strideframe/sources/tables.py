@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..operators.sizing import split_join
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:

@@ -4,8 +4,6 @@ import os
 import random
 from concurrent.futures import ThreadPoolExecutor
 
-import pytest
-from pyspark.sql import functions as F
 
 from strideframe import schemas as S
 from strideframe.operators import changes as CH
