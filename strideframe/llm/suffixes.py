@@ -22,11 +22,15 @@ the bytes it covers are removed.
    windows of their contexts are compared as strings.
 4. *Cut.*  The repeated spans join the documents again.
 
-Grams that occur more than ``HOT`` times (long runs of copies, passages that a
-share of all documents hold) would be large groups.  Their windows are
-told apart one by one instead, by 128-bit digests, after each task has put its
-equal windows together; so a window has at most one row per task however often
-it occurs, and no group grows with its number of copies.
+A gram that occurs more than ``SPREAD`` times (long runs of copies, passages
+that a share of all documents hold) would make one part large.  Its contexts go
+through the merge sort twice: first as whole strings, dealt out by the whole
+string, so that equal contexts meet and each different one is left once; then
+the windows of the different ones, dealt out by the window.  A task hands on a
+string once however often it met it: if twice or more, it puts out the spans at
+once and marks the string.  So no part grows with the number of copies, rows
+grow with different contexts and not with tasks times windows, and all strings
+are compared in full.  ``SPREAD`` decides the way, never the result.
 
 The text crosses the network once: all steps read the same exchange.
 """
@@ -34,6 +38,7 @@ The text crosses the network once: all steps read the same exchange.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -48,8 +53,12 @@ from .common import partitions, row_chunks, split_join, text_buffer
 
 LENGTH = 200
 GRAM = 64
-#: Occurrences of an anchor's gram beyond which its windows are told apart by digest.
-HOT = 512
+#: Occurrences of an anchor's gram beyond which its contexts are spread over the parts.
+SPREAD = 512
+#: Bytes of contexts or windows, with what Python adds to each, that a task holds before it hands on its runs.
+HELD_BYTES = 64 << 20
+#: Spans in one packed row.
+SPANS_PER_ROW = 1 << 16
 #: Parts of the merge for each partition; a part is merged on its own.
 PARTS_PER_PARTITION = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -261,6 +270,48 @@ def repeated_spans(group: dict[bytes, list], length: int) -> Iterator[tuple[int,
             yield key, at + start, at + end
 
 
+def united(found: np.ndarray) -> np.ndarray:
+    """(row key, start, stop) rows, those of a row key that overlap or touch made one."""
+    if not len(found):
+        return found
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    rank = np.cumsum(np.r_[False, found[1:, 0] != found[:-1, 0]]) << 40  # keeps the keys' spans apart
+    start, stop = found[:, 1] + rank, np.maximum.accumulate(found[:, 2] + rank)
+    first = np.flatnonzero(np.r_[True, start[1:] > stop[:-1]])
+    last = np.r_[first[1:], len(found)] - 1
+    return np.column_stack([found[first, 0], found[first, 1], stop[last] - rank[last]])
+
+
+def different(blocks: list[bytes], sure: array) -> Iterator[tuple[bytes, int, int]]:
+    """(string, row key, place) once for every different string of sorted runs, in order.
+
+    The place is -1 where the string was met twice or more; the spans of those
+    occurrences are added to ``sure``.
+    """
+    held, key, place = None, 0, 0
+    for shared, string, (_, ((k, p),)) in LoserTree([read_run(b) for b in blocks]):
+        if held is not None and shared == len(string) == len(held):
+            _meet(sure, len(string), key, place, k, p)
+            place = -1
+            continue
+        if held is not None:
+            yield held, key, place
+        held, key, place = string, k, p
+    if held is not None:
+        yield held, key, place
+
+
+def _meet(sure: array, size: int, *occurrences: int) -> None:
+    """The spans of occurrences (row key, place, ...) of one string, but for those put out before (place -1)."""
+    for key, place in zip(occurrences[::2], occurrences[1::2]):
+        if place >= 0:
+            sure.extend((key, place, place + size))
+
+
+def _part_of(string: bytes, parts: int) -> int:
+    return int.from_bytes(hashlib.blake2b(string, digest_size=4).digest(), "little") % parts
+
+
 def _dealt(docs: DataFrame) -> DataFrame:
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("payload"), F.col("text").cast("string").alias("text"))
@@ -268,7 +319,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
     return rows.repartition(partitions(docs), "rk")
 
 
-def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, spread: int = SPREAD) -> DataFrame:
     """``rows`` (payload, text, rk; dealt out by rk) -> (rk, start, stop) byte spans that repeated windows cover.
 
     Rows with equal ``rk`` are equal.  Spans may overlap.
@@ -290,164 +341,142 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
                                                   pa.array(pack(at, first, final))], names=["h", "rk", "at"])
 
     repeated = rows.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")) \
-        .filter(F.col("n") > 1).select("h", (F.col("n") > hot).alias("hot"))
+        .filter(F.col("n") > 1).select("h", (F.col("n") > spread).alias("spread"))
     kept = split_join(rows.mapInArrow(placed, "h long, rk long, at long"), repeated, ["h"])
-    per_row = kept.select("rk", F.when(F.col("hot"), -F.col("at") - 1).otherwise(F.col("at")).alias("at")) \
+    per_row = kept.select("rk", F.when(F.col("spread"), -F.col("at") - 1).otherwise(F.col("at")).alias("at")) \
         .groupBy("rk").agg(F.collect_set("at").alias("at"))
     texts = rows.join(per_row, "rk").select("payload", "text", "rk", "at")
 
+    # Rows between the steps are (part, run).  Parts below n_parts: runs cut by the gram (first merge) or by the
+    # window (second); from n_parts: runs of whole contexts; from 2 * n_parts: packed spans, handed on.
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain: dict[int, dict[tuple[bytes, bytes], list]] = defaultdict(lambda: defaultdict(list))
-        held: dict[bytes, list] = defaultdict(list)
+        by_gram: dict[tuple[bytes, int], list] = {}
+        whole: dict[bytes, tuple[int, int]] = {}
+        sure = array("q")
         size = 0
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
-            data, keys, lists = raw.tobytes(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keys, lists = batch.column(2).to_numpy(), batch.column(3)
             # equal rows are told apart by their number, so that copies with one id count as two
-            for r, (key, places) in enumerate(zip(keys, lists)):
-                base = int(off[r])
-                for code in places:
-                    is_hot = code < 0
-                    code = -code - 1 if is_hot else code
+            for r in range(batch.num_rows):
+                data, key = raw[off[r]:off[r + 1]].tobytes(), int(keys[r])
+                for code in lists[r].values.to_pylist():
+                    apart = code < 0
+                    code = -code - 1 if apart else code
                     at = code >> 24
                     first, stop = at - (code >> 12 & 4095), at - (code & 4095) + length
-                    if is_hot:
-                        held[data[base + first:base + stop]].append((key, first))
-                        size += 48 * (stop - first - length + 1)  # its windows' digests
+                    context = data[first:stop]
+                    if not apart:
+                        found = by_gram.setdefault((context, at - first), [])
+                        size += 130 if found else 800
+                        found.append((key, first))
+                    elif context not in whole:
+                        whole[context] = key, first
+                        size += 700
                     else:
-                        suffix = data[base + at:base + stop]
-                        part = int.from_bytes(hashlib.blake2b(suffix[:gram], digest_size=4).digest(), "little") % n_parts
-                        plain[part][suffix, data[base + first:base + at]].append((key, first))
-                    size += 2 * length
-            if size > 96 << 20:
-                yield from emit(plain, held)
-                plain.clear()
-                held.clear()
-                size = 0
-        yield from emit(plain, held)
-
-    def emit(plain: dict, held: dict) -> Iterator[pa.RecordBatch]:
-        for part, entries in plain.items():
-            run = front_code(sorted((s, left, found) for (s, left), found in entries.items()))
-            yield _row([part], [run], [0], [0], [0], [0])
-        if held:
-            yield from windows(held)
-
-    def windows(held: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
-        """A row per window that this task has once; for others their spans at once and one row that tells of them."""
-        contexts = list(held.items())
-        block: list[tuple[bytes, list]] = []
-        total = 0
-        pieces = []
-        for context, found in contexts:
-            block.append((context, found))
-            total += len(context)
-            if total > 1 << 20:
-                pieces.append(block)
-                block, total = [], 0
-        pieces.append(block)
-        a, b, key, start, many = [], [], [], [], []
-        for block in pieces:
-            if not block:
-                continue
-            raw = np.frombuffer(b"".join(c for c, _ in block), np.uint8)
-            ends = np.cumsum([len(c) for c, _ in block])
-            h1, h2 = gram_hashes(raw, length, 1), gram_hashes(raw, length, 2)
-            for (context, found), end in zip(block, ends.tolist()):
-                first, n = end - len(context), len(context) - length + 1
-                a.append(h1[first:first + n])
-                b.append(h2[first:first + n])
-                key.append(np.full(n, found[0][0]))
-                start.append(found[0][1] + np.arange(n))
-                many.append(np.full(n, len(found)))
-        a, b, key, start, many = map(np.concatenate, (a, b, key, start, many))
-        order = np.lexsort((b, a))
-        new = np.r_[True, (np.diff(a[order].view(np.int64)) != 0) | (np.diff(b[order].view(np.int64)) != 0)]
-        group = np.cumsum(new) - 1
-        count = np.bincount(group, weights=many[order]).astype(np.int64)
-        twice = np.empty(len(a), bool)
-        twice[order] = count[group] > 1
-        # windows that this task has twice are repeated: their spans, for every occurrence of the context
-        at = 0
-        s_key, s_start, s_stop = [], [], []
-        for context, found in contexts:
-            n = len(context) - length + 1
-            mine = np.flatnonzero(twice[at:at + n])
-            at += n
-            if len(mine):
-                cut = np.flatnonzero(np.r_[True, np.diff(mine) > length])
-                lows, highs = mine[cut], mine[np.r_[cut[1:], len(mine)] - 1] + length
-                for k, p in found:
-                    s_key.extend([k] * len(cut))
-                    s_start.extend((p + lows).tolist())
-                    s_stop.extend((p + highs).tolist())
-        if s_key:
-            yield _row(np.arange(len(s_key)) * -7919 - 1 & 0x7FFFFFFF, None, s_key, s_start, s_stop, np.full(len(s_key), -1))
-        head = order[new]
-        stop = np.where(count > 1, -1, start[head] + length)
-        yield _row((a[head] & np.uint64(0x7FFFFFFF)).astype(np.int64) % n_parts, None, key[head], start[head], stop, a[head].view(np.int64), b[head].view(np.int64))
-
-    def _row(part, run, key, start, stop, a, b=None) -> pa.RecordBatch:
-        n = len(part)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.asarray(part, np.int32)), pa.array(run if run is not None else [None] * n, pa.binary()),
-            pa.array(np.asarray(key, np.int64)), pa.array(np.asarray(start, np.int64)), pa.array(np.asarray(stop, np.int64)),
-            pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b if b is not None else np.zeros(n), np.int64))],
-            names=["part", "run", "rk", "start", "stop", "a", "b"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                        _meet(sure, stop - first, *whole[context], key, first)
+                        whole[context] = key, -1
+                        size += 48
+                if size > HELD_BYTES:
+                    yield from emit(by_gram, whole, sure)
+                    by_gram, whole, sure, size = {}, {}, array("q"), 0
+        yield from emit(by_gram, whole, sure)
+
+    def emit(by_gram: dict, whole: dict, sure: array) -> Iterator[pa.RecordBatch]:
+        of: dict[int, list] = defaultdict(list)
+        for (context, left), found in by_gram.items():
+            of[_part_of(context[left:left + gram], n_parts)].append((context[left:], context[:left], found))
+        for context, place in whole.items():
+            of[n_parts + _part_of(context, n_parts)].append((context, b"", [place]))
+        for part, entries in of.items():
+            entries.sort()
+            yield _run(part, front_code(entries))
+        yield from packed(sure)
+
+    def packed(sure: array) -> Iterator[pa.RecordBatch]:
+        found = united(np.frombuffer(sure, np.int64).reshape(-1, 3)) if sure else ()
+        for i in range(0, len(found), SPANS_PER_ROW):
+            yield _run(2 * n_parts + int(found[i, 0]) % n_parts, found[i:i + SPANS_PER_ROW].tobytes())
+
+    def _run(part: int, run: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run], pa.binary())], names=["part", "run"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+        """The runs of each part together; rows of packed spans one by one."""
         part, blocks = None, []
-        loose: list[np.ndarray] = []
         for batch in batches:
-            rows_of = np.column_stack([batch.column(i).to_numpy() for i in (2, 3, 4, 5, 6)])
-            is_run = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            loose.append(rows_of[~is_run])
-            for i in np.flatnonzero(is_run).tolist():
-                p = batch.column(0)[i].as_py()
-                if p != part:
-                    yield from merge(blocks)
+            for i, p in enumerate(batch.column(0).to_pylist()):
+                block = batch.column(1)[i].as_py()
+                if p != part or p >= 2 * n_parts:
+                    if blocks:
+                        yield part, blocks
                     part, blocks = p, []
-                blocks.append(batch.column(1)[i].as_py())
-        yield from merge(blocks)
-        if loose:
-            rows_of = np.concatenate(loose)
-            known = rows_of[:, 3] == -1
-            done = rows_of[known & (rows_of[:, 2] >= 0)]
-            yield _spans(done[:, 0], done[:, 1], done[:, 2])
-            w = rows_of[~(known & (rows_of[:, 2] >= 0))]
-            if len(w):
-                order = np.lexsort((w[:, 4], w[:, 3]))
-                w = w[order]
-                new = np.r_[True, (np.diff(w[:, 3]) != 0) | (np.diff(w[:, 4]) != 0)]
-                group = np.cumsum(new) - 1
-                many = np.bincount(group, weights=np.where(w[:, 2] < 0, 2, 1))
-                hit = w[(many[group] > 1) & (w[:, 2] >= 0)]
-                yield _spans(hit[:, 0], hit[:, 1], hit[:, 2])
-
-    def _spans(key, start, stop) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(key, np.int64)), pa.array(np.asarray(start, np.int64)),
-                                           pa.array(np.asarray(stop, np.int64))], names=["rk", "start", "stop"])
-
-    def merge(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if not blocks:
-            return
-        out: list[tuple[int, int, int]] = []
-        group: dict[bytes, list] = {}
-        for shared, suffix, (left, found) in LoserTree([read_run(b) for b in blocks]):
-            if shared < gram and group:
-                out.extend(repeated_spans(group, length))
-                group = {}
-            group.setdefault(left + suffix, []).extend(found)
-        out.extend(repeated_spans(group, length))
-        if out:
-            yield _spans(*zip(*out))
-
-    dealt = texts.mapInArrow(runs, "part int, run binary, rk long, start long, stop long, a long, b long") \
-        .repartition(partitions(rows), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(merged, "rk long, start long, stop long")
-
-
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bytes_only: bool = False) -> DataFrame:
+                blocks.append(block)
+        if blocks:
+            yield part, blocks
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: dict[bytes, tuple[int, int]] = {}
+        sure = array("q")
+        for part, blocks in parts(batches):
+            if part >= 2 * n_parts:
+                yield _run(part, blocks[0])
+                continue
+            if part < n_parts:
+                group: dict[bytes, list] = {}
+                for shared, suffix, (left, found) in LoserTree([read_run(b) for b in blocks]):
+                    if shared < gram and group:
+                        for span in repeated_spans(group, length):
+                            sure.extend(span)
+                        group = {}
+                    group.setdefault(left + suffix, []).extend(found)
+                for span in repeated_spans(group, length):
+                    sure.extend(span)
+            else:
+                for context, key, place in different(blocks, sure):
+                    for p in range(len(context) - length + 1):
+                        window, at = context[p:p + length], place + p if place >= 0 else -1
+                        if window in windows:
+                            _meet(sure, length, *windows[window], key, at)
+                            at = -1
+                        windows[window] = key, at
+                    if 500 * len(windows) + 48 * len(sure) // 3 > HELD_BYTES:
+                        yield from handed(windows, sure)
+                        windows, sure = {}, array("q")
+            if 48 * len(sure) // 3 > HELD_BYTES:
+                yield from handed(windows, sure)
+                windows, sure = {}, array("q")
+        yield from handed(windows, sure)
+
+    def handed(windows: dict, sure: array) -> Iterator[pa.RecordBatch]:
+        of: dict[int, list] = defaultdict(list)
+        for window, place in windows.items():
+            of[_part_of(window, n_parts)].append((window, b"", [place]))
+        for part, entries in of.items():
+            entries.sort()
+            yield _run(part, front_code(entries))
+        yield from packed(sure)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blocks in parts(batches):
+            if part >= 2 * n_parts:
+                found = np.frombuffer(blocks[0], np.int64).reshape(-1, 3)
+            else:
+                sure = array("q")
+                for _ in different(blocks, sure):
+                    pass
+                found = united(np.frombuffer(sure, np.int64).reshape(-1, 3)) if sure else np.empty((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(3)], names=["rk", "start", "stop"])
+
+    def dealt(step: DataFrame) -> DataFrame:
+        return step.repartition(partitions(rows), "part").sortWithinPartitions("part")
+
+    first = dealt(texts.mapInArrow(runs, "part int, run binary"))
+    second = dealt(first.mapInArrow(merged, "part int, run binary"))
+    return second.mapInArrow(told, "rk long, start long, stop long")
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spread: int = SPREAD, bytes_only: bool = False) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, ...; struct ``payload``: all columns but the text), with ``n_bytes``, ``n_removed``,
     ``n_spans``, ``kept_sha256`` and ``kept``: the text without the bytes that repeated windows cover.
 
@@ -458,7 +487,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     if not 0 < gram <= length < 4096:
         raise ValueError("gram <= length < 4096 is needed")
     rows = _dealt(docs)
-    found = spans(rows, length, gram, hot)
+    found = spans(rows, length, gram, spread)
     per_row = found.groupBy("rk").agg(F.collect_set(F.struct("start", "stop")).alias("cut"))
     joined = rows.join(per_row, "rk", "left").select("payload", "text", "rk", F.col("cut.start").alias("start"), F.col("cut.stop").alias("stop"))
 

@@ -150,9 +150,9 @@ def _removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram,hot", [(20, 8, 512), (20, 8, 2), (200, 64, 3)])
-def test_repeats_equal_brute_force(spark, length, gram, hot):
-    rng = random.Random(length + hot)
+@pytest.mark.parametrize("length,gram,spread", [(20, 8, 512), (20, 8, 2), (20, 8, 0), (200, 64, 3)])
+def test_repeats_equal_brute_force(spark, length, gram, spread):
+    rng = random.Random(length + spread)
     base = "".join(rng.choice("abcdeé ") for _ in range(2500))
     texts = [t for t in ODD if t is None or len(t) < 5000] + ["ab" * 300, "a" * 700, "a" * 700]
     for _ in range(80):
@@ -163,7 +163,7 @@ def test_repeats_equal_brute_force(spark, length, gram, hot):
         texts.append(s)
     texts += texts[20:28] + [texts[22]] * 6
     ids = [None, *range(1, len(texts) - 6), *[7] * 6]
-    got = suffixes.cut_repeats(docs_of(spark, texts, ids), length, gram, hot).collect()
+    got = suffixes.cut_repeats(docs_of(spark, texts, ids), length, gram, spread).collect()
     mine = sorted((repr((r["payload"]["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got))
     assert mine == sorted(repr((i, *x)) for i, x in zip(ids, _removed(texts, length)))
 
