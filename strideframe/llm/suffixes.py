@@ -324,7 +324,8 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, spread: int =
 
     Rows with equal ``rk`` are equal.  Spans may overlap.
     """
-    n_parts = partitions(rows) * PARTS_PER_PARTITION
+    n_tasks = partitions(rows)
+    n_parts = n_tasks * PARTS_PER_PARTITION
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,8 +348,8 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, spread: int =
         .groupBy("rk").agg(F.collect_set("at").alias("at"))
     texts = rows.join(per_row, "rk").select("payload", "text", "rk", "at")
 
-    # Rows between the steps are (part, run).  Parts below n_parts: runs cut by the gram (first merge) or by the
-    # window (second); from n_parts: runs of whole contexts; from 2 * n_parts: packed spans, handed on.
+    # Rows between the steps are (part, run).  Parts below n_parts: runs cut by the gram (first merge) or, into
+    # n_tasks parts, by the window (second); from n_parts: runs of whole contexts; from 2 * n_parts: packed spans.
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_gram: dict[tuple[bytes, int], list] = {}
         whole: dict[bytes, tuple[int, int]] = {}
@@ -451,7 +452,7 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, spread: int =
     def handed(windows: dict, sure: array) -> Iterator[pa.RecordBatch]:
         of: dict[int, list] = defaultdict(list)
         for window, place in windows.items():
-            of[_part_of(window, n_parts)].append((window, b"", [place]))
+            of[_part_of(window, n_tasks)].append((window, b"", [place]))
         for part, entries in of.items():
             entries.sort()
             yield _run(part, front_code(entries))
@@ -469,7 +470,7 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, spread: int =
             yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(3)], names=["rk", "start", "stop"])
 
     def dealt(step: DataFrame) -> DataFrame:
-        return step.repartition(partitions(rows), "part").sortWithinPartitions("part")
+        return step.repartition(n_tasks, "part").sortWithinPartitions("part")
 
     first = dealt(texts.mapInArrow(runs, "part int, run binary"))
     second = dealt(first.mapInArrow(merged, "part int, run binary"))
