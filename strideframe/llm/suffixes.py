@@ -57,6 +57,8 @@ GRAM = 64
 SPREAD = 512
 #: Bytes of contexts or windows, with what Python adds to each, that a task holds before it hands on its runs.
 HELD_BYTES = 64 << 20
+#: Entries of a run whose lengths are Python numbers at one time.
+ENTRIES_AT_ONCE = 1024
 #: Spans in one packed row.
 SPANS_PER_ROW = 1 << 16
 #: Parts of the merge for each partition; a part is merged on its own.
@@ -222,18 +224,19 @@ def read_run(block: bytes) -> Iterator[tuple[int, bytes, tuple[bytes, list]]]:
     """The entries of a front-coded run: (shared prefix, suffix, (bytes left of it, occurrences))."""
     data = zstandard.ZstdDecompressor().decompress(block)
     n, m = np.frombuffer(data, "<u4", 2).tolist()
-    shared, rest, left, many = np.frombuffer(data, "<u4", 4 * n, 8).reshape(4, n).tolist()
+    head = np.frombuffer(data, "<u4", 4 * n, 8).reshape(4, n)
     at = 8 + 16 * n
-    places = np.frombuffer(data, "<i8", 2 * m, at).reshape(m, 2).tolist()
+    places = np.frombuffer(data, "<i8", 2 * m, at).reshape(m, 2)
     at += 16 * m
-    at_left = at + sum(rest)
+    at_left = at + int(head[1].sum())
     suffix, k = b"", 0
-    for s, r, lf, c in zip(shared, rest, left, many):
-        suffix = suffix[:s] + data[at:at + r]
-        at += r
-        yield s, suffix, (data[at_left:at_left + lf], places[k:k + c])
-        at_left += lf
-        k += c
+    for i in range(0, n, ENTRIES_AT_ONCE):
+        for s, r, lf, c in zip(*head[:, i:i + ENTRIES_AT_ONCE].tolist()):
+            suffix = suffix[:s] + data[at:at + r]
+            at += r
+            yield s, suffix, (data[at_left:at_left + lf], places[k:k + c].tolist())
+            at_left += lf
+            k += c
 
 
 def repeated_spans(group: dict[bytes, list], length: int) -> Iterator[tuple[int, int, int]]:
@@ -385,14 +388,20 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, spread: int =
 
     def emit(by_gram: dict, whole: dict, sure: array) -> Iterator[pa.RecordBatch]:
         of: dict[int, list] = defaultdict(list)
-        for (context, left), found in by_gram.items():
+        while by_gram:
+            (context, left), found = by_gram.popitem()
             of[_part_of(context[left:left + gram], n_parts)].append((context[left:], context[:left], found))
-        for context, place in whole.items():
+        while whole:
+            context, place = whole.popitem()
             of[n_parts + _part_of(context, n_parts)].append((context, b"", [place]))
-        for part, entries in of.items():
+        yield from coded(of)
+        yield from packed(sure)
+
+    def coded(of: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        while of:
+            part, entries = of.popitem()
             entries.sort()
             yield _run(part, front_code(entries))
-        yield from packed(sure)
 
     def packed(sure: array) -> Iterator[pa.RecordBatch]:
         found = united(np.frombuffer(sure, np.int64).reshape(-1, 3)) if sure else ()
@@ -451,11 +460,10 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, spread: int =
 
     def handed(windows: dict, sure: array) -> Iterator[pa.RecordBatch]:
         of: dict[int, list] = defaultdict(list)
-        for window, place in windows.items():
+        while windows:
+            window, place = windows.popitem()
             of[_part_of(window, n_tasks)].append((window, b"", [place]))
-        for part, entries in of.items():
-            entries.sort()
-            yield _run(part, front_code(entries))
+        yield from coded(of)
         yield from packed(sure)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
