@@ -10,10 +10,12 @@ exclusions).  A text's code length under a language is the sum over its bytes,
 in fixed point, so it does not depend on the order of addition; the language
 with the shortest code wins, ties by name.
 
-Training reads a bounded sample of labelled rows (``SAMPLE_ROWS`` per
-language, chosen by a hash of the row, whole texts); prediction reads every
-row once where Spark reads it, with no shuffle.  The model is broadcast: its
-size is bounded by the sample.
+Training reads a bounded sample of labelled rows (``SAMPLE_ROWS`` different
+texts of each of the ``LANGUAGES`` languages with most different texts, chosen
+by a hash of the text, whole texts); copies count once, so a language made of
+copies is learned from all its texts.  Prediction reads every row once where
+Spark reads it, with no shuffle.  The model is broadcast: its size is bounded
+by the sample.
 """
 
 from __future__ import annotations
@@ -30,8 +32,12 @@ from .common import original, row_chunks, row_key, text_buffer, with_rows
 
 #: Longest context in bytes.
 ORDER = 4
-#: Labelled rows per language that the statistics are learned from.
+#: Different labelled texts per language that the statistics are learned from.
 SAMPLE_ROWS = 400
+#: Languages that are learned: those with most different texts, ties by name.
+LANGUAGES = 256
+#: Bits a byte costs without any model; a text that no language codes in fewer is in none of them.
+PLAIN_BITS = 8.0
 #: Code lengths are kept in this many parts of a bit.
 PARTS = 1024
 UNDETERMINED = "und"
@@ -142,22 +148,22 @@ def _codes(raw: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, order: int = ORDER) -> Model:
-    """Statistics of up to ``rows`` rows per language of ``labelled`` (lang, text).
+    """Statistics of up to ``rows`` different texts per language of ``labelled`` (lang, text).
 
     Rows without language or text are not used.  The counts are summed by
     Spark; what reaches the driver is the model, bounded by the sample.
     """
-    spark = labelled.sparkSession
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    there = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()) \
+        .select("lang", "text", row_key("text", "lang").alias("k"))
+    there = {r["lang"]: r["n"] for r in usable.select("lang", "k").distinct().groupBy("lang")
+             .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(there)
     if not languages:
         return Model([])
-    # a hash threshold leaves about 1.5 times the rows wanted, the rank cuts that to the bound
+    # a hash threshold leaves about 1.5 times the texts wanted (all, where they are few), the rank cuts that to the bound
     share = F.create_map(*[x for lang in languages for x in (
-        F.lit(lang), F.lit(int(min(1.0, 1.5 * rows / there[lang]) * (1 << 30)) + 1))])
-    key = row_key("text", "lang")
-    near = usable.select("lang", "text", key.alias("k")).filter(F.pmod("k", F.lit(1 << 30)) <= share[F.col("lang")])
+        F.lit(lang), F.lit(int(min(1.0, (1.5 * rows + 50) / there[lang]) * (1 << 30)) + 1))])
+    near = usable.filter(F.pmod("k", F.lit(1 << 30)) <= share[F.col("lang")]).groupBy("lang", "k").agg(F.min("text").alias("text"))
     sample = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k", "text"))).filter(F.col("r") <= rows)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +271,15 @@ def languages_of(docs: DataFrame) -> DataFrame:
                       "lang_pred", "score", "bits_per_byte")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language can be told; text without any letter has none."""
+def identified(docs: DataFrame, plain_bits: float = PLAIN_BITS) -> DataFrame:
+    """The rows of ``docs`` that are in a learned language; where ``lang`` is null it is filled in with that language.
+
+    A row goes if its text is null or has no letter, or if even the best
+    language codes it in ``plain_bits`` a byte or more: its bytes without any
+    model are no longer.  A ``lang`` that is given stays.
+    """
     model = train(docs.filter(fold() != 2).select("lang", "text"))
-    return predict(docs, model, keep_text=True).filter(F.col("lang_pred") != UNDETERMINED).select(*original(docs))
+    got = predict(docs, model, keep_text=True)
+    told = got.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") < plain_bits))
+    return told.select(*[F.coalesce("payload.lang", "lang_pred").alias(c) if c == "lang" else col
+                         for c, col in zip(docs.columns, original(docs))])

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from odd_documents import ODD, SF_SMALL, docs_of
-from strideframe.llm import host_reputation, quotes, simhash, suffixes
+from strideframe.llm import host_reputation, langid, quotes, simhash, suffixes
 from strideframe.llm.components import components
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
@@ -319,6 +319,10 @@ def test_pipeline_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     bench = [D.normalise(r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
     rows = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
+    documents = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    model = langid.train(documents.filter(langid.fold() != 2).select("lang", "text"))
+    coded = lambda b: model.code_lengths(np.frombuffer(b, np.uint8), np.array([0, len(b)])).min() / langid.PARTS
+    rows = [(i, t) for i, t in rows if coded(t.encode()) < 8 * len(t.encode())]
     _, comp = _near([i for i, _ in rows], [t for _, t in rows])
     rows = [(i, t) for (i, t), c in zip(rows, comp) if i == c]
     count = Counter()
