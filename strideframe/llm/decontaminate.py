@@ -54,6 +54,8 @@ SAMPLES = 6
 PIECE = 512
 #: Bytes of normalised items broadcast at once.
 BLOCK_BYTES = 8 << 20
+#: Windows embedded and looked up together.
+WINDOWS = 4096
 SEED = 17
 
 _SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -150,8 +152,8 @@ class Items:
 def lsh_keys(strings: list[bytes]) -> list[list[int]]:
     """For each string ROUNDS keys: sampled places of its CGK walks of 3 n steps, n its size."""
     out: list[list[int]] = []
-    for i in range(0, len(strings), 512):
-        out.extend(_walk(strings[i:i + 512]))
+    for i in range(0, len(strings), 256):
+        out.extend(_walk(strings[i:i + 256]))
     return out
 
 
@@ -218,7 +220,8 @@ def leaks_in(texts: list[str], items: Items) -> list[list[tuple[int, int, int]]]
     """For each text its leaks (item id, edits, start in the normalised text), the best place of each item."""
     found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
     normal = [normalise(t) if t else b"" for t in texts]
-    asked: dict[tuple[int, int, int], set[tuple[int, int, int]]] = {}  # by window: item, piece and start of items of several pieces
+    # by window: piece and start of the items of several pieces that ask for it; judged and let go WINDOWS at a time
+    asked: dict[tuple[int, int, int], set[tuple[int, int, int]] | tuple] = {}
     near: dict[tuple[int, int], set[int]] = {}  # by text and item of several pieces: starts to verify
     for t, raw in enumerate(normal):
         for k in items.short:
@@ -227,31 +230,16 @@ def leaks_in(texts: list[str], items: Items) -> list[list[tuple[int, int, int]]]
                 found[t][k] = (0, at)
         if len(raw) >= Q:
             for k, j, start in items.windows(np.frombuffer(raw, np.uint8)):
-                of = asked.setdefault((t, max(0, start + j * int(items.width[k])), len(items.piece(k, j))), set())
+                place = (t, max(0, start + j * int(items.width[k])), len(items.piece(k, j)))
                 if items.pieces[k] > 1:
-                    of.add((k, j, start))
-    places = sorted(asked)
-    for i in range(0, len(places), 4096):
-        some = places[i:i + 4096]
-        # a window past the text's end is as long as an item all the same
-        strings = [normal[t][s:s + n].ljust(n, b" ") for t, s, n in some]
-        distinct = sorted(set(strings))
-        keys = dict(zip(distinct, lsh_keys(distinct)))
-        for (t, s, n), window in zip(some, strings):
-            alike = {at for key in keys[window] for at in items.keys.get(key, ())}
-            for k, j, start in asked[t, s, n]:
-                if (k, j) in alike:
-                    near.setdefault((t, k), set()).add(start)
-            for k in {k for k, _ in alike if items.pieces[k] == 1}:
-                if window == items.texts[k]:
-                    edits, start = 0, s
+                    asked[place] = asked.get(place) or set()
+                    asked[place].add((k, j, start))
                 else:
-                    spare = int(items.edits[k])
-                    low = max(0, s - spare)
-                    edits, end = best_distance(items.texts[k], normal[t][low:s + n + spare])
-                    start = max(0, low + end - n)
-                if edits <= items.edits[k] and (edits, start) < found[t].get(k, (1 << 30, 0)):
-                    found[t][k] = (edits, start)
+                    asked.setdefault(place, ())
+                if len(asked) >= WINDOWS:
+                    _judge(asked, normal, items, found, near)
+                    asked.clear()
+    _judge(asked, normal, items, found, near)
     for (t, k), starts in near.items():
         best = _verified(items.texts[k], normal[t], int(items.edits[k]), sorted(starts))
         if best[0] <= items.edits[k]:
@@ -259,6 +247,29 @@ def leaks_in(texts: list[str], items: Items) -> list[list[tuple[int, int, int]]]
     return [sorted((items.ids[k], e, s) for k, (e, s) in f.items()) for f in found]
 
 
+def _judge(asked: dict, normal: list[bytes], items: Items, found: list[dict], near: dict) -> None:
+    """Looks the windows up; notes leaks of items of one piece in ``found``, starts of the others in ``near``."""
+    # a window past the text's end is as long as an item all the same
+    strings = [normal[t][s:s + n].ljust(n, b" ") for t, s, n in asked]
+    distinct = sorted(set(strings))
+    keys = dict(zip(distinct, lsh_keys(distinct)))
+    for (t, s, n), window in zip(asked, strings):
+        alike = {at for key in keys[window] for at in items.keys.get(key, ())}
+        for k, j, start in asked[t, s, n]:
+            if (k, j) in alike:
+                near.setdefault((t, k), set()).add(start)
+        for k in {k for k, _ in alike if items.pieces[k] == 1}:
+            if window == items.texts[k]:
+                edits, start = 0, s
+            else:
+                spare = int(items.edits[k])
+                low = max(0, s - spare)
+                edits, end = best_distance(items.texts[k], normal[t][low:s + n + spare])
+                start = max(0, low + end - n)
+            if edits <= items.edits[k] and (edits, start) < found[t].get(k, (1 << 30, 0)):
+                found[t][k] = (edits, start)
+
+
 def _verified(item: bytes, text: bytes, spare: int, starts: list[int]) -> tuple[int, int]:
     """(edits, start) of the best place of an item around the starts; each part of the text is read once."""
     n = len(item)
