@@ -17,7 +17,8 @@ from strideframe.session import scratch_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without a letter go."""
+    """Documents in a learned language, a null ``lang`` filled in; texts that are null, without a letter or that
+    no language codes in fewer than 8 bits a byte go."""
     return langid.identified(docs)
 
 
