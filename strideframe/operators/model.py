@@ -3,6 +3,7 @@ P-8) with ``pyspark.ml``; the exact root split (A-5) with DataFrame ops."""
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ from .sizing import split_join
 
 # Depth of the tree: the most that Spark's tree takes (there is no unbounded one).
 MAX_DEPTH = 30
+#: Weighted rows that one task of the tree's training takes, as long as there are tasks.
+CELLS_PER_TASK = 50_000
 
 
 class TrainedModel(NamedTuple):
@@ -32,6 +35,46 @@ def _label_indexer(train: DataFrame, label: str):
                          handleInvalid="skip").fit(train)
 
 
+def _literal(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else f"CAST('{x!r}' AS DOUBLE)"
+
+
+def _bins(df: DataFrame, values: dict[str, str], rows: int, max_bins: int, seed: int) -> list[str]:
+    """Per numeric feature the SQL that puts one value of its bin in a value's place.
+
+    ``values`` maps a column to the SQL of its scaled value, which Spark's tree compares.  The thresholds are those
+    of its candidate search: halfway between neighbouring values, all of them or one after about each
+    ``1 / max_bins`` of the rows, counted on all rows or, like there, on about ``max(max_bins ** 2, 10000)`` of them.
+    """
+    share = max(max_bins * max_bins, 10_000) / max(rows, 1)
+    seen = df if share >= 1 else df.sample(share, seed)
+    counts = seen.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).alias("v"), F.expr(x).alias("x")) for c, x in values.items()])))
+    found: dict[str, list] = {c: [] for c in values}
+    for r in counts.groupBy("c", "v", "x").agg(F.count(F.lit(1)).alias("n")).collect():
+        found[r["c"]].append((r["x"], r["v"], r["n"]))
+    out = []
+    for c, x in values.items():
+        # values that scale to the same are one
+        merged: list[tuple[float, float, int]] = []
+        for scaled, v, n in sorted(found[c]):
+            same = merged and merged[-1][0] == scaled
+            merged[-1:] = [(scaled, v, merged[-1][2] + n)] if same else [*merged[-1:], (scaled, v, n)]
+        few = len(merged) <= max_bins
+        stride = target = sum(n for _, _, n in merged) / max_bins
+        upto, ends, kept = 0, [], []
+        for (scaled, v, n), after in zip(merged, merged[1:]):
+            upto += n
+            if few or abs(upto - target) < abs(upto + after[2] - target):
+                ends.append((scaled + after[0]) / 2)
+                kept.append(v)
+                target += stride
+        kept.append(merged[-1][1] if merged else 0.0)
+        whens = "".join(f" WHEN {x} <= {_literal(t)} THEN {_literal(v)}" for t, v in zip(ends, kept))
+        out.append(f"CASE{whens} ELSE {_literal(kept[-1])} END" if whens else _literal(kept[-1]))
+    return out
+
+
 def train(df: DataFrame, max_depth: int = MAX_DEPTH, max_bins: int = 32, seed: int = 42,
           numeric: list[str] | None = None, categorical: list[str] | None = None,
           label: str = S.LABEL) -> TrainedModel:
@@ -42,35 +85,64 @@ def train(df: DataFrame, max_depth: int = MAX_DEPTH, max_bins: int = 32, seed: i
     which therefore runs on rows without a goal.  Casts and class names are
     stages of it, so a saved pipeline scores by itself, whatever its features.  Spark's tree is depth-bounded
     (≤ 30) and bins numeric features; ``best_split`` gives the exact root split.
+
+    The feature stages are fitted on all rows.  Rows of the same bins,
+    categories and class are the same to the tree: they are counted, and it
+    is grown on one weighted row for each.  Every level of the tree sends its
+    nodes' counts once a partition, so what it shuffles grows with the number
+    of such rows (at most ``max_bins`` per numeric feature times the
+    categories, never more than the rows), not with rows times partitions.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import IndexToString, SQLTransformer
+    from pyspark.ml.feature import IndexToString, SQLTransformer, StandardScalerModel
 
     numeric = list(numeric if numeric is not None else S.NUMERIC_FEATURES)
     categorical = list(categorical if categorical is not None else S.CATEGORICAL_FEATURES)
     from pyspark import StorageLevel
 
     lab = _label_indexer(df, label)
-    # Every stage fit and each tree level is a pass over the input: keep the
-    # prepared rows (memory, spilling to disk; recomputed from lineage if an
-    # executor is lost) instead of re-running the join per pass.
-    labeled = lab.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
-    tree = DecisionTreeClassifier(featuresCol="features", labelCol="_label",
-                                  predictionCol="_prediction", probabilityCol="_probability",
-                                  rawPredictionCol="_raw", impurity="gini",
-                                  maxDepth=max_depth, maxBins=max_bins, seed=seed,
-                                  # deep trees: more nodes per pass, rows keep their node
-                                  maxMemoryInMB=1024, cacheNodeIds=True)
+    # Every stage fit is a pass over the input: keep the prepared columns
+    # (memory, spilling to disk; recomputed from lineage if an executor is
+    # lost) instead of re-running the join per pass.
+    used = dict.fromkeys([*numeric, *categorical])
+    labeled = lab.transform(df).select(*used, "_label").persist(StorageLevel.MEMORY_AND_DISK)
     casts = SQLTransformer(statement="SELECT *, " + ", ".join(
         [f"CAST(`{c}` AS DOUBLE) AS `_dbl_{c}`" for c in numeric] or ["1 AS _dbl_"]) + " FROM __THIS__")
     names = IndexToString(inputCol="_prediction", outputCol="predicted_goal", labels=list(lab.labels))
-    pipe = Pipeline(stages=[casts, *FE.feature_stages(numeric, categorical), tree, names])
+    cells = None
     try:
-        fitted = pipe.fit(labeled)
+        stages = Pipeline(stages=[casts, *FE.feature_stages(numeric, categorical)]).fit(labeled).stages
+        before, after = (stages[:2], stages[2:]) if numeric else (stages[:1], stages[1:])
+        if numeric:
+            imputed = [f"_imp_{c}" for c in numeric]
+            scaler = next(s for s in after if isinstance(s, StandardScalerModel))
+            scaled = {c: f"((`{c}` - {_literal(float(m))}) * {_literal(1 / float(sd) if sd else 0.0)})"
+                      for c, m, sd in zip(imputed, scaler.mean, scaler.std)}
+            bins = _bins(PipelineModel(before).transform(labeled), scaled, labeled.count(), max_bins, seed)
+            before = [*before, SQLTransformer(statement=(
+                f"SELECT * EXCEPT ({', '.join(f'`{c}`' for c in imputed)}), "
+                + ", ".join(f"{b} AS `{c}`" for c, b in zip(imputed, bins)) + " FROM __THIS__"))]
+        else:
+            imputed = []
+        cells = (PipelineModel(before).transform(labeled).groupBy(*imputed, *categorical, "_label")
+                 .agg(F.count(F.lit(1)).cast("double").alias("_weight")).persist(StorageLevel.MEMORY_AND_DISK))
+        n = cells.count()
+        parts = min(n // CELLS_PER_TASK + 1, df.sparkSession.sparkContext.defaultParallelism)
+        tree = DecisionTreeClassifier(featuresCol="features", labelCol="_label", weightCol="_weight",
+                                      predictionCol="_prediction", probabilityCol="_probability",
+                                      rawPredictionCol="_raw", impurity="gini", maxDepth=max_depth, seed=seed,
+                                      # at most ``max_bins`` values a feature are left, and none is to be sampled away
+                                      maxBins=max(max_bins, int(n ** 0.5) + 1),
+                                      # deep trees: more nodes per pass, rows keep their node
+                                      maxMemoryInMB=1024, cacheNodeIds=True)
+        grown = tree.fit(PipelineModel(after).transform(cells.coalesce(parts)))
     finally:
         labeled.unpersist()
-    return TrainedModel(fitted, list(lab.labels))
+        if cells is not None:
+            cells.unpersist()
+    # the class names need no fit
+    return TrainedModel(PipelineModel([*before, *after, grown, names]), list(lab.labels))
 
 
 def predict(model, df: DataFrame, out: str = "predicted_goal") -> DataFrame:

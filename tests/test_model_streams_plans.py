@@ -48,6 +48,56 @@ def test_train_and_score(spark, trained):
     assert abs(ml - rows["user_id"]["accuracy"]) < 1e-9
 
 
+def _feature_rows(spark, n, shift=0.0):
+    """Made rows: more values than bins, gaps, ties, nulls in every feature; the goal hangs on all of them."""
+    i, r = F.col("id"), F.abs(F.xxhash64(F.col("id"), F.lit(shift)))
+    return spark.range(n).select(
+        "id", F.when(i % 17 != 3, (r % 97 * 2).cast("int")).alias("duration_min"),
+        F.when(i % 19 != 4, (r % 4001) / 7.0 + shift).alias("calories_burned"),
+        F.when(i % 23 != 5, (r % 4).cast("int")).alias("intensity_numeric"),
+        F.when(i % 29 != 6, F.concat(F.lit("w"), (r % 5).cast("string"))).alias("workout_type"),
+        F.when(i % 31 != 7, F.concat(F.lit("e"), (F.floor(r / 8) % 3).cast("string"))).alias("equipment"),
+        F.when(i % 37 != 8, F.concat(F.lit("g"), ((r % 97 + r % 4001 + F.floor(r / 64) % 3) % 5).cast("string"))).alias("goal"))
+
+
+def test_tree_of_counted_rows_is_the_tree_of_all_rows(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import SQLTransformer, StringIndexer
+
+    rows, asked = _feature_rows(spark, 3000), _feature_rows(spark, 1500, 0.25)
+    got = MO.train(rows, max_depth=12)
+    labeled = StringIndexer(inputCol="goal", outputCol="_label", stringOrderType="alphabetAsc",
+                            handleInvalid="skip").fit(rows).transform(rows)
+    casts = SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"CAST(`{c}` AS DOUBLE) AS `_dbl_{c}`" for c in S.NUMERIC_FEATURES) + " FROM __THIS__")
+    tree = DecisionTreeClassifier(featuresCol="features", labelCol="_label", predictionCol="_prediction", maxDepth=12, seed=42)
+    plain = Pipeline(stages=[casts, *FE.feature_stages(), tree]).fit(labeled)
+    made = next(s for s in got.pipeline.stages if hasattr(s, "numNodes"))
+    assert (made.numNodes, made.depth) == (plain.stages[-1].numNodes, plain.stages[-1].depth) and made.numNodes > 500
+    for df in (rows, asked):
+        a = {r["id"]: r["predicted_goal"] for r in MO.predict(got, df).collect()}
+        b = {r["id"]: got.labels[int(r["_prediction"])] for r in plain.transform(df).select("id", "_prediction").collect()}
+        assert a == b
+
+
+def test_tree_trains_on_counted_rows_in_few_partitions(spark, monkeypatch):
+    """Each partition sends the counts of every node: rows times partitions would be shuffled, level by level."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    fit, seen = DecisionTreeClassifier.fit, []
+
+    def spy(self, dataset, params=None):
+        seen.append((dataset.count(), dataset.rdd.getNumPartitions()))
+        return fit(self, dataset, params)
+
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", spy)
+    rows = _feature_rows(spark, 1000).crossJoin(spark.range(20).select(F.lit(0).alias("_k"))).repartition(64)
+    MO.train(rows, max_depth=2)
+    (n, parts), = seen
+    assert n <= 1000 and parts <= spark.sparkContext.defaultParallelism
+
+
 def test_unseen_category_encodes_as_zeros(spark, trained):
     _, model = trained
     req = spark.createDataFrame([
