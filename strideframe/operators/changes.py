@@ -34,23 +34,37 @@ from . import entity as EN
 from .records import ChangeResult, principal_outcome
 from .sizing import maybe_broadcast, split_join
 
-NUMBER_TYPE = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
+NUMBER_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 INT_TEXT = r"^[+-]?[0-9]+$"
 NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INT_MAX = 2147483647
 
 
-def _kind(v: Column, field: str) -> Column:
-    """JSON kind of ``field`` in variant ``v``: absent (null), null, string, number, boolean, other."""
-    t = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
+def _kind(t: Column) -> Column:
+    """JSON kind of a field by the type of its variant: absent (null), null, string, number, boolean, other."""
     return (F.when(t.isNull(), F.lit(None).cast("string"))
             .when(t == "VOID", F.lit("null"))
             .when(t == "STRING", F.lit("string"))
-            .when(t.rlike(NUMBER_TYPE), F.lit("number"))
+            .when(t.isin(*NUMBER_TYPES) | t.startswith("DECIMAL"), F.lit("number"))
             .when(t == "BOOLEAN", F.lit("boolean"))
             .otherwise(F.lit("other")))
 
 
+def _read_fields(df: DataFrame, v: Column, fields: list[EN.Field]) -> DataFrame:
+    """Adds what the fields of variant ``v`` hold: ``k_<f>`` (kind), ``d_<f>`` (as a number), ``s_<f>`` (as text).
+
+    As columns of a projection of its own each is read once, however often it is asked for.  The kinds come from one
+    ``transform``: Spark makes no whole-stage code for it, whose single method would be too long for the JVM to compile.
+    """
+    types = F.array(*[F.schema_of_variant(F.try_variant_get(v, f"$.{f.name}", "variant")) for f in fields])
+    got = {"_kinds": F.transform(types, _kind)}
+    for f in fields:
+        got[f"s_{f.name}"] = F.try_variant_get(v, f"$.{f.name}", "string")
+        if f.kind in (EN.WHOLE, EN.NUMBER):
+            got[f"d_{f.name}"] = F.try_variant_get(v, f"$.{f.name}", "double")
+    return df.withColumns(got).withColumns({f"k_{f.name}": F.col("_kinds")[i] for i, f in enumerate(fields)}).drop("_kinds")
+
+
 def _whole(kind: Column, number: Column, text: Column) -> Column:
     """Whether a value is a whole number, or its text."""
     return F.coalesce((((kind == "number") & (number == F.floor(number))) | ((kind == "string") & text.rlike(INT_TEXT)))
@@ -62,19 +76,23 @@ def _number(kind: Column, text: Column) -> Column:
     return F.coalesce((kind == "number") | ((kind == "string") & text.rlike(NUMBER_TEXT)), F.lit(False))
 
 
-def _typed(v: Column, kind: Column, field: EN.Field) -> tuple[Column, Column]:
-    """(whether the field has a value of its kind, that value or null)."""
-    number, text = F.try_variant_get(v, f"$.{field.name}", "double"), F.try_variant_get(v, f"$.{field.name}", "string")
+def _typed(field: EN.Field) -> tuple[Column, Column]:
+    """(whether the field has a value of its kind, that value or null), from the columns of ``_read_fields``."""
+    kind, text = F.col(f"k_{field.name}"), F.col(f"s_{field.name}")
     if field.kind == EN.WHOLE:
-        ok = _whole(kind, number, text)
-        return ok, F.when(ok, number.cast("int"))
+        ok = _whole(kind, F.col(f"d_{field.name}"), text)
+        return ok, F.when(ok, F.col(f"d_{field.name}").cast("int"))
     if field.kind == EN.NUMBER:
         ok = _number(kind, text)
-        return ok, F.when(ok, number)
+        return ok, F.when(ok, F.col(f"d_{field.name}"))
     ok = F.coalesce(kind == "string", F.lit(False))
     return ok, F.when(ok, text)
 
 
+def _read_columns(fields: list[EN.Field]) -> list[str]:
+    return [f"{c}_{f.name}" for f in fields for c in "kds"]
+
+
 def parse_patch(df: DataFrame, body: str = "body", variant: str | None = None, entity: EN.Entity = EN.LOG) -> DataFrame:
     """Parse a patch body into presence, kind and typed value per field.
 
@@ -87,19 +105,18 @@ def parse_patch(df: DataFrame, body: str = "body", variant: str | None = None, e
     out = df.withColumn("_v", v)
     out = out.withColumn("body_ok", F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"),
                                               F.lit(False)))
-    vv = F.col("_v")
     fields = [*entity.patchable, *[EN.Field(c, EN.TEXT) for c in entity.checked]]
-    out = out.withColumns({f"k_{f.name}": _kind(vv, f.name) for f in fields})
+    out = _read_fields(out, F.col("_v"), fields)
     more = {}
     for f in fields:
         k = F.col(f"k_{f.name}")
-        ok, value = _typed(vv, k, f)
+        ok, value = _typed(f)
         more[f"p_{f.name}"] = k.isNotNull()
         more[f"n_{f.name}"] = F.coalesce(k == "null", F.lit(False))
         more[f"t_{f.name}"] = F.coalesce(k.isNull() | (k == "null") | ok, F.lit(False))
         more[f"v_{f.name}"] = value
     out = out.withColumns(more)
-    return out.drop("_v", *[f"k_{f.name}" for f in fields])
+    return out.drop("_v", *_read_columns(fields))
 
 
 def _patch_invalid(entity: EN.Entity) -> Column:
@@ -134,18 +151,29 @@ def parse_create(df: DataFrame, body: str = "body", variant: str | None = None,
     not required.
     """
     v = F.col(variant) if variant else F.try_parse_json(F.col(body))
-    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    out = _read_fields(df.withColumn("_c", v), F.col("_c"), entity.fields)
+    ok = F.coalesce(F.schema_of_variant(F.col("_c")).startswith("OBJECT"), F.lit(False))
     values = {}
     for f in entity.fields:
-        kind = _kind(v, f.name)
-        good, values[f.name] = _typed(v, kind, f)
+        kind = F.col(f"k_{f.name}")
+        good, values[f.name] = _typed(f)
         ok = ok & (good if f.required else F.coalesce(kind.isNull() | (kind == "null") | good, F.lit(False)))
-    return df.withColumns({"create_ok": ok, **values})
+    return out.withColumns({"create_ok": ok, **values}).drop("_c", *_read_columns(entity.fields))
 
 
 def _parsed(requests: DataFrame, entity: EN.Entity) -> DataFrame:
-    """Requests with the fields of creates and of patches, each body (``_v``) parsed once."""
-    return parse_patch(parse_create(requests, variant="_v", entity=entity), variant="_v", entity=entity)
+    """Requests with the fields of creates and of patches: what each body says, read as its request's kind only.
+
+    Besides the fields of a create and ``create_ok``: ``_invalid`` (a patch's body validation), ``_constraint`` (the table
+    constraint that it breaks), ``p_<f>`` and ``v_<f>``.
+    """
+    op, body = F.col("op"), F.try_parse_json(F.col("body"))
+    both = requests.withColumns({"_made": F.when(op == "create", body), "_sent": F.when(op == "patch", body)}).drop("body")
+    got = parse_patch(parse_create(both, variant="_made", entity=entity), variant="_sent", entity=entity)
+    return got.select(
+        "seq", "op", "id", "user_id", "create_ok", *[f.name for f in entity.fields],
+        ((op == "patch") & _patch_invalid(entity)).alias("_invalid"), _patch_constraint(entity).alias("_constraint"),
+        *[f"{c}_{f.name}" for f in entity.patchable for c in "pv"])
 
 
 def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
@@ -172,19 +200,15 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
         raise ValueError("apply_changes takes a batch DataFrame; for a stream use "
                          "strideframe.streaming.jobs.stream_changes (one call per micro-batch)")
     # Each body is parsed once (as VARIANT); creates read create fields,
-    # patches and deletes read patch fields.  The parsed requests are
+    # patches read patch fields.  The parsed requests are
     # checkpointed: every branch below reads them, and the count is exact.
-    op = F.col("op")
     src = changes.select("seq", "op", "id", "user_id", "body")
     par = src.sparkSession.sparkContext.defaultParallelism
     if not src.isStreaming and src.rdd.getNumPartitions() < par:
         # a batch read from few files: spread the parsing over the cluster
         # (round robin: no key, so one hot id cannot skew it)
         src = src.repartition(par)
-    parsed = src.select("seq", "op", "id", "user_id", "body",
-                        F.try_parse_json(F.col("body")).alias("_v"))
-    parsed = parsed.withColumn("_v", F.when(op.isin("create", "patch"), F.col("_v")))
-    requests = checkpoint(_parsed(parsed, entity))
+    requests = checkpoint(_parsed(src, entity))
     n = requests.count()
     # the ids the batch touches come straight from the requests
     ids_side = maybe_broadcast(requests.select("id").distinct(), n)
@@ -224,22 +248,21 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
         .otherwise(F.lit(S.CONFLICT)).alias("outcome"))
 
     # ---- patches and deletes against the touched logs ---------------------
-    pd_ = ch.filter(F.col("op").isin("patch", "delete"))
+    pd_ = ch.filter(F.col("op").isin("patch", "delete")).drop("create_ok", *[f.name for f in entity.fields])
     base = rows.select(
         "id", F.col("user_id").alias("owner"), "born",
         *[F.col(f).alias(f"b_{f}") for f in patchable])
     j = split_join(pd_, base, ["id"], "left")
     is_patch = F.col("op") == "patch"
-    invalid = is_patch & _patch_invalid(entity)
-    hit = (F.col("auth").isNull() & ~F.coalesce(invalid, F.lit(False))
+    hit = (F.col("auth").isNull() & ~F.coalesce(F.col("_invalid"), F.lit(False))
            & (F.col("owner") == F.col("user_id"))
            & (F.col("born").isNull() | (F.col("seq") > F.col("born"))))
-    j = j.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("_invalid", invalid)
+    j = j.withColumn("_hit", F.coalesce(hit, F.lit(False)))
     dead = (j.filter((F.col("op") == "delete") & F.col("_hit"))
             .groupBy("id").agg(F.min("seq").alias("dead")))
     j = split_join(j, dead, ["id"], "left")
     alive = F.col("_hit") & (F.col("dead").isNull() | (F.col("seq") <= F.col("dead")))
-    constraint = _patch_constraint(entity)
+    constraint = F.col("_constraint")
     outcome = (F.when(F.col("auth").isNotNull(), F.col("auth"))
                .when(F.col("_invalid"), F.lit(S.INVALID))
                .when(~alive, F.lit(S.NOT_FOUND))
