@@ -287,14 +287,16 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     fold = accepted.groupBy("id").agg(*folds, *changed)
     touched = dead.join(fold, "id", "full")
 
-    rewritten = rows.join(touched, "id", "left").filter(F.col("dead").isNull())
     any_changed = F.lit(False)
     for f in patchable:
         any_changed = any_changed | F.coalesce(F.col(f"c_{f}"), F.lit(False))
-    rewritten = rewritten.select(
+    state = rows.join(touched, "id", "left").select(
         *[F.when(F.col(f"n_{c}").isNotNull(), F.col(f"n_{c}.v")).otherwise(F.col(c)).alias(c) if c in patchable else F.col(c)
           for c in entity.columns if c != "updated_at"],
-        F.when(any_changed, now).otherwise(F.col("updated_at")).alias("updated_at"))
+        F.when(any_changed, now).otherwise(F.col("updated_at")).alias("updated_at"), F.col("dead").isNotNull().alias("deleted"))
+    rewritten = state.filter(~F.col("deleted")).drop("deleted")
+    # rewritten and gone rows in one pass: as a union, a task would hold the sorted sides of both
+    changed = state.select("id", *[F.when(~F.col("deleted"), F.col(c)).alias(c) for c in entity.columns if c != "id"], "deleted")
 
     # a request that asks for nothing known is answered too
     known = F.coalesce(F.col("op").isin("create", "patch", "delete"), F.lit(False))
@@ -304,7 +306,7 @@ def apply_changes(changes: DataFrame, logs: DataFrame, now: Column,
     table = untouched.unionByName(rewritten)
     outcomes = create_out.unionByName(pd_out).unionByName(other_out)
     gone = dead.join(rows.select("id"), "id", "left_semi").select("id")
-    return ChangeResult(table, outcomes, rewritten, gone)
+    return ChangeResult(table, outcomes, rewritten, gone, changed)
 
 
 def patch_logs(patches: DataFrame, logs: DataFrame, now: Column,

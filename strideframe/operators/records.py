@@ -119,6 +119,7 @@ class ChangeResult(NamedTuple):
     outcomes: DataFrame
     rewritten: DataFrame | None = None  # new state of the touched rows
     gone: DataFrame | None = None       # ids of the deleted rows
+    changed: DataFrame | None = None    # both: the rewritten rows, and deleted ones (``deleted``, only the id is set)
 
 
 def principal_outcome(requests: DataFrame, users: DataFrame, key: str = "user_id",

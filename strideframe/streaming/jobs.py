@@ -165,8 +165,7 @@ def stream_changes(changes: DataFrame, table_base: str, checkpoint: str, now,
     def sink(batch: DataFrame, batch_id: int) -> None:
         def decide(logs: DataFrame, state: CL.State) -> CL.Change:
             result = CH.apply_changes(batch, logs, now, users, materialize=True)
-            rows = result.rewritten.select(*S.LOG_COLUMNS).withColumn("deleted", F.lit(False))
-            return CL.Change(rows.unionByName(result.gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True), result.outcomes)
+            return CL.Change(result.changed.select(*S.LOG_COLUMNS, "deleted"), result.outcomes)
 
         CL.commit_change(spark, table_base, decide, writer, batch_id)
         CL.tidy(spark, table_base, ["user_id", "id"])
