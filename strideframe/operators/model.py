@@ -4,6 +4,7 @@ P-8) with ``pyspark.ml``; the exact root split (A-5) with DataFrame ops."""
 from __future__ import annotations
 
 import math
+import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -39,39 +40,68 @@ def _literal(x: float) -> str:
     return f"{x!r}D" if math.isfinite(x) else f"CAST('{x!r}' AS DOUBLE)"
 
 
-def _bins(df: DataFrame, values: dict[str, str], rows: int, max_bins: int, seed: int) -> list[str]:
-    """Per numeric feature the SQL that puts one value of its bin in a value's place.
-
-    ``values`` maps a column to the SQL of its scaled value, which Spark's tree compares.  The thresholds are those
-    of its candidate search: halfway between neighbouring values, all of them or one after about each
-    ``1 / max_bins`` of the rows, counted on all rows or, like there, on about ``max(max_bins ** 2, 10000)`` of them.
-    """
-    share = max(max_bins * max_bins, 10_000) / max(rows, 1)
-    seen = df if share >= 1 else df.sample(share, seed)
-    counts = seen.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).alias("v"), F.expr(x).alias("x")) for c, x in values.items()])))
+def _counted_ends(df: DataFrame, values: dict[str, str], max_bins: int) -> dict[str, list[float]]:
+    """The thresholds of Spark's candidate search over few rows: halfway between neighbouring values, all of them or
+    one after about each ``1 / max_bins`` of the rows."""
+    counts = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.expr(x).alias("x")) for c, x in values.items()])))
     found: dict[str, list] = {c: [] for c in values}
-    for r in counts.groupBy("c", "v", "x").agg(F.count(F.lit(1)).alias("n")).collect():
-        found[r["c"]].append((r["x"], r["v"], r["n"]))
-    out = []
-    for c, x in values.items():
-        # values that scale to the same are one
-        merged: list[tuple[float, float, int]] = []
-        for scaled, v, n in sorted(found[c]):
-            same = merged and merged[-1][0] == scaled
-            merged[-1:] = [(scaled, v, merged[-1][2] + n)] if same else [*merged[-1:], (scaled, v, n)]
-        few = len(merged) <= max_bins
-        stride = target = sum(n for _, _, n in merged) / max_bins
-        upto, ends, kept = 0, [], []
-        for (scaled, v, n), after in zip(merged, merged[1:]):
+    for r in counts.groupBy("c", "x").agg(F.count(F.lit(1)).alias("n")).collect():
+        found[r["c"]].append((r["x"], r["n"]))
+    out = {}
+    for c, seen in found.items():
+        seen.sort()
+        few = len(seen) <= max_bins
+        stride = target = sum(n for _, n in seen) / max_bins
+        upto, ends = 0, []
+        for (scaled, n), after in zip(seen, seen[1:]):
             upto += n
-            if few or abs(upto - target) < abs(upto + after[2] - target):
+            if few or abs(upto - target) < abs(upto + after[1] - target):
                 ends.append((scaled + after[0]) / 2)
-                kept.append(v)
                 target += stride
-        kept.append(merged[-1][1] if merged else 0.0)
-        whens = "".join(f" WHEN {x} <= {_literal(t)} THEN {_literal(v)}" for t, v in zip(ends, kept))
-        out.append(f"CASE{whens} ELSE {_literal(kept[-1])} END" if whens else _literal(kept[-1]))
+        out[c] = ends
+    return out
+
+
+def _searched_ends(df: DataFrame, values: dict[str, str], scaled: str, max_bins: int, seed: int) -> dict[str, list[float]]:
+    """The thresholds that Spark's tree searches among on these rows, in this layout and with this seed.
+
+    Beyond 10,000 rows (or ``max_bins ** 2``) it draws them from rows it samples by seed and place, and does not tell
+    them.  A regression of one feature on itself splits at each of them that has rows on both sides.
+    """
+    from pyspark.ml.feature import VectorSlicer
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    out = {}
+    for i, (c, x) in enumerate(values.items()):
+        one = VectorSlicer(inputCol=scaled, outputCol="_one", indices=[i]).transform(df)
+        # within -1 and 1: far values do not drown the steps between near ones
+        own = one.select("_one", F.expr(f"{x} / (1D + abs({x}))").alias("_own"))
+        grown = DecisionTreeRegressor(featuresCol="_one", labelCol="_own", maxDepth=MAX_DEPTH, maxBins=max_bins,
+                                      seed=seed).fit(own)
+        out[c] = sorted({float(t) for t in re.findall(r"If \(feature 0 <= (\S+)\)", grown.toDebugString)})
+    return out
+
+
+def _bins(df: DataFrame, values: dict[str, str], ends: dict[str, list[float]]) -> list[str]:
+    """Per numeric feature the SQL that puts the largest value of its bin in a value's place.
+
+    ``values`` maps a column to the SQL of its scaled value, which Spark's tree compares, ``ends`` to the upper ends
+    of its bins but the last.  A bin without rows goes with the next one.
+    """
+    def bin_of(c: str, x: str) -> str:
+        return "CASE" + "".join(f" WHEN {x} <= {_literal(t)} THEN {i}" for i, t in enumerate(ends[c])) \
+            + f" ELSE {len(ends[c])} END" if ends[c] else "0"
+
+    rows = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.expr(bin_of(c, x)).alias("b"), F.col(c).alias("v")) for c, x in values.items()])))
+    largest = {(r["c"], r["b"]): r["v"] for r in rows.groupBy("c", "b").agg(F.max("v").alias("v")).collect()}
+    out = []
+    for c, x in values.items():
+        kept = [(t, largest[c, i]) for i, t in enumerate([*ends[c], math.inf]) if (c, i) in largest]
+        whens = "".join(f" WHEN {x} <= {_literal(t)} THEN {_literal(v)}" for t, v in kept[:-1])
+        last = _literal(kept[-1][1] if kept else 0.0)
+        out.append(f"CASE{whens} ELSE {last} END" if whens else last)
     return out
 
 
@@ -86,7 +116,8 @@ def train(df: DataFrame, max_depth: int = MAX_DEPTH, max_bins: int = 32, seed: i
     stages of it, so a saved pipeline scores by itself, whatever its features.  Spark's tree is depth-bounded
     (≤ 30) and bins numeric features; ``best_split`` gives the exact root split.
 
-    The feature stages are fitted on all rows.  Rows of the same bins,
+    The feature stages are fitted on all rows, and the bins are those that
+    Spark's tree would make of them.  Rows of the same bins,
     categories and class are the same to the tree: they are counted, and it
     is grown on one weighted row for each.  Every level of the tree sends its
     nodes' counts once a partition, so what it shuffles grows with the number
@@ -119,7 +150,12 @@ def train(df: DataFrame, max_depth: int = MAX_DEPTH, max_bins: int = 32, seed: i
             scaler = next(s for s in after if isinstance(s, StandardScalerModel))
             scaled = {c: f"((`{c}` - {_literal(float(m))}) * {_literal(1 / float(sd) if sd else 0.0)})"
                       for c, m, sd in zip(imputed, scaler.mean, scaler.std)}
-            bins = _bins(PipelineModel(before).transform(labeled), scaled, labeled.count(), max_bins, seed)
+            ready = PipelineModel(stages).transform(labeled)
+            if labeled.count() <= max(max_bins * max_bins, 10_000):
+                ends = _counted_ends(ready, scaled, max_bins)
+            else:
+                ends = _searched_ends(ready, scaled, scaler.getOutputCol(), max_bins, seed)
+            bins = _bins(ready, scaled, ends)
             before = [*before, SQLTransformer(statement=(
                 f"SELECT * EXCEPT ({', '.join(f'`{c}`' for c in imputed)}), "
                 + ", ".join(f"{b} AS `{c}`" for c, b in zip(imputed, bins)) + " FROM __THIS__"))]

@@ -81,6 +81,28 @@ def test_tree_of_counted_rows_is_the_tree_of_all_rows(spark):
         assert a == b
 
 
+def test_tree_of_counted_rows_has_the_thresholds_of_a_searched_sample(spark):
+    """Beyond 10,000 rows Spark's tree draws its thresholds from a sample of its own: the same ones are used."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import SQLTransformer, StringIndexer
+
+    rows, asked = _feature_rows(spark, 25_000), _feature_rows(spark, 3000, 0.25)
+    got = MO.train(rows, max_depth=9)
+    labeled = StringIndexer(inputCol="goal", outputCol="_label", stringOrderType="alphabetAsc",
+                            handleInvalid="skip").fit(rows).transform(rows)
+    casts = SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"CAST(`{c}` AS DOUBLE) AS `_dbl_{c}`" for c in S.NUMERIC_FEATURES) + " FROM __THIS__")
+    tree = DecisionTreeClassifier(featuresCol="features", labelCol="_label", predictionCol="_prediction", maxDepth=9, seed=42)
+    plain = Pipeline(stages=[casts, *FE.feature_stages(), tree]).fit(labeled)
+    made = next(s for s in got.pipeline.stages if hasattr(s, "numNodes"))
+    assert (made.numNodes, made.depth) == (plain.stages[-1].numNodes, plain.stages[-1].depth) and made.numNodes > 300
+    for df in (rows, asked):
+        a = {r["id"]: r["predicted_goal"] for r in MO.predict(got, df).collect()}
+        b = {r["id"]: got.labels[int(r["_prediction"])] for r in plain.transform(df).select("id", "_prediction").collect()}
+        assert a == b
+
+
 def test_tree_trains_on_counted_rows_in_few_partitions(spark, monkeypatch):
     """Each partition sends the counts of every node: rows times partitions would be shuffled, level by level."""
     from pyspark.ml.classification import DecisionTreeClassifier
